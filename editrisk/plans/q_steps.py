@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import steps as ST
 from ..sources.tables import VALIDATION_START, read, revision_log, ts_lit, with_revlog
-from .registry import query
+from .registry import query, r6
 
 FIT_SQL = "\"timestamp\" < TIMESTAMP '2024-01-19 00:00:00'"
 
@@ -18,10 +18,6 @@ def fit_pred():
     return F.col("timestamp") < ts_lit(VALIDATION_START)
 
 
-def r6(c):
-    return F.round(c.cast("double"), 6)
-
-
 def _out(df, name):
     return df.select("revisionId", r6(F.col(name)).alias(name))
 

@@ -10,10 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
+
+def r6(c: Column) -> Column:
+    """Round a double to 6 places the way the oracle's ``round(x, 6)`` does
+    (scale, round half away from zero, unscale), so ties agree."""
+    return F.round(c.cast("double") * 1e6, 0) / 1e6
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
