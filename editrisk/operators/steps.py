@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..session import is_small, join_lookup, null_safe_join_condition, persist
 from . import cumulative as C
+from .quantiles import exact_median
 
 
 def _fit_rows(df: DataFrame, fit: Column | None) -> DataFrame:
@@ -114,7 +115,8 @@ class ScalarStep(Step):
         if self.stat == "mean":
             return {prefix: F.avg(c)}
         if self.stat == "median":
-            # exact median (mean of the two middle values)
+            # only for small inputs; ``fit_value`` computes the exact median
+            # without gathering the column into one task
             return {prefix: F.median(c)}
         raise ValueError(self.stat)
 
@@ -124,10 +126,15 @@ class ScalarStep(Step):
                             F.lit(value).cast("double") if value is not None else F.lit(None).cast("double"))
         return S.clamp_infinity(filled)
 
+    def fit_value(self, df: DataFrame, col: str, fit: Column | None = None):
+        rows = _fit_rows(df, fit)
+        if self.stat == "median":
+            return exact_median(rows, col)
+        return rows.agg(F.avg(F.col(col).cast("double")).alias("m")).first()["m"]
+
     def fit_transform(self, df, inputs, out, fit=None):
         (col,) = inputs
-        row = _fit_rows(df, fit).agg(*[c.alias(k) for k, c in self.aggs(col, "s").items()]).first()
-        return df.withColumn(out, self.apply(col, row.asDict(), "s"))
+        return df.withColumn(out, self.apply(col, {"s": self.fit_value(df, col, fit)}, "s"))
 
 
 def impute_mean() -> ScalarStep:
