@@ -45,7 +45,8 @@ def _any_null(keys: Sequence[str]) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str | None]],
-            order: str = ORDER, chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
+            order: str = ORDER, chunk_width: int = DEFAULT_CHUNK_WIDTH,
+            chunk_col: Column | None = None) -> DataFrame:
     """Add running aggregates per ``keys`` in ``order`` (inclusive frame).
 
     ``specs`` maps an output name to ``(kind, value column)``:
@@ -56,10 +57,14 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str
     * ``last_before`` - last non-missing value strictly before this row
 
     Rows with a missing key get NULL; callers apply the operator's rule.
+    ``chunk_col`` replaces the id-range chunks by any expression that does
+    not decrease along ``order`` (e.g. a score bucket).
     """
     keys = list(keys)
     chunk = "__chunk"
-    rows = df.withColumn(chunk, F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint"))
+    if chunk_col is None:
+        chunk_col = F.floor(F.col(order) / F.lit(chunk_width)).cast("bigint")
+    rows = df.withColumn(chunk, chunk_col)
     part = keys + [chunk]
     w_loc = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     w_before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
