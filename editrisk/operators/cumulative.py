@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import is_small, join_lookup, persist
+from ..session import join_lookup
 
 ORDER = "revisionId"
 # Revision ids per chunk.  Chosen so that a chunk of the busiest key fits a
@@ -98,8 +98,8 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str
     # matches an offset) and masked at the end: one pass over the input.
     local = rows.select("*", *local_cols)
     totals = rows.groupBy(*part).agg(*total_aggs)
-    offsets = persist(totals.where(~_any_null(keys)).select(*part, *offset_cols))
-    joined = join_lookup(local, offsets, part, "left", small=is_small(offsets))
+    offsets = totals.where(~_any_null(keys)).select(*part, *offset_cols)
+    joined = join_lookup(local, offsets, part, "left")
 
     masked = _any_null(keys)
     outs = []

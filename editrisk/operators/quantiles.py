@@ -116,3 +116,24 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list:
 
 def exact_median(df: DataFrame, col: str):
     return exact_quantiles(df, col, [0.5])[0]
+
+
+def exact_medians(df: DataFrame, columns: dict[str, str]) -> dict:
+    """Exact medians of several columns: ``{name: column}`` -> ``{name: median}``.
+
+    One job counts every column; columns with at most ``FINAL_ROWS`` values
+    get Spark's exact ``median`` in one more job (their value maps are
+    bounded); larger ones go through the refinement of ``exact_quantiles``.
+    """
+    if not columns:
+        return {}
+    counts = df.agg(*[F.count(F.col(c)).alias(n) for n, c in columns.items()]).first().asDict()
+    small = {n: c for n, c in columns.items() if counts[n] <= FINAL_ROWS}
+    out = {}
+    if small:
+        row = df.agg(*[F.median(F.col(c).cast("double")).alias(n) for n, c in small.items()]).first()
+        out.update(row.asDict())
+    for n, c in columns.items():
+        if n not in small:
+            out[n] = exact_median(df, c)
+    return out

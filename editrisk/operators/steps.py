@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import is_small, join_lookup, null_safe_join_condition, persist
+from ..session import join_lookup, null_safe_join_condition
 from . import cumulative as C
 from .quantiles import exact_median
 
@@ -190,18 +190,16 @@ class LookupStep(Step):
 
     def fit_transform(self, df, inputs, out, fit=None):
         keys = self.keys(inputs)
-        table = persist(self.fit_table(df, inputs, out, fit))
-        small = is_small(table)
+        table = self.fit_table(df, inputs, out, fit)
         if self.null_safe:
-            right = F.broadcast(table) if small else table
-            r = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out)
+            r = table.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out)
             cond = None
             for k in keys:
                 c = df[k].eqNullSafe(r[f"__k_{k}"])
                 cond = c if cond is None else cond & c
             joined = df.join(r, cond, "left").drop(*[f"__k_{k}" for k in keys])
         else:
-            joined = join_lookup(df, table, keys, "left", small=small)
+            joined = join_lookup(df, table, keys, "left")
         default = F.lit(self.default) if self.default is not None else F.lit(None)
         return joined.withColumn(out, F.coalesce(F.col(out).cast("double"), default.cast("double")))
 

@@ -1,3 +1,90 @@
-"""Queries (q_models)."""
+"""Queries for the feature pipeline, models and the runs over models."""
 
-from .registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.tables import VALIDATION_START, revision_log, ts_lit, with_revlog
+from . import catalog as CAT
+from .pipeline import feature_pipeline
+from .registry import query, r6
+
+FIT_SQL = "\"timestamp\" < TIMESTAMP '2024-01-19 00:00:00'"
+
+
+def fit_pred():
+    return F.col("timestamp") < ts_lit(VALIDATION_START)
+
+
+def feature_table(spark, sf, chunk_width=None):
+    """The main system's batched feature table over the whole stand-in log."""
+    log = revision_log(spark, sf)
+    return feature_pipeline(log, CAT.standin_main(chunk_width), fit_pred())
+
+
+def _freq_sql(name, keys):
+    k = ", ".join(keys)
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    on = " AND ".join(f"r.{c} = {name}.{c}" for c in keys)
+    cte = f"{name} AS (SELECT {k}, count(*) AS n FROM revlog WHERE {FIT_SQL} AND {nn} GROUP BY {k})"
+    return cte, f"LEFT JOIN {name} ON {on}", f"coalesce({name}.n, 0)"
+
+
+_FREQS = [("actionFreq", ["revisionAction"]), ("sliceActionFreq", ["contentType", "revisionAction"]),
+          ("itemActionFreq", ["itemId", "revisionAction"]), ("userFreq", ["userName"]),
+          ("logItemFreq", ["itemId"]), ("revisionTagFreq", ["revisionTag"])]
+
+
+def _feature_sql():
+    ctes, joins, vals = [], [], {}
+    for name, keys in _FREQS:
+        c, j, v = _freq_sql("f_" + name, keys)
+        ctes.append(c)
+        joins.append(j)
+        vals[name] = v
+    w_user = "PARTITION BY userName ORDER BY revisionId ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    w_item = "PARTITION BY itemId ORDER BY revisionId ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    log = "coalesce(sign({x}) * ceil(log2(abs({x}) + 1)), 0)"
+    f32 = "round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 6)"
+    body = f"""
+WITH {", ".join(ctes)},
+med AS (SELECT median(value) AS m FROM revlog WHERE {FIT_SQL}),
+um AS (SELECT userName, avg(value) AS a FROM revlog WHERE {FIT_SQL} AND userName IS NOT NULL GROUP BY userName),
+win AS (SELECT revisionId,
+          CASE WHEN userName IS NULL THEN NULL ELSE count(DISTINCT itemId) OVER ({w_user}) END AS cu,
+          CASE WHEN itemId IS NULL THEN NULL ELSE count(DISTINCT userName) OVER ({w_item}) END AS ci,
+          CASE WHEN userName IS NULL THEN NULL ELSE
+            (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (PARTITION BY userName ORDER BY revisionId)) / 1e6 END AS ts_gap
+        FROM revlog),
+gapmed AS (SELECT median(w.ts_gap) AS m FROM win w JOIN revlog r USING (revisionId) WHERE r.{FIT_SQL})
+SELECT r.revisionId, r.groupId, r.contentType,
+  {f32.format(x="coalesce(r.value, med.m)")} AS valueMedian,
+  {f32.format(x="coalesce(r.value, -1)")} AS valueMinusOne,
+  {f32.format(x=vals["actionFreq"])} AS actionFreq,
+  {f32.format(x=vals["sliceActionFreq"])} AS sliceActionFreq,
+  {f32.format(x=vals["itemActionFreq"])} AS itemActionFreq,
+  {f32.format(x="coalesce(CAST(CAST(r.isRegisteredUser AS INTEGER) AS FLOAT), 0.5)")} AS isRegisteredUser,
+  {f32.format(x=vals["userFreq"])} AS userFreq,
+  {f32.format(x="coalesce(win.cu, 0)")} AS cumUserUniqueItems,
+  {f32.format(x="coalesce(um.a, 0)")} AS userMeanValue,
+  {f32.format(x="coalesce(win.ts_gap, gapmed.m)")} AS userTimeSinceLastRevision,
+  {f32.format(x=log.format(x="CAST(win.ci AS DOUBLE)"))} AS logCumItemUniqueUsers,
+  {f32.format(x=log.format(x="CAST(" + vals["logItemFreq"] + " AS DOUBLE)"))} AS logItemFreq,
+  {f32.format(x='hour(r."timestamp")')} AS revisionHourOfDay,
+  {f32.format(x='isodow(r."timestamp") - 1')} AS revisionDayOfWeek,
+  {f32.format(x=vals["revisionTagFreq"])} AS revisionTagFreq,
+  CAST(r.label AS DOUBLE) AS label
+FROM revlog r {" ".join(joins)}
+  LEFT JOIN um ON r.userName = um.userName
+  JOIN win ON r.revisionId = win.revisionId, med, gapmed"""
+    return with_revlog(body)
+
+
+FEATURES = [f.output for f in CAT.standin_main()]
+
+
+@query("feature_pipeline", _feature_sql())
+def q_feature_pipeline(spark, sf):
+    t = feature_table(spark, sf, chunk_width=1024)
+    return t.select("revisionId", "groupId", "contentType",
+                    *[r6(F.col(c)).alias(c) for c in FEATURES], "label")

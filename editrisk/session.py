@@ -8,9 +8,10 @@ few knobs that decide how plans are executed:
   named by ``spark.checkpoint.dir``; a folder is only chosen when the
   session has none (tests, local runs).
 * ``join_lookup`` - joins a fitted lookup table (one row per key) to the wide
-  row table.  The lookup is broadcast only after its row count has been
-  measured against a bound; otherwise the join is left to a shuffle join,
-  where AQE splits partitions of hot keys on the row side.
+  row table.  A broadcast happens only behind a size check: either a
+  measured row count (``is_small``) or AQE's run-time size of the lookup's
+  shuffle output; beyond the bound it is a shuffle join, where AQE splits
+  partitions of hot keys on the row side.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", str(BROADCAST_MAX_BYTES))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -56,6 +58,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(BROADCAST_MAX_BYTES))
     return spark
 
 
@@ -114,16 +117,22 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str] | Column,
                 how: str = "left", small: bool | None = None) -> DataFrame:
-    """Join a per-key lookup table to the row table.
-
-    ``small`` is the result of a prior :func:`is_small` check; when it is
-    None the check is made here.  Big lookups go through a shuffle join;
-    with AQE skew handling a key holding a third of all rows is split over
-    several tasks on the row side (the lookup side has one row per key).
+    """Join a per-key lookup table (one row per key) to the row table.
+
+    * ``small=True``  - the caller measured the lookup (``is_small``): broadcast;
+    * ``small=False`` - a shuffle join;
+    * ``small=None``  - no hint: AQE measures the lookup's materialised
+      shuffle output at run time and switches to a broadcast join only when
+      it is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond
+      that it stays a sort-merge join, where AQE splits the partitions of hot
+      keys on the row side (``skewJoin``).  This costs no extra job.
     """
-    if small is None:
-        small = is_small(lookup)
-    right = F.broadcast(lookup) if small else lookup
+    if small:
+        right = F.broadcast(lookup)
+    elif small is False:
+        right = lookup.hint("shuffle_merge")
+    else:
+        right = lookup
     if isinstance(keys, Column):
         return rows.join(right, keys, how)
     return rows.join(right, list(keys), how)

@@ -14,6 +14,7 @@ written in SQL for the DuckDB oracle, see ``REVLOG_SQL``):
   every content slice holds both classes
 * ``revisionAction`` = ``event_type``; ``revisionTag`` = action and item decile
 * ``value``       = ``value``, missing above 100 (numeric feature)
+* ``isRegisteredUser`` = odd user ids, missing with the user
 * ``label``       = ``event_type = 'error'`` (``rollbackReverted``)
 """
 
@@ -57,6 +58,7 @@ def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("revisionAction"),
         F.concat_ws(",", F.col("event_type"), F.concat(F.lit("k"), (item / 10).cast("bigint").cast("string"))).alias("revisionTag"),
         F.when(F.col("value") > 100, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"),
+        F.when(user.isNull(), F.lit(None).cast("boolean")).otherwise(F.col("user_id") % 2 == 1).alias("isRegisteredUser"),
         (F.col("event_type") == "error").alias("label"),
     )
 
@@ -77,6 +79,7 @@ revlog AS (
          event_type AS revisionAction,
          event_type || ',k' || CAST(CAST(trunc(CAST(json_extract_string(props, '$.k') AS BIGINT) / 10) AS BIGINT) AS VARCHAR) AS revisionTag,
          CASE WHEN value > 100 THEN NULL ELSE value END AS value,
+         CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id % 2 = 1 END AS isRegisteredUser,
          event_type = 'error' AS label
   FROM events
 )"""
