@@ -115,7 +115,7 @@ def drop_duplicates(df: DataFrame, cols=None, order: str | None = None) -> DataF
 # ----------------------------------------------------------- exact samples
 def _hash_rank_key(key: str, seed: int) -> Column:
     # Non-negative 63-bit hash; ties broken by the key itself.
-    return F.xxhash64(F.col(key), F.lit(seed)) & F.lit(0x7FFFFFFFFFFFFFFF)
+    return F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
 def hash_threshold(df: DataFrame, k: int, key: str = ORDER, seed: int = 1):
@@ -225,7 +225,7 @@ def balanced_sample(df: DataFrame, slice_col: str = "contentType", label: str =
     ranking is a top-n per slice, which Spark evaluates with a per-partition
     limit before the shuffle.
     """
-    u = (F.xxhash64(F.col(key), F.lit(seed)) & F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2 ** 63))
+    u = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))).cast("double") / F.lit(float(2 ** 63))
     u = F.greatest(u, F.lit(1e-300))
     # Class sizes: one row per (slice, label), so broadcasting is bounded by
     # the number of slices times two.

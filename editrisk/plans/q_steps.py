@@ -117,10 +117,10 @@ _expr_query("logical_or", "coalesce(value > 50, false) OR coalesce(userId IS NUL
             lambda d: S.logical_or(F.col("value") > 50, F.col("userId").isNull(), F.col("label")))
 _expr_query("clamp_infinity",
             "CASE WHEN value > 90 THEN 1.7976931348623157e308 WHEN value < 1 THEN -1.7976931348623157e308 "
-            "ELSE round(value, 6) END",
-            lambda d: r6(S.clamp_infinity(
+            "ELSE value END",
+            lambda d: S.clamp_infinity(
                 F.when(F.col("value") > 90, F.lit(float("inf")))
-                 .when(F.col("value") < 1, F.lit(float("-inf"))).otherwise(F.col("value")))))
+                 .when(F.col("value") < 1, F.lit(float("-inf"))).otherwise(F.col("value"))))
 
 
 def _scalar_query(name, stat, sql_agg):
