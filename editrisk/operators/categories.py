@@ -86,16 +86,15 @@ def long_tail(df: DataFrame, col: str, out: str, count: int) -> DataFrame:
 
 # ------------------------------------------------------------------ impact coding
 def impact_table(df: DataFrame, col: str, label: str, alpha: float,
-                 fit: Column | None = None, out: str = "impact") -> tuple[DataFrame, Column]:
+                 fit: Column | None = None, out: str = "impact") -> tuple[DataFrame, float]:
     """Smoothed positive rate per level, ``(n1 + p alpha) / (n0 + n1 + alpha)``,
     and the prior ``p`` (the value of unseen levels).  Missing is the level 'nan'."""
     rows = _fit_rows(df, fit).select(F.coalesce(F.col(col).cast("string"), F.lit("nan")).alias(col),
                                      F.col(label).cast("double").alias("__y"))
-    prior = rows.agg(F.avg("__y").alias("p"))
+    prior = rows.agg(F.avg("__y")).first()[0]  # one scalar
+    p = F.lit(prior).cast("double")
     levels = rows.groupBy(col).agg(F.sum("__y").alias("n1"), F.count(F.lit(1)).alias("n"))
-    # one row: the prior, joined to every level (a one-row broadcast)
-    tab = levels.join(F.broadcast(prior), how="inner").select(
-        col, ((F.col("n1") + F.col("p") * alpha) / (F.col("n") + alpha)).alias(out), "p")
+    tab = levels.select(col, ((F.col("n1") + p * alpha) / (F.col("n") + alpha)).alias(out))
     return tab, prior
 
 
@@ -105,8 +104,7 @@ def impact_code(df: DataFrame, col: str, label: str, out: str, alpha: float = 1.
     key = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
     d = df.withColumn("__lvl", key)
     j = join_lookup(d, tab.select(F.col(col).alias("__lvl"), out), ["__lvl"], "left")
-    j = j.join(F.broadcast(prior), how="inner")
-    return j.withColumn(out, F.coalesce(F.col(out), F.col("p"))).drop("__lvl", "p")
+    return j.withColumn(out, F.coalesce(F.col(out), F.lit(prior).cast("double"))).drop("__lvl")
 
 
 def column_names(df: DataFrame, prefix: str) -> Sequence[str]:

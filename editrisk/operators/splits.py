@@ -203,16 +203,17 @@ def _kth_smallest(df: DataFrame, col: str, k: int):
 def undersample(df: DataFrame, n_times: float, label: str = "label", key: str = ORDER,
                 seed: int = 1) -> DataFrame:
     """All positives plus floor(n_times * positives) random negatives."""
-    pos = df.where(F.col(label)).count()
-    neg = df.where(~F.col(label))
+    y = F.col(label).cast("boolean")
+    pos = df.where(y).count()
+    neg = df.where(~y)
     k = math.floor(n_times * pos)
     cut = hash_threshold(neg, k, key, seed)
-    return df.where(F.col(label) | _below(cut, key, seed))
+    return df.where(y | _below(cut, key, seed))
 
 
 def oversample(df: DataFrame, n_times: int, label: str = "label") -> DataFrame:
     """Each positive row ``n_times`` times (a ``copy`` column numbers them)."""
-    reps = F.when(F.col(label), F.lit(n_times)).otherwise(F.lit(1))
+    reps = F.when(F.col(label).cast("boolean"), F.lit(n_times)).otherwise(F.lit(1))
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), reps)))
 
 

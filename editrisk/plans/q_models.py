@@ -88,3 +88,141 @@ def q_feature_pipeline(spark, sf):
     t = feature_table(spark, sf, chunk_width=1024)
     return t.select("revisionId", "groupId", "contentType",
                     *[r6(F.col(c)).alias(c) for c in FEATURES], "label")
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+from ..operators import models as M  # noqa: E402
+from ..sources.tables import TEST_START, TRAIN_START  # noqa: E402
+from . import runs as RU  # noqa: E402
+
+
+def _main_split(spark, sf, system="MAIN"):
+    features = CAT.SYSTEMS[system]()
+    table = RU.build_table(revision_log(spark, sf), features, VALIDATION_START, TEST_START)
+    train, valid = RU.split(table, TRAIN_START, VALIDATION_START, TEST_START)
+    return features, train, valid
+
+
+def _rounded_metrics(m):
+    keep = [c for c in m.columns if c not in ("fprValues", "tprValues", "rocThresholds")]
+    return m.select(*[r6(F.col(c)).alias(c) if c in ("ROC", "PR", "PR_trapezoid") else F.col(c) for c in keep])
+
+
+@query("forest_default")
+def q_forest_default(spark, sf):
+    _, train, valid = _main_split(spark, sf)
+    scored, _, _, _ = M.fit_predict(train, valid, M.DEFAULT_FOREST)
+    return scored.select("revisionId", "label", "prob")
+
+
+@query("forest_tuned")
+def q_forest_tuned(spark, sf):
+    _, train, valid = _main_split(spark, sf)
+    scored, _, _, _ = M.fit_predict(train, valid, M.TUNED["MAIN"]["FOREST"])
+    return scored.select("revisionId", "label", "prob")
+
+
+@query("bagging")
+def q_bagging(spark, sf):
+    _, train, valid = _main_split(spark, sf)
+    scored, _, _, _ = M.fit_predict(train, valid, M.TUNED["MAIN"]["BAGGING"])
+    return scored.select("revisionId", "label", "prob")
+
+
+@query("fit_predict_evaluate")
+def q_fit_predict_evaluate(spark, sf):
+    _, train, valid = _main_split(spark, sf)
+    scored, _, times = RU.forest_run(train, valid, M.DEFAULT_FOREST, "Default random forest")
+    m = _rounded_metrics(M.evaluate(scored, ["model"], curves=True))
+    return m.select("*", *[F.lit(float(times[k])).alias(k) for k in ("FIT_TIME", "PROB_TIME", "TOTAL_TIME")])
+
+
+@query("simple_multi_instance")
+def q_simple_multi_instance(spark, sf):
+    features, train, valid = _main_split(spark, sf)
+    d = RU.simple_multi_instance(train, valid, M.TUNED["MAIN"]["BAGGING"], CAT.feature_names(features))
+    return d.select("revisionId", "groupId", "smi")
+
+
+@query("session_family")
+def q_session_family(spark, sf):
+    features, train, valid = _main_split(spark, sf)
+    scored = RU.session_family(train, valid, M.TUNED["MAIN"]["BAGGING"], CAT.feature_names(features))
+    return _rounded_metrics(M.evaluate(scored, ["model"], curves=False))
+
+
+@query("group_classifiers")
+def q_group_classifiers(spark, sf):
+    features, train, valid = _main_split(spark, sf)
+    return _rounded_metrics(RU.group_classifiers(train, valid, features, "MAIN"))
+
+
+def _ranking(spark, sf):
+    features, train, valid = _main_split(spark, sf)
+    return features, RU.feature_ranking(train, valid, features)
+
+
+@query("feature_ranking")
+def q_feature_ranking(spark, sf):
+    return _ranking(spark, sf)[1]
+
+
+@query("rank_by_pr")
+def q_rank_by_pr(spark, sf):
+    return RU.rank_by_pr(_ranking(spark, sf)[1])
+
+
+@query("rank_by_group")
+def q_rank_by_group(spark, sf):
+    features, r = _ranking(spark, sf)
+    return RU.rank_by_group(r, features)
+
+
+@query("feature_importances")
+def q_feature_importances(spark, sf):
+    features, train, _ = _main_split(spark, sf)
+    model = M.fit_forest(train, M.DEFAULT_FOREST)
+    return M.importance_table(spark, model, CAT.feature_names(features))
+
+
+def _grid(spark, sf):
+    features, train, valid = _main_split(spark, sf)
+    return RU.grid_search(train, valid, RU.forest_grid(), len(features))
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    return _rounded_metrics(_grid(spark, sf))
+
+
+@query("best_params")
+def q_best_params(spark, sf):
+    return RU.best_params(_grid(spark, sf))
+
+
+@query("cross_validation")
+def q_cross_validation(spark, sf):
+    _, train, valid = _main_split(spark, sf)
+    return RU.cross_validation(train, valid)
+
+
+@query("expanding_backtest")
+def q_expanding_backtest(spark, sf):
+    # weekly windows over the stand-in month (window length is a parameter)
+    m = RU.expanding_backtest(revision_log(spark, sf), TRAIN_START, "2024-01-15 00:00:00",
+                              "2024-01-29 00:00:00", 7)
+    return _rounded_metrics(m)
+
+
+@query("run_system")
+def q_run_system(spark, sf):
+    m = RU.run_system(revision_log(spark, sf), "MAIN", "VALIDATION", TRAIN_START, VALIDATION_START, TEST_START)
+    return _rounded_metrics(m)
+
+
+@query("report_order")
+def q_report_order(spark, sf):
+    m = RU.run_system(revision_log(spark, sf), "MAIN", "VALIDATION", TRAIN_START, VALIDATION_START, TEST_START)
+    classifiers = ["Default random forest", "Optimized random forest", "Bagging", "SIL MI", "Simple MI",
+                   "Combined MI"]
+    return RU.report_order(_rounded_metrics(m), ["MAIN"], classifiers)
