@@ -94,17 +94,21 @@ def logical_or(*cols: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in cols], F.lit(False))
 
 
+def _uniform(key: Column, salt: str) -> Column:
+    """A uniform value in (0, 1] from the first 52 bits of md5(key:salt)."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{salt}")))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+    return (bits + 1.0) / F.lit(float(2 ** 52))
+
+
 def normal_noise(key: Column, seed: int) -> Column:
     """Seeded N(0, 1) per row, stable under any partitioning.
 
-    Two uniforms are derived from ``xxhash64(key, seed)`` and mapped by
-    Box-Muller; ``randn`` would change with the partition layout.
+    Two uniforms come from an md5 of the row key and the seed and are mapped
+    by Box-Muller; ``randn`` would change with the partition layout.
     """
-    h1 = F.xxhash64(key, F.lit(seed))
-    h2 = F.xxhash64(key, F.lit(seed + 0x9E3779B9))
-    # 53 random bits -> (0, 1]
-    u1 = (F.shiftrightunsigned(h1, 11).cast("double") + 1.0) / F.lit(float(2 ** 53))
-    u2 = F.shiftrightunsigned(h2, 11).cast("double") / F.lit(float(2 ** 53))
+    u1 = _uniform(key, f"{seed}a")
+    u2 = _uniform(key, f"{seed}b")
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * u2)
 
 

@@ -138,11 +138,17 @@ _scalar_query("impute_mean", "mean", "avg")
 _scalar_query("impute_median", "median", "median")
 
 
-@query("normal_noise")
+def _u_sql(salt):
+    return (f"((CAST(('0x' || substr(md5(CAST(revisionId AS VARCHAR) || ':{salt}'), 1, 13)) AS BIGINT) + 1.0)"
+            f" / 4503599627370496.0)")
+
+
+@query("normal_noise", with_revlog(f"""
+SELECT revisionId, round(sqrt(-2.0 * ln({_u_sql("1a")})) * cos(2.0 * pi() * {_u_sql("1b")}), 6) AS noise
+FROM revlog"""))
 def q_normal_noise(spark, sf):
-    # seeded, hash-derived: no SQL twin (DuckDB has no xxhash64)
     log = revision_log(spark, sf)
-    return log.select("revisionId", S.normal_noise(F.col("revisionId"), 1).alias("noise"))
+    return log.select("revisionId", r6(S.normal_noise(F.col("revisionId"), 1)).alias("noise"))
 
 
 # ------------------------------------------------------------ value classes

@@ -1 +1,7 @@
-"""streaming"""
+"""Streaming: intentionally empty.
+
+The reference processes a finite, ordered log in batch; it has no stream
+source, watermark, event-time window or state store, and its "online
+learning" is a batch loop over expanding time windows
+(``plans.runs.expanding_backtest``).  No stream operator is added here.
+"""
