@@ -33,13 +33,13 @@ def most_frequent_tag(df: DataFrame, col: str, out: str, fit: Column | None = No
     tag list (``posexplode`` + join to the counts + ``max_by``) and joined
     back, so a frequent list is resolved once.
     """
-    counts = tag_counts(df, col, fit)
+    counts = tag_counts(df, col, fit).select(F.col("tag").alias("__tag"), F.col("frequency").alias("__freq"))
     lists = df.where(F.col(col).isNotNull()).select(col).distinct()
-    exploded = lists.select(col, F.posexplode(F.split(F.col(col), ",")).alias("pos", "tag"))
-    scored = join_lookup(exploded, counts, ["tag"], "left").withColumn(
-        "frequency", F.coalesce(F.col("frequency"), F.lit(0)))
+    exploded = lists.select(col, F.posexplode(F.split(F.col(col), ",")).alias("__pos", "__tag"))
+    scored = join_lookup(exploded, counts, ["__tag"], "left").withColumn(
+        "__freq", F.coalesce(F.col("__freq"), F.lit(0)))
     best = scored.groupBy(col).agg(
-        F.max_by("tag", F.struct(F.col("frequency"), -F.col("pos"))).alias(out))
+        F.max_by("__tag", F.struct(F.col("__freq"), -F.col("__pos"))).alias(out))
     return join_lookup(df, best, [col], "left")
 
 
