@@ -22,6 +22,7 @@ gives ``'NA'``.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,7 +191,13 @@ def prev_value(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -
 def time_since_previous(df: DataFrame, key: str, ts: str, out: str, **kw) -> DataFrame:
     """Seconds since the previous row of the same key; first row -> missing."""
     micros = "__ts_us"
-    d = df.withColumn(micros, F.unix_micros(F.col(ts).cast("timestamp")))
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        # wall-clock difference, independent of the session time zone
+        us = F.timestamp_diff("MICROSECOND", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"),
+                              F.col(ts))
+    else:
+        us = F.unix_micros(F.col(ts))
+    d = df.withColumn(micros, us)
     r = running(d, [key], {"__prev_us": ("last_before", micros)}, **kw)
     # A row with a missing key is a group of its own in the reference's diff
     # (it has no previous row) -> missing.

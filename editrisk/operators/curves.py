@@ -73,6 +73,8 @@ def score_points(df: DataFrame, score: str = "prob", label: str = "label",
            .groupBy(*keys, "score")
            .agg(F.sum(lab).cast("bigint").alias("pos"),
                 F.sum(1 - lab).cast("bigint").alias("neg")))
+    # the grouped points feed three passes (bounds, local scan, chunk totals)
+    pts = persist(pts)
     # score buckets for the segmented scan (descending score = ascending chunk)
     bounds = pts.agg(F.percentile_approx(F.col("score"),
                                          [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)],
