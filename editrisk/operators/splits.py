@@ -98,6 +98,19 @@ def filter_misclassified(df: DataFrame, label: str = "label", prob: str = "prob"
     return df.where(F.col(label) & (F.col(prob) < below))
 
 
+def sample_k(df: DataFrame, k: int, key: str = ORDER, seed: int = 1) -> DataFrame:
+    """Exactly min(k, n) rows, seeded (hash rank threshold, no global sort)."""
+    return df.where(_below(hash_threshold(df, k, key, seed), key, seed))
+
+
+def misclassified_report(df: DataFrame, label: str = "label", prob: str = "prob",
+                         below: float = 0.25, k: int = 1000):
+    """(summary statistics, sample of at most k rows) of the hard misses."""
+    from .stats import describe_all
+    rows = filter_misclassified(df, label, prob, below)
+    return describe_all(rows), sample_k(rows, k)
+
+
 def complement(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows not selected by ``predicate`` (a missing predicate counts as not selected)."""
     return df.where(~F.coalesce(predicate, F.lit(False)))
@@ -178,26 +191,17 @@ def ordered_split(df: DataFrame, fraction: float, order: str = ORDER):
         return df.where(F.lit(False)), df
     if k >= n:
         return df, df.where(F.lit(False))
-    # k-th smallest order value: histogram of the order value by quantile
-    # bounds, then rank inside one bucket (no global sort).
+    # k-th smallest order value without a global sort
     kth = _kth_smallest(df, order, k)
     return df.where(F.col(order) <= F.lit(kth)), df.where(F.col(order) > F.lit(kth))
 
 
 def _kth_smallest(df: DataFrame, col: str, k: int):
-    bounds = df.agg(F.percentile_approx(col, [i / 64 for i in range(1, 64)], 10000).alias("q")).first()["q"]
-    bounds = sorted(set(b for b in bounds if b is not None))
-    b = F.lit(0)
-    for x in bounds:
-        b = b + F.when(F.col(col) > F.lit(x), 1).otherwise(0)
-    hist = (df.select(b.alias("b")).groupBy("b").count()
-              .withColumn("cum", F.sum("count").over(Window.orderBy("b")))
-              .where(F.col("cum") >= k).orderBy("b").limit(1).collect())[0]
-    need = k - (hist["cum"] - hist["count"])
-    row = (df.select(col).where(b == hist["b"])
-             .withColumn("r", F.row_number().over(Window.orderBy(col)))
-             .where(F.col("r") == need).first())
-    return row[col]
+    """The k-th smallest value (1-based) by the bounded refinement search of
+    ``quantiles.kth_smallest`` (no task ranks more than FINAL_ROWS rows)."""
+    from .quantiles import kth_smallest
+    values = df.select(F.col(col).cast("double").alias(col))
+    return kth_smallest(values, col, k - 1)
 
 
 def undersample(df: DataFrame, n_times: float, label: str = "label", key: str = ORDER,

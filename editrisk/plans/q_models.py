@@ -49,7 +49,7 @@ def _feature_sql():
     body = f"""
 WITH {", ".join(ctes)},
 med AS (SELECT median(value) AS m FROM revlog WHERE {FIT_SQL}),
-um AS (SELECT userName, avg(value) AS a FROM revlog WHERE {FIT_SQL} AND userName IS NOT NULL GROUP BY userName),
+um AS (SELECT userName, avg(value) AS a FROM revlog WHERE {FIT_SQL} GROUP BY userName),
 win AS (SELECT revisionId,
           CASE WHEN userName IS NULL THEN NULL ELSE count(DISTINCT itemId) OVER ({w_user}) END AS cu,
           CASE WHEN itemId IS NULL THEN NULL ELSE count(DISTINCT userName) OVER ({w_item}) END AS ci,
@@ -75,7 +75,7 @@ SELECT r.revisionId, r.groupId, r.contentType,
   {f32.format(x=vals["revisionTagFreq"])} AS revisionTagFreq,
   CAST(r.label AS DOUBLE) AS label
 FROM revlog r {" ".join(joins)}
-  LEFT JOIN um ON r.userName = um.userName
+  LEFT JOIN um ON r.userName IS NOT DISTINCT FROM um.userName
   JOIN win ON r.revisionId = win.revisionId, med, gapmed"""
     return with_revlog(body)
 

@@ -274,25 +274,46 @@ def cross_validation(train: DataFrame, valid: DataFrame, k: int = 5) -> DataFram
 
 
 # ------------------------------------------------------------------ backtest
-def windows(train_start: str, first_validation: str, end: str, step_days: int) -> list[tuple[str, str]]:
-    """(validation start, test start) pairs stepping by ``step_days``."""
+def _add_months(d: dt.datetime, months: int) -> dt.datetime:
+    m = d.month - 1 + months
+    return d.replace(year=d.year + m // 12, month=m % 12 + 1)
+
+
+def windows(train_start: str, first_validation: str, end: str, step_days: int = 7,
+            step_months: int | None = None) -> list[tuple[str, str]]:
+    """(validation start, test start) pairs: the validation window and the
+    step have the same length (days, or calendar months when ``step_months``
+    is given); the last test start is at most ``end``."""
     fmt = "%Y-%m-%d %H:%M:%S"
+    stop = dt.datetime.strptime(end, fmt)
+
+    def nxt(x):
+        return _add_months(x, step_months) if step_months else x + dt.timedelta(days=step_days)
     v = dt.datetime.strptime(first_validation, fmt)
     out = []
-    while v + dt.timedelta(days=step_days) <= dt.datetime.strptime(end, fmt):
-        t = v + dt.timedelta(days=step_days)
-        out.append((v.strftime(fmt), t.strftime(fmt)))
-        v = t
+    while nxt(v) <= stop:
+        out.append((v.strftime(fmt), nxt(v).strftime(fmt)))
+        v = nxt(v)
     return out
 
 
+def month_windows() -> list[tuple[str, str]]:
+    """The real corpus' backtest: from 2013-05-01, two-month windows and steps."""
+    from ..sources import constants as K
+    fmt = "%Y-%m-%d %H:%M:%S"
+    first = _add_months(dt.datetime.strptime(K.BACKTEST_TRAINING_START, fmt), K.BACKTEST_VALIDATION_MONTHS)
+    return windows(K.BACKTEST_TRAINING_START, first.strftime(fmt), K.BACKTEST_END,
+                   step_months=K.BACKTEST_STEP_MONTHS)
+
+
 def expanding_backtest(log: DataFrame, train_start: str, first_validation: str, end: str,
-                       step_days: int = 7, systems: Sequence[str] = ("MAIN", "FILTER", "BASELINE")) -> DataFrame:
+                       step_days: int = 7, systems: Sequence[str] = ("MAIN", "FILTER", "BASELINE"),
+                       step_months: int | None = None) -> DataFrame:
     """Train from the start to t, validate [t, t + step): the main system runs
     the session family, the baselines the default forest; adds the positive
     fraction of each validation window."""
     frames = []
-    for v_start, t_start in windows(train_start, first_validation, end, step_days):
+    for v_start, t_start in windows(train_start, first_validation, end, step_days, step_months):
         label = f"{v_start[:10]} to {t_start[:10]}"
         for system in systems:
             features = CAT.SYSTEMS[system]()
