@@ -7,9 +7,10 @@ operators here are therefore *segmented prefix scans*:
 1. each row gets a chunk number ``floor(id / chunk_width)``;
 2. a window over ``(keys, chunk)`` gives the running value inside the chunk
    (a hot key is spread over all of its chunks);
-3. a grouped aggregate over ``(keys, chunk)`` (map-side combined) gives one
-   total per chunk, and a window over that small table gives the total of
-   all *earlier* chunks of the key (the offset);
+3. the last local value of each chunk is its total (a groupBy on the
+   columns the local scan is already partitioned by: no extra shuffle), and
+   a window over that small table gives the total of all *earlier* chunks
+   of the key (the offset);
 4. offset and local value are combined after a join on ``(keys, chunk)``;
    the row side is already partitioned on those columns by step 2, so only
    the small offset table moves (or it is broadcast after a size check).
@@ -28,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_lookup
+from ..session import join_lookup, persist
 
 ORDER = "revisionId"
 # Revision ids per chunk.  Chosen so that a chunk of the busiest key fits a
@@ -71,35 +72,45 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str
     w_before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
     local_cols, total_aggs, offset_cols = [], [], []
+    w_tot = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     for out, (kind, value) in specs.items():
         if kind not in _KINDS:
             raise ValueError(f"unknown running kind {kind}")
         loc, tot, off = f"__{out}_loc", f"__{out}_tot", f"__{out}_off"
         v = F.col(value) if value else None
-        w_tot = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        lc = F.col(loc)
+        # chunk totals are read off the local scan (its last row per chunk)
         if kind == "count":
             local_cols.append(F.count(F.lit(1)).over(w_loc).alias(loc))
-            total_aggs.append(F.count(F.lit(1)).alias(tot))
+            total_aggs.append(F.max(lc).alias(tot))
             offset_cols.append(F.coalesce(F.sum(tot).over(w_tot), F.lit(0)).alias(off))
         elif kind == "sum":
             local_cols.append(F.sum(F.coalesce(v, F.lit(0))).over(w_loc).alias(loc))
-            total_aggs.append(F.sum(F.coalesce(v, F.lit(0))).alias(tot))
+            total_aggs.append(F.max_by(lc, F.col(order)).alias(tot))
             offset_cols.append(F.sum(tot).over(w_tot).alias(off))
         elif kind in ("min", "max"):
             fn = F.min if kind == "min" else F.max
             local_cols.append(fn(v).over(w_loc).alias(loc))
-            total_aggs.append(fn(v).alias(tot))
+            total_aggs.append(fn(lc).alias(tot))
             offset_cols.append(fn(tot).over(w_tot).alias(off))
         else:  # last_before
             local_cols.append(F.last(v, ignorenulls=True).over(w_before).alias(loc))
             total_aggs.append(F.max_by(v, F.when(v.isNotNull(), F.col(order))).alias(tot))
             offset_cols.append(F.last(tot, ignorenulls=True).over(w_tot).alias(off))
 
-    # Rows with a missing key part are computed along (their window never
-    # matches an offset) and masked at the end: one pass over the input.
-    local = rows.select("*", *local_cols)
-    totals = rows.groupBy(*part).agg(*total_aggs)
-    offsets = totals.where(~_any_null(keys)).select(*part, *offset_cols)
+    # One shuffle of the rows: the local scan is partitioned by (keys, chunk),
+    # so the chunk totals (a groupBy on the same columns) and the final join
+    # on them need no further exchange of the rows; only the small offset
+    # table moves.  Rows with a missing key part are computed along (their
+    # window never matches an offset) and masked at the end.
+    # ``local`` is cached: its totals and the final join read the same scan
+    # (otherwise the optimizer's inferred null filters would make the totals
+    # branch shuffle the rows a second time)
+    local = persist(rows.select("*", *local_cols))
+    totals = local.groupBy(*part).agg(*total_aggs)
+    # (no key filter here: it would be pushed below the window and stop the
+    # local scan's shuffle from being reused; missing keys never join)
+    offsets = totals.select(*part, *offset_cols)
     joined = join_lookup(local, offsets, part, "left")
 
     masked = _any_null(keys)
