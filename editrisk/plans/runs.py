@@ -243,6 +243,19 @@ def best_params(grid: DataFrame, pr: str = "PR") -> DataFrame:
                              F.struct(F.col(pr), -F.col("model").cast("int"))).alias("best")).select("best.*")
 
 
+def optimize(train: DataFrame, valid: DataFrame, n_features: int):
+    """All three grids of one system (forest, bagging, sampling): the metric
+    table of every grid point (column ``grid``) and the best point per grid
+    as ``ForestSpec`` values, ready for the tuned runs."""
+    tables, best = [], {}
+    for name, specs in (("FOREST", forest_grid()), ("BAGGING", bagging_grid()), ("SAMPLING", sampling_grid())):
+        g = persist(grid_search(train, valid, specs, n_features).withColumn("grid", F.lit(name)))
+        b = best_params(g).first()
+        best[name] = M.ForestSpec(b["trees"], b["depth"], b["features"], b["bags"], b["sample"], b["seed"])
+        tables.append(g)
+    return _union(tables), best
+
+
 # ------------------------------------------------------------------ cross validation
 def stratified_folds(df: DataFrame, k: int = 5, key: str = "revisionId", seed: int = 1) -> DataFrame:
     """Fold = (rank inside the class by a seeded hash) mod k: exact
@@ -339,4 +352,4 @@ def timed(fn, *args, **kw):
 
 __all__ = ["run_system", "classify", "session_family", "simple_multi_instance", "group_classifiers",
            "feature_ranking", "rank_by_pr", "rank_by_group", "report_order", "grid_search", "best_params",
-           "cross_validation", "expanding_backtest", "Column"]
+           "cross_validation", "expanding_backtest", "optimize", "Column"]
