@@ -25,7 +25,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import steps as ST
 from ..session import join_lookup, persist
 from ..operators.quantiles import exact_medians
 from ..sources.csv_log import prune_columns
@@ -130,6 +129,3 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
 
 def feature_columns(features: Sequence[Feature]) -> list[str]:
     return feature_names(features)
-
-
-__all__ = ["feature_pipeline", "feature_columns", "META", "ST"]

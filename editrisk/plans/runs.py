@@ -10,13 +10,12 @@ the loop's plans stay short.
 from __future__ import annotations
 
 import datetime as dt
-import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import cumulative as C
@@ -344,12 +343,3 @@ def expanding_backtest(log: DataFrame, train_start: str, first_validation: str,
     return _union(frames)
 
 
-def timed(fn, *args, **kw):
-    t0 = time.time()
-    out = fn(*args, **kw)
-    return out, time.time() - t0
-
-
-__all__ = ["run_system", "classify", "session_family", "simple_multi_instance", "group_classifiers",
-           "feature_ranking", "rank_by_pr", "rank_by_group", "report_order", "grid_search", "best_params",
-           "cross_validation", "expanding_backtest", "optimize", "Column"]
