@@ -47,7 +47,11 @@ def _check_unique(features: Sequence[Feature]) -> None:
 
 
 def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | None,
-                     label: str = "label", meta: Sequence[str] = META) -> DataFrame:
+                     label: str = "label", meta: Sequence[str] = META,
+                     cache_input: bool = False) -> DataFrame:
+    """Feature table of ``df``; ``cache_input`` also caches the pruned input
+    (worth it when the input is derived by costly expressions, not for a
+    typed Parquet log, whose pruned columns are cheaper to re-read)."""
     _check_unique(features)
     cols = prune_columns([f.inputs for f in features], meta, label)
     cur = df.select(*cols)
@@ -56,9 +60,11 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
     for r in range(rounds):
         active = [(f, f.steps[r]) for f in features if r < len(f.steps)]
         tmp = {f.output: f"__{f.output}__{r}" for f, _ in active}
-        # Every fit of this round reads the round's start table, cached once:
-        # the plan stays linear in the number of features.
-        start = persist(cur)
+        # Every fit of this round reads the round's start table.  From round 1
+        # on it carries computed features and is cached once, so the plan
+        # stays linear in the number of features; round 0 is the pruned scan
+        # itself, which is cheaper to re-read than to cache.
+        start = cur if (r == 0 and not cache_input) else persist(cur)
         fit_rows = start if fit is None else start.where(fit)
         cur = start
 

@@ -19,7 +19,8 @@ def fit_pred():
 def feature_table(spark, sf, chunk_width=None):
     """The main system's batched feature table over the whole stand-in log."""
     log = revision_log(spark, sf)
-    return feature_pipeline(log, CAT.standin_main(chunk_width), fit_pred())
+    # the stand-in log parses JSON per row: cache its pruned projection once
+    return feature_pipeline(log, CAT.standin_main(chunk_width), fit_pred(), cache_input=True)
 
 
 def _freq_sql(name, keys):

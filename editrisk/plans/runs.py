@@ -34,11 +34,12 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def build_table(log: DataFrame, features: Sequence[CAT.Feature], validation_start: str,
-                end: str | None = None) -> DataFrame:
+                end: str | None = None, cache_input: bool = True) -> DataFrame:
     """Feature table of all rows before ``end``, fitted on rows before the
     validation start, assembled and checkpointed."""
     rows = log if end is None else log.where(F.col("timestamp") < ts_lit(end))
-    table = feature_pipeline(rows, features, F.col("timestamp") < ts_lit(validation_start))
+    table = feature_pipeline(rows, features, F.col("timestamp") < ts_lit(validation_start),
+                             cache_input=cache_input)
     names = CAT.feature_names(features)
     return cut_lineage(M.assemble(table, names))
 
