@@ -40,7 +40,15 @@ def ts_lit(value: str) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a table; a source with fewer splits than the cluster's cores
+    (one small file, one row group) is spread round-robin over the cores so
+    that parsing and map-side work run in parallel.  Sources of a real log
+    have many splits and are left as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
