@@ -180,9 +180,8 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         t = f.dataType.typeName()
         if t in ("integer", "long", "float", "double", "short", "byte", "decimal"):
             numeric.append(f.name)
-        elif t == "boolean":
-            numeric.append(f.name)
         else:
+            # text, category and boolean columns: count, unique, top, freq
             text.append(f.name)
     aggs = []
     for c in numeric:
@@ -209,7 +208,7 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     for c in text:
         top = (df.where(F.col(c).isNotNull()).groupBy(c).count()
                  .orderBy(F.desc("count"), F.asc(c)).limit(1).collect())
-        t, fq = (top[0][c], top[0]["count"]) if top else (None, None)
+        t, fq = (str(top[0][c]), top[0]["count"]) if top else (None, None)
         rows.append((c, row[f"{c}__count"], row[f"{c}__unique"], t, fq, None, None, None, None,
                      None, None, None))
     schema = ("column string, count bigint, unique bigint, top string, freq bigint, mean double, "

@@ -45,3 +45,17 @@ def test_running_scan_shuffles_rows_once(spark):
     # the row-level exchange is the one under the local window (cached);
     # everything else moves per-chunk totals only
     assert plan.count("InMemoryRelation") >= 1
+
+
+def test_top_n_per_group_is_limited_before_the_shuffle(spark):
+    from pyspark.sql import functions as F
+    from editrisk.operators import splits as SP
+    from editrisk.sources.tables import revision_log
+    log = (revision_log(spark, SF_SMALL).withColumn("prob", F.col("value") / 101)
+           .withColumn("pred", F.col("prob") > 0.5))
+    for df in (SP.balanced_sample(log), SP.sample_errors(log), SP.topk_misclassified(log),
+               SP.drop_duplicates(log.select("revisionId", "userName", "itemId"), ["userName", "itemId"],
+                                  "revisionId")):
+        plan = df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+        # a partial per-partition limit precedes the exchange, a final one follows it
+        assert plan.count("WindowGroupLimit") == 2
