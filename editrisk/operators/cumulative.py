@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,71 +147,153 @@ def first_occurrence(df: DataFrame, keys: Sequence[str], value: str,
 
 
 # --------------------------------------------------------------------------
-# Operators (each adds one column ``out``)
+# Operators.  Each is a ``RunningOp``: helper columns to add first (``pre``),
+# scan specs for ``running`` and the expression of the result (``post``).
+# ``run_batch`` evaluates any number of operators sharing one key set in ONE
+# segmented scan (one shuffle); the single-operator functions below use it.
 # --------------------------------------------------------------------------
 
-def cum_frequency(df: DataFrame, keys: Sequence[str], out: str, **kw) -> DataFrame:
+@dataclass
+class RunningOp:
+    keys: list[str]
+    out: str
+    specs: dict[str, tuple[str, str | None]]
+    post: Column
+    pre: list = field(default_factory=list)  # [(name, Column)] or ("first", keys, value, name)
+    helpers: list[str] = field(default_factory=list)
+
+
+def _ts_micros(df: DataFrame, ts: str) -> Column:
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        # wall-clock difference, independent of the session time zone
+        return F.timestamp_diff("MICROSECOND", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"),
+                                F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
+def op_cum_frequency(keys, out, df=None) -> RunningOp:
     """1-based running count of the key tuple; missing key -> missing."""
-    return running(df, keys, {out: ("count", None)}, **kw)
+    c = f"__{out}_c"
+    return RunningOp(list(keys), out, {c: ("count", None)}, F.col(c).cast("bigint"), helpers=[c])
 
 
-def cum_count(df: DataFrame, keys: Sequence[str], out: str, **kw) -> DataFrame:
+def op_cum_count(keys, out, df=None) -> RunningOp:
     """0-based running count; missing key -> 0."""
-    r = running(df, keys, {out: ("count", None)}, **kw)
-    return r.withColumn(out, F.coalesce(F.col(out) - 1, F.lit(0)))
+    c = f"__{out}_c"
+    return RunningOp(list(keys), out, {c: ("count", None)}, F.coalesce(F.col(c) - 1, F.lit(0)), helpers=[c])
 
 
-def cum_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
+def op_cum_sum(keys, value, out, df=None) -> RunningOp:
     """Running sum of ``value`` (missing adds 0); missing key -> 0."""
-    r = running(df, keys, {out: ("sum", value)}, **kw)
-    return r.withColumn(out, F.coalesce(F.col(out).cast("double"), F.lit(0.0)))
+    c = f"__{out}_s"
+    return RunningOp(list(keys), out, {c: ("sum", value)},
+                     F.coalesce(F.col(c).cast("double"), F.lit(0.0)), helpers=[c])
 
 
-def cum_min(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
+def _op_extreme(kind, keys, value, out) -> RunningOp:
+    c = f"__{out}_{kind}"
+    post = F.when(F.col(value).isNull() | F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c).cast("double"))
+    return RunningOp(list(keys), out, {c: (kind, value)}, post, helpers=[c])
+
+
+def op_cum_min(keys, value, out, df=None) -> RunningOp:
     """Running min; a row whose own value is missing (or key missing) -> 0."""
-    r = running(df, keys, {out: ("min", value)}, **kw)
-    return r.withColumn(out, F.when(F.col(value).isNull() | F.col(out).isNull(), F.lit(0.0))
-                        .otherwise(F.col(out).cast("double")))
+    return _op_extreme("min", keys, value, out)
+
+
+def op_cum_max(keys, value, out, df=None) -> RunningOp:
+    return _op_extreme("max", keys, value, out)
+
+
+def op_cum_mean(keys, value, out, df=None) -> RunningOp:
+    """Running sum / running row count (rows with a missing value count too)."""
+    s_, n_ = f"__{out}_s", f"__{out}_n"
+    mean = (F.col(s_).cast("double") / F.col(n_)).cast("float").cast("double")
+    return RunningOp(list(keys), out, {s_: ("sum", value), n_: ("count", None)},
+                     F.coalesce(mean, F.lit(0.0)), helpers=[s_, n_])
+
+
+def op_cum_unique(keys, value, out, df=None) -> RunningOp:
+    """Running number of distinct ``value`` per key, inclusive; missing key -> missing."""
+    flag, c = f"__{out}_first", f"__{out}_u"
+    return RunningOp(list(keys), out, {c: ("sum", flag)}, F.col(c).cast("bigint"),
+                     pre=[("first", list(keys), value, flag)], helpers=[flag, c])
+
+
+def op_prev_value(keys, value, out, df=None) -> RunningOp:
+    """Last non-missing value before this row in the key, as text; else 'NA'."""
+    c = f"__{out}_p"
+    return RunningOp(list(keys), out, {c: ("last_before", value)},
+                     F.coalesce(F.col(c).cast("string"), F.lit("NA")), helpers=[c])
+
+
+def op_time_since_previous(key, ts, out, df) -> RunningOp:
+    """Seconds since the previous row of the same key; first row -> missing.
+    A row with a missing key has no previous row -> missing."""
+    us, prev = f"__{out}_us", f"__{out}_prev"
+    post = ((F.col(us) - F.col(prev)) / F.lit(1e6)).cast("double")
+    return RunningOp([key], out, {prev: ("last_before", us)}, post,
+                     pre=[(us, _ts_micros(df, ts))], helpers=[us, prev])
+
+
+def run_batch(df: DataFrame, ops: Sequence[RunningOp], order: str = ORDER,
+              chunk_width: int = DEFAULT_CHUNK_WIDTH) -> DataFrame:
+    """Evaluate operators that share one key set in a single segmented scan."""
+    keys = ops[0].keys
+    if any(o.keys != keys for o in ops):
+        raise ValueError("run_batch needs one key set")
+    d = df
+    for o in ops:
+        for p in o.pre:
+            if p[0] == "first":
+                _, k, value, flag = p
+                d = first_occurrence(d, k, value, order, flag)
+            else:
+                d = d.withColumn(p[0], p[1])
+    specs = {}
+    for o in ops:
+        specs.update(o.specs)
+    r = running(d, keys, specs, order, chunk_width)  # keeps d's columns (helpers included)
+    outs = [o.post.alias(o.out) for o in ops]
+    helpers = {h for o in ops for h in o.helpers}
+    return r.select(*[c for c in r.columns if c not in helpers], *outs)
+
+
+def _one(df, op, **kw):
+    return run_batch(df, [op], **kw)
+
+
+def cum_frequency(df: DataFrame, keys: Sequence[str], out: str, **kw) -> DataFrame:
+    return _one(df, op_cum_frequency(keys, out), **kw)
+
+
+def cum_count(df: DataFrame, keys: Sequence[str], out: str, **kw) -> DataFrame:
+    return _one(df, op_cum_count(keys, out), **kw)
+
+
+def cum_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
+    return _one(df, op_cum_sum(keys, value, out), **kw)
+
+
+def cum_min(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
+    return _one(df, op_cum_min(keys, value, out), **kw)
 
 
 def cum_max(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
-    r = running(df, keys, {out: ("max", value)}, **kw)
-    return r.withColumn(out, F.when(F.col(value).isNull() | F.col(out).isNull(), F.lit(0.0))
-                        .otherwise(F.col(out).cast("double")))
+    return _one(df, op_cum_max(keys, value, out), **kw)
 
 
 def cum_mean(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
-    """Running sum / running row count (rows with a missing value count too)."""
-    r = running(df, keys, {"__s": ("sum", value), "__n": ("count", None)}, **kw)
-    mean = (F.col("__s").cast("double") / F.col("__n")).cast("float").cast("double")
-    return r.withColumn(out, F.coalesce(mean, F.lit(0.0))).drop("__s", "__n")
+    return _one(df, op_cum_mean(keys, value, out), **kw)
 
 
 def cum_unique(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
-    """Running number of distinct ``value`` per key, inclusive; missing key -> missing."""
-    flagged = first_occurrence(df, keys, value)
-    r = running(flagged, keys, {out: ("sum", "__first")}, **kw)
-    return r.withColumn(out, F.col(out).cast("bigint")).drop("__first")
+    return _one(df, op_cum_unique(keys, value, out), **kw)
 
 
 def prev_value(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
-    """Last non-missing value before this row in the key, as text; else 'NA'."""
-    r = running(df, keys, {out: ("last_before", value)}, **kw)
-    return r.withColumn(out, F.coalesce(F.col(out).cast("string"), F.lit("NA")))
+    return _one(df, op_prev_value(keys, value, out), **kw)
 
 
 def time_since_previous(df: DataFrame, key: str, ts: str, out: str, **kw) -> DataFrame:
-    """Seconds since the previous row of the same key; first row -> missing."""
-    micros = "__ts_us"
-    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
-        # wall-clock difference, independent of the session time zone
-        us = F.timestamp_diff("MICROSECOND", F.lit(datetime.datetime(1970, 1, 1)).cast("timestamp_ntz"),
-                              F.col(ts))
-    else:
-        us = F.unix_micros(F.col(ts))
-    d = df.withColumn(micros, us)
-    r = running(d, [key], {"__prev_us": ("last_before", micros)}, **kw)
-    # A row with a missing key is a group of its own in the reference's diff
-    # (it has no previous row) -> missing.
-    return (r.withColumn(out, ((F.col(micros) - F.col("__prev_us")) / F.lit(1e6)).cast("double"))
-              .drop(micros, "__prev_us"))
+    return _one(df, op_time_since_previous(key, ts, out, df), **kw)

@@ -237,19 +237,22 @@ class WindowStep(Step):
     chunk_width: int = C.DEFAULT_CHUNK_WIDTH
     kind: str = "window"
 
-    def fit_transform(self, df, inputs, out, fit=None):
+    def running_op(self, df: DataFrame, inputs: Sequence[str], out: str) -> "C.RunningOp":
+        """The operator as a batchable spec (see ``cumulative.run_batch``)."""
         inputs = list(inputs)
-        kw = {"chunk_width": self.chunk_width}
         if self.op == "cum_frequency":
-            return C.cum_frequency(df, inputs, out, **kw)
+            return C.op_cum_frequency(inputs, out)
         if self.op == "cum_count":
-            return C.cum_count(df, inputs[:-1], out, **kw)
+            return C.op_cum_count(inputs[:-1], out)
         if self.op == "time_since_previous":
-            return C.time_since_previous(df, inputs[0], inputs[1], out, **kw)
-        fn = {"cum_sum": C.cum_sum, "cum_min": C.cum_min, "cum_max": C.cum_max,
-              "cum_mean": C.cum_mean, "cum_unique": C.cum_unique,
-              "prev_value": C.prev_value}[self.op]
-        return fn(df, inputs[:-1], inputs[-1], out, **kw)
+            return C.op_time_since_previous(inputs[0], inputs[1], out, df)
+        fn = {"cum_sum": C.op_cum_sum, "cum_min": C.op_cum_min, "cum_max": C.op_cum_max,
+              "cum_mean": C.op_cum_mean, "cum_unique": C.op_cum_unique,
+              "prev_value": C.op_prev_value}[self.op]
+        return fn(inputs[:-1], inputs[-1], out)
+
+    def fit_transform(self, df, inputs, out, fit=None):
+        return C.run_batch(df, [self.running_op(df, inputs, out)], chunk_width=self.chunk_width)
 
 
 def cum_unique(chunk_width: int = C.DEFAULT_CHUNK_WIDTH) -> WindowStep:

@@ -9,7 +9,8 @@ Steps are applied in rounds (round r = the r-th step of every feature):
   aggregates on that key set, and one join back (broadcast by AQE only when
   the lookup's run-time size is below the bound, else a shuffle join with
   AQE skew splitting);
-* window steps: segmented prefix scans (``operators.cumulative``);
+* window steps: segmented prefix scans (``operators.cumulative``), all
+  running operators of one key set in one scan (one shuffle);
 * expression steps: one ``select``.
 
 Only the columns the features need are read (``prune_columns``), so every
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import join_lookup, persist
+from ..operators.cumulative import run_batch
 from ..operators.quantiles import exact_medians
 from ..sources.csv_log import prune_columns
 from .catalog import Feature, feature_names
@@ -108,10 +110,25 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
                 default = F.lit(s.default).cast("double") if s.default is not None else F.lit(None).cast("double")
                 cur = cur.withColumn(tmp[f.output], F.coalesce(F.col(tmp[f.output]).cast("double"), default))
 
-        # window / custom steps: computed on a narrow projection of the round's
-        # start (id, inputs), joined back on the unique revision id
+        # window steps: all running operators of one key set in ONE segmented
+        # scan, on a narrow projection of the round's start (id, keys,
+        # values), joined back on the unique revision id
+        by_window: OrderedDict = OrderedDict()
         for f, s in active:
-            if s.kind in ("window", "custom"):
+            if s.kind == "window":
+                op = s.running_op(start, current[f.output], tmp[f.output])
+                by_window.setdefault((tuple(op.keys), s.chunk_width), []).append((f, s, op))
+        for (keys, width), items in by_window.items():
+            cols = [ORDER, *keys]
+            for f, _, _ in items:
+                cols += current[f.output]
+            narrow = start.select(*dict.fromkeys(cols))
+            ops = [s.running_op(narrow, current[f.output], tmp[f.output]) for f, s, _ in items]
+            w = run_batch(narrow, ops, chunk_width=width)
+            cur = cur.join(w.select(ORDER, *[tmp[f.output] for f, _, _ in items]), ORDER, "left")
+        # custom steps (text models, tags ...): their own plan, joined back
+        for f, s in active:
+            if s.kind == "custom":
                 narrow = start.select(*dict.fromkeys([ORDER, *current[f.output], *_time_cols(start)]))
                 w = s.fit_transform(narrow, current[f.output], tmp[f.output], fit)
                 cur = cur.join(w.select(ORDER, tmp[f.output]), ORDER, "left")
