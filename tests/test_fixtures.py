@@ -175,3 +175,19 @@ def test_log_scale_values(spark):
     got = [r[0] for r in df.select(log_scale(F.col("x"))).collect()]
     assert got == [0.0, 1.0, -2.0, 3.0, 0.0]
     assert not any(math.isnan(v) for v in got)
+
+
+def test_csv_to_parquet_round_trip_with_pushdown(spark, tmp_path):
+    from editrisk.sources.csv_log import load_revisions, to_parquet
+    p = tmp_path / "log.csv"
+    rows = ["revisionId,timestamp,userName,rollbackReverted"]
+    rows += [f"{i},2014-01-01T00:00:{i % 60:02d}Z,u{i % 3},{'T' if i % 4 == 0 else 'F'}" for i in range(50, 0, -1)]
+    p.write_text("\n".join(rows) + "\n", encoding="utf-8")
+    out = str(tmp_path / "log.parquet")
+    to_parquet(load_revisions(spark, str(p)), out)
+    back = spark.read.parquet(out)
+    assert back.count() == 50
+    sel = back.where((F.col("revisionId") >= 10) & (F.col("revisionId") < 20))
+    plan = sel._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(revisionId,10)" in plan and "LessThan(revisionId,20)" in plan
+    assert sorted(r[0] for r in sel.select("revisionId").collect()) == list(range(10, 20))
