@@ -59,7 +59,7 @@ win AS (SELECT revisionId,
         FROM revlog),
 gapmed AS (SELECT median(w.ts_gap) AS m FROM win w JOIN revlog r USING (revisionId) WHERE r.{FIT_SQL})
 SELECT r.revisionId, r.groupId, r.contentType,
-  {f32.format(x="coalesce(r.value, med.m)")} AS valueMedian,
+  {f32.format(x="coalesce(r.value, (SELECT m FROM med))")} AS valueMedian,
   {f32.format(x="coalesce(r.value, -1)")} AS valueMinusOne,
   {f32.format(x=vals["actionFreq"])} AS actionFreq,
   {f32.format(x=vals["sliceActionFreq"])} AS sliceActionFreq,
@@ -68,7 +68,7 @@ SELECT r.revisionId, r.groupId, r.contentType,
   {f32.format(x=vals["userFreq"])} AS userFreq,
   {f32.format(x="coalesce(win.cu, 0)")} AS cumUserUniqueItems,
   {f32.format(x="coalesce(um.a, 0)")} AS userMeanValue,
-  {f32.format(x="coalesce(win.ts_gap, gapmed.m)")} AS userTimeSinceLastRevision,
+  {f32.format(x="coalesce(win.ts_gap, (SELECT m FROM gapmed))")} AS userTimeSinceLastRevision,
   {f32.format(x=log.format(x="CAST(win.ci AS DOUBLE)"))} AS logCumItemUniqueUsers,
   {f32.format(x=log.format(x="CAST(" + vals["logItemFreq"] + " AS DOUBLE)"))} AS logItemFreq,
   {f32.format(x='hour(r."timestamp")')} AS revisionHourOfDay,
@@ -77,7 +77,7 @@ SELECT r.revisionId, r.groupId, r.contentType,
   CAST(r.label AS DOUBLE) AS label
 FROM revlog r {" ".join(joins)}
   LEFT JOIN um ON r.userName IS NOT DISTINCT FROM um.userName
-  JOIN win ON r.revisionId = win.revisionId, med, gapmed"""
+  JOIN win ON r.revisionId = win.revisionId"""
     return with_revlog(body)
 
 

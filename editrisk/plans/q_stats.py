@@ -73,14 +73,16 @@ _FOUR = ("CAST(count(DISTINCT revisionId) AS BIGINT) AS Revisions, CAST(count(DI
          "CAST(count(DISTINCT itemId) AS BIGINT) AS Items, CAST(count(DISTINCT userName) AS BIGINT) AS Users")
 
 
-@query("corpus_statistics", with_revlog(f"""
-SELECT slice, class, {_FOUR}
-FROM revlog r, (VALUES ('ALL'), ('ITEM_HEAD'), ('ITEM_BODY')) s(slice),
-     (VALUES ('Total'), ('Vandalism'), ('Regular')) c(class)
-WHERE (s.slice = 'ALL' OR (s.slice = 'ITEM_HEAD' AND contentType = 'TEXT')
-       OR (s.slice = 'ITEM_BODY' AND contentType IN ('STATEMENT', 'SITELINK')))
-  AND (c.class = 'Total' OR (c.class = 'Vandalism' AND label) OR (c.class = 'Regular' AND NOT label))
-GROUP BY slice, class"""))
+_SLICE_SQL = [("ALL", "TRUE"), ("ITEM_HEAD", "contentType = 'TEXT'"),
+              ("ITEM_BODY", "contentType IN ('STATEMENT', 'SITELINK')")]
+_CLASS_SQL = [("Total", "TRUE"), ("Vandalism", "label"), ("Regular", "NOT label")]
+# one selection per (slice, class), stacked
+_CORPUS_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{s}' AS slice, '{c}' AS class, {_FOUR} FROM revlog WHERE ({sw}) AND ({cw})"
+    for s, sw in _SLICE_SQL for c, cw in _CLASS_SQL)
+
+
+@query("corpus_statistics", with_revlog(_CORPUS_SQL))
 def q_corpus_statistics(spark, sf):
     return ST.corpus_statistics(revision_log(spark, sf))
 

@@ -126,7 +126,7 @@ _expr_query("clamp_infinity",
 def _scalar_query(name, stat, sql_agg):
     @query(name, with_revlog(f"""
 WITH s AS (SELECT {sql_agg}(value) AS m FROM revlog WHERE {FIT_SQL})
-SELECT revisionId, round(coalesce(value, s.m), 6) AS {name}_out FROM revlog, s"""))
+SELECT revisionId, round(coalesce(value, (SELECT m FROM s)), 6) AS {name}_out FROM revlog"""))
     def fn(spark, sf):
         log = revision_log(spark, sf)
         return _out(ST.ScalarStep(stat).fit_transform(log, ["value"], f"{name}_out", fit_pred()),
