@@ -53,6 +53,29 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_settings(input_bytes: float, executor_cores: int = 1000 * 8) -> dict[str, str]:
+    """Settings for a large cluster, sized from the bytes the pipeline reads.
+
+    Scan splits of 256 MB; the shuffle starts with about one partition per
+    256 MB of input (at least two waves of the cluster's cores) and AQE
+    coalesces small partitions and splits skewed ones at run time.  Running
+    operators keep window partitions bounded by their id-chunk width, so no
+    setting depends on the size of the largest key.
+    """
+    split = 256 * 1024 * 1024
+    partitions = max(2 * executor_cores, int(input_bytes // split) + 1)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_MAX_BYTES),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the library relies on, applied to a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
