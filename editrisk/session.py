@@ -77,7 +77,13 @@ def cluster_settings(input_bytes: float, executor_cores: int = 1000 * 8) -> dict
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings the library relies on, applied to a session made elsewhere."""
+    """Settings the library relies on, applied to a session made elsewhere.
+
+    On a local master still at Spark's default of 200 shuffle partitions,
+    the width is set to twice the cores (AQE coalesces further)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(2 * sc.defaultParallelism))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
