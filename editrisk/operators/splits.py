@@ -254,6 +254,31 @@ def sample_errors(df: DataFrame, label: str = "label", pred: str = "pred", n: in
     return err.withColumn("__rn", rn).where(F.col("__rn") <= n).drop("__rn")
 
 
+def error_positions(df: DataFrame, label: str = "label", pred: str = "pred", key: str = ORDER,
+                    seed: int = 1, n: int = 7) -> DataFrame:
+    """Fixed positions of each error list (false negatives, false positives)
+    ordered by id: positions 2..n, the last n, and n seeded random ones.
+
+    Ranks come from the segmented running count (``cumulative.running``),
+    so a long error list is never ranked in one task.
+    """
+    from .cumulative import running
+    err = (df.where(F.col(label) != F.col(pred))
+             .withColumn("error", F.when(F.col(label), F.lit("FN")).otherwise(F.lit("FP"))))
+    r = running(err, ["error"], {"position": ("count", None)}, order=key, chunk_width=1 << 16)
+    sizes = err.groupBy("error").agg(F.count(F.lit(1)).alias("__n"))
+    h = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    # n random ones: the n smallest hashes per list (a per-partition limit before the shuffle)
+    rnd = (err.withColumn("__h", h)
+              .withColumn("__r", F.row_number().over(Window.partitionBy("error").orderBy("__h", key)))
+              .where(F.col("__r") <= n).select(key, F.lit(True).alias("__random")))
+    # two rows (one per error kind): a bounded broadcast
+    j = r.join(F.broadcast(sizes), "error").join(rnd, key, "left")
+    pos = F.col("position")
+    keep = ((pos >= 2) & (pos <= n)) | (pos > F.col("__n") - n) | F.col("__random").isNotNull()
+    return j.where(keep).drop("__n", "__random")
+
+
 def topk_misclassified(df: DataFrame, label: str = "label", prob: str = "prob",
                        key: str = ORDER, k: int = 5) -> DataFrame:
     """The k lowest-scored positives and the k highest-scored negatives."""

@@ -75,3 +75,18 @@ def test_forest_scores_bounded_and_deterministic(spark):
     p2 = {r["revisionId"]: r["prob"] for r in s2.collect()}
     assert p1 == p2
     assert all(0.0 <= p <= 1.0 for p in p1.values())
+
+
+def test_error_positions(spark):
+    from editrisk.operators import splits as SP
+    rows = [(i, i % 3 == 0, i % 2 == 0) for i in range(1, 121)]
+    df = spark.createDataFrame(rows, "revisionId long, label boolean, pred boolean")
+    out = SP.error_positions(df, n=7).collect()
+    for kind in ("FN", "FP"):
+        ids = sorted(r["revisionId"] for r in out if r["error"] == kind)
+        errs = sorted(i for i, y, p in rows if y != p and (("FN" if y else "FP") == kind))
+        fixed = set(errs[1:7]) | set(errs[-7:])
+        assert fixed <= set(ids)
+        assert len(ids) <= len(fixed) + 7
+        pos = {r["revisionId"]: r["position"] for r in out if r["error"] == kind}
+        assert all(errs[pos[i] - 1] == i for i in ids)
