@@ -97,10 +97,18 @@ from ..sources.tables import TEST_START, TRAIN_START  # noqa: E402
 from . import runs as RU  # noqa: E402
 
 
+# The checkpointed feature table of a system, shared by the model queries of
+# one Spark application (a reliable checkpoint: safe to reuse, never stale
+# within the application, keyed by the data folder).
+_TABLES: dict = {}
+
+
 def _main_split(spark, sf, system="MAIN"):
     features = CAT.SYSTEMS[system]()
-    table = RU.build_table(revision_log(spark, sf), features, VALIDATION_START, TEST_START)
-    train, valid = RU.split(table, TRAIN_START, VALIDATION_START, TEST_START)
+    key = (spark.sparkContext.applicationId, sf, system)
+    if key not in _TABLES:
+        _TABLES[key] = RU.build_table(revision_log(spark, sf), features, VALIDATION_START, TEST_START)
+    train, valid = RU.split(_TABLES[key], TRAIN_START, VALIDATION_START, TEST_START)
     return features, train, valid
 
 
