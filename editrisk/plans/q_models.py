@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import VALIDATION_START, revision_log, ts_lit, with_revlog
 from . import catalog as CAT
 from .pipeline import feature_pipeline
@@ -166,9 +167,18 @@ def q_group_classifiers(spark, sf):
     return _rounded_metrics(RU.group_classifiers(train, valid, features, "MAIN"))
 
 
+def _shared(spark, sf, name, build):
+    """A checkpointed result shared by the queries that report on it
+    (ranking, grid, system run) within one Spark application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TABLES:
+        _TABLES[key] = cut_lineage(build())
+    return _TABLES[key]
+
+
 def _ranking(spark, sf):
     features, train, valid = _main_split(spark, sf)
-    return features, RU.feature_ranking(train, valid, features)
+    return features, _shared(spark, sf, "ranking", lambda: RU.feature_ranking(train, valid, features))
 
 
 @query("feature_ranking")
@@ -196,7 +206,7 @@ def q_feature_importances(spark, sf):
 
 def _grid(spark, sf):
     features, train, valid = _main_split(spark, sf)
-    return RU.grid_search(train, valid, RU.forest_grid(), len(features))
+    return _shared(spark, sf, "grid", lambda: RU.grid_search(train, valid, RU.forest_grid(), len(features)))
 
 
 @query("grid_search")
@@ -223,15 +233,19 @@ def q_expanding_backtest(spark, sf):
     return _rounded_metrics(m)
 
 
+def _system_run(spark, sf):
+    return _shared(spark, sf, "run", lambda: RU.run_system(
+        revision_log(spark, sf), "MAIN", "VALIDATION", TRAIN_START, VALIDATION_START, TEST_START))
+
+
 @query("run_system")
 def q_run_system(spark, sf):
-    m = RU.run_system(revision_log(spark, sf), "MAIN", "VALIDATION", TRAIN_START, VALIDATION_START, TEST_START)
-    return _rounded_metrics(m)
+    return _rounded_metrics(_system_run(spark, sf))
 
 
 @query("report_order")
 def q_report_order(spark, sf):
-    m = RU.run_system(revision_log(spark, sf), "MAIN", "VALIDATION", TRAIN_START, VALIDATION_START, TEST_START)
+    m = _system_run(spark, sf)
     classifiers = ["Default random forest", "Optimized random forest", "Bagging", "SIL MI", "Simple MI",
                    "Combined MI"]
     return RU.report_order(_rounded_metrics(m), ["MAIN"], classifiers)
