@@ -81,9 +81,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
     On a local master still at Spark's default of 200 shuffle partitions,
     the width is set to twice the cores (AQE coalesces further)."""
-    sc = spark.sparkContext
-    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(2 * sc.defaultParallelism))
+    try:
+        sc = spark.sparkContext
+        if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+            spark.conf.set("spark.sql.shuffle.partitions", str(2 * sc.defaultParallelism))
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session): keep its settings
+        pass
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

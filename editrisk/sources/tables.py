@@ -45,9 +45,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     that parsing and map-side work run in parallel.  Sources of a real log
     have many splits and are left as they are."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session): read as is
+        pass
     return df
 
 
