@@ -164,6 +164,11 @@ def importance_table(spark, model: FittedForest, names: Sequence[str]) -> DataFr
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def top_feature(spark, model: FittedForest, names: Sequence[str]) -> DataFrame:
+    """The most important feature (one row)."""
+    return importance_table(spark, model, names).limit(1)
+
+
 def capped(specs: Sequence[ForestSpec]) -> list[ForestSpec]:
     """Grid points after the depth cap, duplicates removed (first kept)."""
     seen, out = set(), []
