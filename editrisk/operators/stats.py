@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import FINAL_ROWS, exact_quantiles
@@ -205,10 +205,21 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         q = quart[c] if c in quart else exact_quantiles(df, c, [0.25, 0.5, 0.75])
         rows.append((c, row[f"{c}__count"], None, None, None, row[f"{c}__mean"], row[f"{c}__std"],
                      row[f"{c}__min"], q[0], q[1], q[2], row[f"{c}__max"]))
+    # top value and its frequency for ALL text columns in one grouped pass:
+    # (column, value) pairs, counted with partial aggregation, then the first
+    # per column (a per-partition limit precedes the shuffle)
+    tops = {}
+    if text:
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in text])).alias("p"))
+        counts = pairs.where(F.col("p.v").isNotNull()).groupBy("p.c", "p.v").count()
+        w = Window.partitionBy("c").orderBy(F.desc("count"), F.asc("v"))
+        for r in counts.withColumn("__r", F.row_number().over(w)).where("__r = 1").collect():
+            tops[r["c"]] = (r["v"], r["count"])
     for c in text:
-        top = (df.where(F.col(c).isNotNull()).groupBy(c).count()
-                 .orderBy(F.desc("count"), F.asc(c)).limit(1).collect())
-        t, fq = (str(top[0][c]), top[0]["count"]) if top else (None, None)
+        t, fq = tops.get(c, (None, None))
+        if t is not None and dict(df.dtypes)[c] == "boolean":
+            t = "True" if t == "true" else "False"
         rows.append((c, row[f"{c}__count"], row[f"{c}__unique"], t, fq, None, None, None, None,
                      None, None, None))
     schema = ("column string, count bigint, unique bigint, top string, freq bigint, mean double, "
