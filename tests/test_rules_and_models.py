@@ -90,3 +90,25 @@ def test_error_positions(spark):
         assert len(ids) <= len(fixed) + 7
         pos = {r["revisionId"]: r["position"] for r in out if r["error"] == kind}
         assert all(errs[pos[i] - 1] == i for i in ids)
+
+
+def test_misclassified_report_and_sample_k(spark):
+    from editrisk.operators import splits as SP
+    rows = [(i, i % 3 == 0, (i % 7) / 10.0) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "revisionId long, label boolean, prob double")
+    summary, sample = SP.misclassified_report(df, k=20)
+    hard = [r for r in rows if r[1] and r[2] < 0.25]
+    assert sample.count() == 20
+    assert {r["revisionId"] for r in sample.collect()} <= {r[0] for r in hard}
+    counts = {r["column"]: r["count"] for r in summary.collect()}
+    assert counts["revisionId"] == len(hard)
+
+
+def test_describe_top_values_in_one_pass(spark):
+    from editrisk.operators import stats as S
+    df = spark.createDataFrame([("a", "x", True), ("b", "x", True), ("b", "y", False), (None, "y", None)],
+                               "c1 string, c2 string, b boolean")
+    d = {r["column"]: r for r in S.describe_all(df).collect()}
+    assert (d["c1"]["top"], d["c1"]["freq"], d["c1"]["unique"], d["c1"]["count"]) == ("b", 2, 2, 3)
+    assert (d["c2"]["top"], d["c2"]["freq"]) == ("x", 2)  # tie broken by value
+    assert (d["b"]["top"], d["b"]["freq"]) == ("True", 2)
