@@ -7,11 +7,11 @@ places hold ranks below the step, so long documents need one or two.  Bands of t
 signature propose candidates, the full sets confirm them.
 
 Documents with equal sets are one class; only classes are compared.  In each bucket
-the classes are compared with one pivot (no pairs within a group); confirmed links
-merge components.  Buckets that still hold several components get further pivots, then
-all remaining pairs of different components in them, so no candidate is dropped.  With
-32 bands of 5 places a pair at similarity 0.8 is proposed with probability
-1 - 3e-6.
+the classes are compared with one pivot; confirmed links merge components.  In buckets that
+still hold several components, classes of different components are compared block by
+block, and only pairs that come near the threshold are returned and confirmed, so no
+candidate is dropped and no list of all pairs of a group is made.  With 32 bands of 5
+places a pair at similarity 0.8 is proposed with probability 1 - 3e-6.
 
 Components: union-find within partitions keeps a spanning forest, then least labels
 spread along its links with pointer jumping until nothing changes.  Links, sets and
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 from editrisk.llm.common import SPACE_BYTES, broadcast_if_small, discard, store
 
 BANDS, ROWS = 32, 5
-#: Pivot rounds before the remaining pairs of unresolved buckets are listed.
-PIVOT_ROUNDS = 3
+#: Classes on either side of a block that compares components within a bucket.
+BLOCK = 512
 #: Shingles signed together, and bytes of one text tokenised together.
 CHUNK_SHINGLES = 150_000
 CHUNK_BYTES = 4 << 20
@@ -186,7 +187,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` with 100 * intersection >= percent * union on their full sets."""
     left = sets.select(F.col("key").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("key").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a")
+    both = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - shared
     return both.where(100 * shared >= percent * union).select("a", "b")
@@ -262,45 +263,94 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str,
                  text_col: str) -> DataFrame:
     """``key, label`` of the classes that have a link."""
-    buckets = classes.select("key", "id", "n", F.posexplode("bands").alias("band", "hash"))
-    shared = (buckets.groupBy("band", "hash").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-              .where(F.col("least") != F.col("most")).select("band", "hash"))
-    members = store(buckets.join(shared, ["band", "hash"]), "members")
-    wanted = store(members.groupBy("key").agg(F.first("id").alias("id")), "wanted")
+    # a band key holds its band's number, and classes differ, so buckets need only be counted
+    buckets = classes.select("key", "n", F.explode("bands").alias("bucket"))
+    shared = store(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1), "shared")
+    members = store(buckets.join(broadcast_if_small(shared, 32), "bucket"), "members")
+    wanted = store(members.select("key").distinct().join(classes.select("key", "id"), "key"), "wanted")
     sets = store(shingle_sets(docs, wanted, words, id_col, text_col), "sets")
-    near = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
-    empty = members.select("key", F.col("key").alias("label")).limit(0)
-    labels, links, tested, open_ = empty, None, None, members
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(turn), "key").alias("at"), "key", "n")
-            pivots = open_.groupBy("band", "hash").agg(F.min(order).alias("p"))
-            paired = open_.join(pivots, ["band", "hash"]).withColumns(
-                {"p_key": F.col("p.key"), "p_n": F.col("p.n")})
-        else:
-            other = open_.select("band", "hash", F.col("key").alias("p_key"), F.col("n").alias("p_n"),
-                                 F.col("label").alias("p_label"))
-            paired = open_.join(other, ["band", "hash"]).where(
-                (F.col("label") < F.col("p_label")))
-        pairs = (paired.where((F.col("key") != F.col("p_key")) & near)
-                 .select(F.least("key", "p_key").alias("a"), F.greatest("key", "p_key").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = store(confirm(pairs, sets, percent), "links")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-        if turn == PIVOT_ROUNDS:
-            break
-        marked = members.join(labels.select("key", "label"), "key", "left").withColumn(
-            "label", F.coalesce("label", "key"))
-        # a bucket of two classes is settled by its one pair
-        left = (marked.groupBy("band", "hash").agg(F.min("label").alias("x"), F.max("label").alias("y"),
-                                                   F.count("*").alias("size"))
-                .where((F.col("x") != F.col("y")) & (F.col("size") > 2)).select("band", "hash"))
-        open_ = store(marked.join(left, ["band", "hash"]), "open")
-        if open_.isEmpty():
-            break
-    discard(members, wanted, sets)
+
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("p"))
+    paired = members.join(pivots, "bucket").where(F.col("key") != F.col("p.key"))
+    near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    pairs = store(paired.where(near).select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    links = store(confirm(pairs, sets, percent), "links")
+    labels = components(links)
+
+    # buckets of two are settled by their one pair; of the others those that hold several components are open
+    marked = members.where(F.col("size") > 2).join(labels, "key", "left").select(
+        "bucket", "key", "n", "size", F.coalesce("label", "key").alias("label"))
+    open_ = (marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+             .where(F.col("x") != F.col("y")).select("bucket"))
+    rest = store(marked.join(open_, "bucket"), "open")
+    if not rest.isEmpty():
+        more = store(across_components(rest, classes, sets, percent), "pairs")
+        good = store(confirm(more, sets, percent), "links")
+        if not good.isEmpty():
+            discard(labels)
+            labels = components(links.unionByName(good))
+        discard(more, good)
+    discard(shared, members, wanted, sets, pairs, links, rest)
     return labels.select("key", "label")
+
+
+def across_components(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a, b`` of one open bucket and different components that may be similar
+    enough (their sets' intersection, counted on 32 bits of each shingle, within 4 of the need).
+
+    In a bucket, the classes outside its largest component are compared with all others.
+    Both sides are dealt into blocks of about ``BLOCK`` classes; only a block's finds are
+    returned, and a pair is compared in the first of its common buckets only.
+    """
+    per = rest.groupBy("bucket", "label", "size").agg(F.count("*").alias("c"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"))
+    sized = rest.join(largest, "bucket").select(
+        "bucket", "key", "n", "label", (F.col("label") != F.col("m.label")).alias("minor"),
+        F.ceil((F.col("size") - F.col("m.c")) / BLOCK).alias("of_minor"),
+        F.ceil(F.col("size") / BLOCK).alias("of_all"))
+    about = sets.select("key", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("items"))
+    full = sized.join(about.hint("merge"), "key").join(classes.select("key", "bands").hint("merge"), "key")
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "key"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ["bucket", "key", "n", "label", "bands", "items"]
+    minor = full.where("minor").select(*kept, F.lit(True).alias("first"), own(1, "of_minor").alias("i"),
+                                       every("of_all").alias("j"))
+    both = full.select(*kept, F.lit(False).alias("first"), own(2, "of_all").alias("j"),
+                       every("of_minor").alias("i"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        first = rows.column("first").combine_chunks()
+        left, right = rows.filter(first), rows.filter(pa.compute.invert(first))
+        found: list[tuple[bytes, bytes]] = []
+        if left.num_rows and right.num_rows:
+            bucket = rows.column("bucket")[0].as_py()
+            column = lambda t, c: t.column(c).combine_chunks()
+            keys, labels = ([t.column(c).to_pylist() for t in (left, right)] for c in ("key", "label"))
+            names = {x: i for i, x in enumerate({*labels[0], *labels[1]})}
+            order = {x: i for i, x in enumerate(sorted({*keys[0], *keys[1]}))}
+            label = [np.array([names[x] for x in c]) for c in labels]
+            place = [np.array([order[x] for x in c]) for c in keys]
+            outside = np.isin(place[1], place[0])  # a pair of two minor classes is met from both sides
+            n = [column(t, "n").to_numpy() for t in (left, right)]
+            bands = [column(t, "bands").flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right)]
+            items = column(right, "items")
+            flat, ends = items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
+            row = np.repeat(np.arange(right.num_rows), ends)
+            for a in range(left.num_rows):
+                need = -(-percent * (n[0][a] + n[1]) // (100 + percent))
+                ok = (label[1] != label[0][a]) & (np.minimum(n[1], n[0][a]) >= need)
+                ok &= ~outside | (place[1] > place[0][a])
+                same = bands[1][ok] == bands[0][a]
+                ok[ok] = bands[1][ok][np.arange(same.shape[0]), same.argmax(axis=1)] == bucket
+                if not ok.any():
+                    continue
+                mine = np.sort(left.column("items")[a].values.to_numpy())
+                use = ok[row]
+                at = np.minimum(np.searchsorted(mine, flat[use]), len(mine) - 1)
+                shared = np.bincount(row[use][mine[at] == flat[use]], minlength=len(ok))
+                found += [(keys[0][a], keys[1][b]) for b in np.flatnonzero(ok & (shared >= need - 4))]
+        return pa.table({"a": pa.array([min(x) for x in found], pa.binary()),
+                         "b": pa.array([max(x) for x in found], pa.binary())})
+
+    return (minor.unionByName(both).groupBy("bucket", "i", "j")
+            .applyInArrow(compare, "a binary, b binary").distinct())
