@@ -4,8 +4,8 @@ The distinct pieces of many texts are laid out as one row of symbols.  An invert
 index lists, for every merged token, the positions of the pairs that make it.
 The merges present are applied in rank order to all their positions at once, and
 only the touched neighbours get new entries in the index.  Pieces do not depend
-on each other, so every task replays the merges over its own part of the corpus, in
-chunks of bounded size, and remembers recent pieces in a bounded dictionary.
+on each other, so every task replays the merges over its own part of the corpus, an
+Arrow batch at a time, and remembers pieces in a bounded dictionary.
 
 The rank file (under 1 MB) is fixed; the driver reads and broadcasts it.
 
@@ -20,8 +20,8 @@ import base64
 import hashlib
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -29,116 +29,143 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of texts replayed together, pieces remembered, the longest that is.
-CHUNK_CHARS = 2_000_000
-CACHE_PIECES = 300_000
-CACHE_CHARS = 64
+#: Distinct pieces remembered by a worker, and pieces of a long text taken together.
+CACHE_PIECES = 600_000
+STEP_PIECES = 500_000
 
 
 class MergeReplay:
-    """Encoder and decoder for one rank file; ids are packed little-endian uint32."""
+    """Encoder and decoder for one rank file.
+
+    Distinct pieces are numbered as they come; ``learn`` replays the merges over all new
+    ones together, and texts are sequences of piece numbers until then.
+    """
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in
                       (line.split() for line in rank_file.splitlines() if line)}
         self.token = {i: t for t, i in self.ranks.items()}
-        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pieces = regex.compile(pattern)
-        self.made: dict[tuple[int, int], int] = {}
-        self.known: dict[str, bytes] = {}
-
-    def product(self, a: int, b: int) -> int:
-        """The token that the pair makes, or -1."""
-        made = self.made.get((a, b))
-        if made is None:
-            if len(self.made) > 1_000_000:
-                self.made.clear()
-            made = self.made[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return made
-
-    def replay(self, words: Sequence[bytes]) -> list[bytes]:
-        """Packed ids of each word."""
-        out: list[bytes | None] = [None] * len(words)
-        symbol: list[int] = []
-        starts: list[tuple[int, int]] = []
-        for w, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[w] = whole.to_bytes(4, "little")
-            else:
-                starts.append((w, len(symbol)))
-                symbol.extend(map(self.byte_ids.__getitem__, word))
-                symbol.append(-1)  # the end of a word, in no pair
-        after = list(range(1, len(symbol) + 1))
-        before = list(range(-1, len(symbol) - 1))
-        index: dict[int, list[int]] = defaultdict(list)
-        product = self.product
-        for i in range(len(symbol) - 1):
-            a, b = symbol[i], symbol[i + 1]
-            if a >= 0 and b >= 0:
-                made = product(a, b)
-                if made >= 0:
-                    index[made].append(i)
-        queue = list(index)
-        heapq.heapify(queue)
+        # every way to make a token of two others, sorted by pair
+        made = {}
+        for t, i in self.ranks.items():
+            for cut in range(1, len(t)):
+                a, b = self.ranks.get(t[:cut]), self.ranks.get(t[cut:])
+                if a is not None and b is not None:
+                    made[a << 32 | b] = i
+        self.pair = np.array(sorted(made), np.int64)
+        self.product_of = np.array([made[k] for k in self.pair.tolist()], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.flat, self.start = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def product(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token each pair makes, or -1 (a negative symbol is in no pair)."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.product_of[at], -1)
+
+    def replay(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        sizes = np.array([len(w) if t < 0 else 1 for w, t in zip(words, whole.tolist())], np.int64)
+        data = np.frombuffer(b"".join(w if t < 0 else b"\0" for w, t in zip(words, whole.tolist())), np.uint8)
+        word = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(data)) + word
+        symbol = np.full(len(data) + len(words), -1, np.int64)  # -1 ends each word
+        symbol[at] = np.where(whole[word] >= 0, whole[word], self.byte_ids[data])
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enter(made: np.ndarray, places: np.ndarray) -> None:
+            use = made >= 0
+            made, places = made[use], places[use]
+            order = np.argsort(made, kind="stable")
+            made, places = made[order], places[order]
+            edges = np.flatnonzero(made[1:] != made[:-1]) + 1
+            firsts = [0, *edges.tolist()] if len(made) else []
+            for token, lo, hi in zip(made[firsts].tolist(), firsts, [*firsts[1:], len(made)]):
+                if token in index:
+                    index[token].append(places[lo:hi])
+                else:
+                    index[token] = [places[lo:hi]]
+                    heapq.heappush(queue, token)
+
+        if len(symbol):
+            enter(self.product(symbol[:-1], symbol[1:]), np.arange(len(symbol) - 1))
         while queue:
-            made = heapq.heappop(queue)
-            for i in sorted(index.pop(made, ())):
-                a = symbol[i]
-                if a < 0:
-                    continue
-                j = after[i]
-                b = symbol[j]
-                if b < 0 or product(a, b) != made:
-                    continue
-                symbol[i], symbol[j] = made, -2
-                k = after[i] = after[j]
-                before[k] = i
-                h = before[i]
-                for left, x, y in ((i, made, symbol[k]), (h, symbol[h] if h >= 0 else -1, made)):
-                    if x >= 0 and y >= 0:
-                        new = product(x, y)
-                        if new >= 0:
-                            if new not in index:
-                                heapq.heappush(queue, new)
-                            index[new].append(left)
-        for w, i in starts:
-            ids = []
-            while symbol[i] != -1:
-                ids.append(symbol[i])
-                i = after[i]
-            out[w] = np.array(ids, dtype="<u4").tobytes()
-        return out
-
-    def learn(self, pieces: set[str]) -> None:
-        """Replay over the pieces that are not remembered yet."""
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list(pieces)
-        self.known.update(zip(new, self.replay([p.encode() for p in new])))
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        lists = [self.pieces.findall(t) for t in texts]
-        self.learn(set().union(*lists))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, x)) for x in lists]
-        self._forget_long()
-        return out
-
-    def encode_long(self, text: str, step: int = 200_000) -> bytes:
-        """The same for one long text, ``step`` pieces at a time."""
-        found, parts = (m.group() for m in self.pieces.finditer(text)), []
-        while part := list(islice(found, step)):
-            self.learn(set(part))
-            parts.append(b"".join(map(self.known.__getitem__, part)))
-            self._forget_long()
-        return b"".join(parts)
-
-    def _forget_long(self) -> None:
-        for p in [p for p in self.known if len(p) > CACHE_CHARS]:
-            del self.known[p]
+            token = heapq.heappop(queue)
+            found = index.pop(token)
+            p = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            p = p[symbol[p] >= 0]
+            p = p[self.product(symbol[p], symbol[after[p]]) == token]
+            if not len(p):
+                continue
+            j = after[p]
+            chained = j[:-1] == p[1:]
+            if chained.any():  # overlapping pairs: of each run every other one, from the left
+                place = np.arange(len(p))
+                run = np.maximum.accumulate(np.where(np.append(False, chained), 0, place))
+                p = p[(place - run) % 2 == 0]
+                j = after[p]
+            symbol[p], symbol[j] = token, -2
+            k = after[p] = after[j]
+            before[k] = p
+            h = before[p]
+            enter(np.concatenate([self.product(symbol[h], symbol[p]), self.product(symbol[p], symbol[k])]),
+                  np.concatenate([h, p]))
+        kept = symbol[at] >= 0
+        return symbol[at][kept], np.bincount(word[kept], minlength=len(words))
+
+    def learn(self) -> None:
+        """Replay the merges over the numbered pieces that have no ids yet."""
+        new = list(islice(self.number, len(self.start) - 1, None))
+        if new:
+            ids, sizes = self.replay([p.encode() for p in new])
+            self.flat = np.concatenate([self.flat, ids.astype("<u4")])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def numbers(self, pieces: Iterable[str]) -> np.ndarray:
+        return np.array(list(map(self.number.__getitem__, pieces)), np.int32)
+
+    def ids(self, numbers: np.ndarray) -> bytes:
+        """Packed ids of a text given by its pieces' numbers."""
+        size = self.start[numbers + 1] - self.start[numbers]
+        ends = np.cumsum(size)
+        place = np.repeat(self.start[numbers] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[place].tobytes()
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Packed ids of each text; the merges are replayed over all texts' pieces at once."""
+        if len(self.number) > CACHE_PIECES:
+            self.forget()
+        parts: list[np.ndarray | bytes] = []
+        for t in texts:
+            t = t or ""
+            if len(t) <= STEP_PIECES:
+                parts.append(self.numbers(self.pieces.findall(t)))
+            else:
+                parts.append(self._encode_long(t, parts))
+        self.learn()
+        return [x if isinstance(x, bytes) else self.ids(x) for x in parts]
+
+    def _encode_long(self, text: str, parts: list[np.ndarray | bytes]) -> bytes:
+        """A long text by steps, after what was numbered so far has its ids."""
+        found, out = (m.group() for m in self.pieces.finditer(text)), []
+        while step := list(islice(found, STEP_PIECES)):
+            if len(self.number) > CACHE_PIECES:
+                self.learn()
+                parts[:] = [x if isinstance(x, bytes) else self.ids(x) for x in parts]
+                self.forget()
+            numbers = self.numbers(step)
+            self.learn()
+            out.append(self.ids(numbers))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -155,19 +182,6 @@ def _codec(key: int, handle, pattern: str) -> MergeReplay:
     return _CODECS[key]
 
 
-def _chunks(texts: Sequence[str | None]) -> Iterator[list[str]]:
-    chunk, size = [], 0
-    for t in texts:
-        t = t or ""
-        if chunk and size + len(t) > CHUNK_CHARS:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(t)
-        size += len(t)
-    if chunk:
-        yield chunk
-
-
 def _coder(docs: DataFrame, ranks_path: str, pattern: str):
     with open(ranks_path, "rb") as f:
         data = f.read()
@@ -175,14 +189,6 @@ def _coder(docs: DataFrame, ranks_path: str, pattern: str):
     return lambda: _codec(key, handle, pattern)
 
 
-def _packed(codec: MergeReplay, texts: Sequence[str | None]) -> Iterator[bytes]:
-    for chunk in _chunks(texts):
-        if len(chunk) == 1 and len(chunk[0]) > CHUNK_CHARS:
-            yield codec.encode_long(chunk[0])
-        else:
-            yield from codec.encode(chunk)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
            out: str = "ids") -> DataFrame:
     """``docs`` with the packed ids (binary, four bytes each) of every text."""
@@ -191,7 +197,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(list(_packed(coder(), batch)), dtype=object)
+            yield pd.Series(coder().encode(batch), dtype=object)
 
     return docs.withColumn(out, ids(F.col(text_col)))
 
@@ -219,7 +225,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         for batch in texts:
             codec = coder()
             rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(),
-                     hashlib.sha256(codec.decode(x)).hexdigest()) for x in _packed(codec, batch)]
+                     hashlib.sha256(codec.decode(x)).hexdigest()) for x in codec.encode(batch)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.withColumn("__coded", digests(F.col(text_col)))
