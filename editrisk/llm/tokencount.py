@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces remembered by a worker, and the longest that is.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 CACHE_CHARS = 64
 
 
@@ -49,7 +49,7 @@ class MergeCounter(dict):
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] << 20 | ids[b]] = (rank + 1) << 20 | ids[a + b]
         self.byte_ids = [ids[c] for c in byte_alphabet()]
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split_special = regex.compile("|".join(
@@ -65,37 +65,46 @@ class MergeCounter(dict):
         return n
 
     def merged_length(self, data: bytes) -> int:
-        merges, n = self.merges, len(data)
-        symbol = [self.byte_ids[b] for b in data]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        """Bytes minus merges.  Heap entries and merges are single integers: rank, then
+        place (of the pair's left symbol) or token."""
+        n = count = len(data)
+        if n == 1:
+            return 1
+        find, byte_ids, shift = self.merges.get, self.byte_ids, n.bit_length()
+        symbol = [byte_ids[b] for b in data]
         heap = []
         for i in range(n - 1):
-            found = merges.get((symbol[i], symbol[i + 1]))
+            found = find(symbol[i] << 20 | symbol[i + 1])
             if found:
-                heap.append((found[0], i, found[1]))
+                heap.append((found >> 20) << shift | i)
+        if not heap:
+            return n
         heapq.heapify(heap)
-        count = n
+        after, before, low = list(range(1, n + 1)), list(range(-1, n - 1)), (1 << shift) - 1
+        symbol.append(-1)
         while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = after[i]
-            if symbol[i] is None or j >= n:
+            top = heapq.heappop(heap)
+            i = top & low
+            a, j = symbol[i], after[i]
+            if a < 0 or symbol[j] < 0:
                 continue
-            now = merges.get((symbol[i], symbol[j]))
-            if now is None or now[1] != joined:
+            found = find(a << 20 | symbol[j])
+            if found is None or found >> 20 != top >> shift:
                 continue
-            symbol[i], symbol[j] = joined, None
+            made = symbol[i] = found & 0xFFFFF
+            symbol[j] = -2
             k = after[i] = after[j]
             count -= 1
             if k < n:
                 before[k] = i
-                found = merges.get((joined, symbol[k]))
+                found = find(made << 20 | symbol[k])
                 if found:
-                    heapq.heappush(heap, (found[0], i, found[1]))
+                    heapq.heappush(heap, (found >> 20) << shift | i)
             h = before[i]
             if h >= 0:
-                found = merges.get((symbol[h], joined))
+                found = find(symbol[h] << 20 | made)
                 if found:
-                    heapq.heappush(heap, (found[0], h, found[1]))
+                    heapq.heappush(heap, (found >> 20) << shift | h)
         return count
 
     def count(self, text: str | None) -> int:
