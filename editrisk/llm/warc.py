@@ -10,8 +10,8 @@ Of records with equal payloads of at least ``min_revisit_bytes`` the one with th
 largest id is the response and the others are revisits of it; smaller payloads
 are always responses.
 
-Digests and ids are narrow; payload bytes are shuffled once, after copies have gone, and
-a payload that a third of all records share is stored once and joined to headers
+Digests and ids are narrow; payload bytes are shuffled once, after each task's copies have
+gone, and a payload that a third of all records share is stored once and joined to headers
 whose hot partitions AQE splits.
 
 Defined results: a null payload is empty; a null url leaves its header line out, line
@@ -82,11 +82,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     (records.withColumn("header", record_headers(records, date))
      .select("page_id", "header", "payload_key").write.parquet(f"{path}/headers"))
 
-    full = pages.select(F.col(id_col).cast("long").alias("page_id"), payload.alias("payload"))
-    full = full.withColumn("payload_key", F.sha2("payload", 256))
-    held = full.join(holders, full["page_id"].eqNullSafe(holders["holder"])
-                     & (full["payload_key"] == holders["payload_key"]), "left_semi")
-    (held.groupBy("payload_key").agg(F.first("payload").alias("payload"))
+    full = pages.select(F.sha2(payload, 256).alias("payload_key"), payload.alias("payload"))
+    (full.groupBy("payload_key").agg(F.first("payload").alias("payload"))
      .write.parquet(f"{path}/payloads"))
     discard(narrow, holders)
     return path
