@@ -36,7 +36,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Settings:
     dim: int = 1 << 15          # hashed features
-    max_train_docs: int = 8000  # bound of the sample that the classifier is fitted on
+    max_train_docs: int = 5000  # bound of the sample that the classifier is fitted on
     min_df: int = 2             # a feature is used from so many training documents on
     epochs: int = 4
     alpha: float = 0.3          # FTRL learning rate
@@ -52,7 +52,7 @@ _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """By code point: the symbol it counts as (0: separator), and whether it is a letter."""
     if not _TABLES:
-        symbol, letter = np.zeros(0x110000, np.uint64), np.zeros(0x110000, bool)
+        symbol, letter = np.zeros(0x110000, np.uint32), np.zeros(0x110000, bool)
         for c in range(0x110000):
             kind = unicodedata.category(chr(c))[0]
             if kind in "LM":
@@ -69,7 +69,7 @@ def features(text: str | None, dim: int) -> tuple[np.ndarray, np.ndarray] | None
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     if not letter[points].any():
         return None
-    s = np.concatenate([[np.uint64(0)], symbol[points], [np.uint64(0)]])
+    s = np.concatenate([[0], symbol[points], [0]]).astype(np.uint64)
     s = s[(s != 0) | np.concatenate([[True], s[:-1] != 0])]
     pair = s[:-1] * np.uint64(0x9E3779B97F4A7C15) + s[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     triple = pair[:-1] * np.uint64(0x165667B19E3779F9) + s[2:] * np.uint64(0x27D4EB2F165667C5)
