@@ -57,10 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id`` with token count, packed ids, and the digest of ids and decoded bytes."""
-    coded = bpe.encode(docs.select("doc_id", "text"), BPE_RANKS, BPE_PATTERN)
-    coded = bpe.decode(coded, BPE_RANKS, BPE_PATTERN)
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs.select("doc_id", "text"), BPE_RANKS, BPE_PATTERN, keep_ids=True).drop("text")
 
 
 STAGES = [

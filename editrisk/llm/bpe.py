@@ -4,8 +4,8 @@ The distinct pieces of many texts are laid out as one row of symbols.  An invert
 index lists, for every merged token, the positions of the pairs that make it.
 The merges present are applied in rank order to all their positions at once, and
 only the touched neighbours get new entries in the index.  Pieces do not depend
-on each other, so every task replays the merges over its own part of the corpus, an
-Arrow batch at a time, and remembers pieces in a bounded dictionary.
+on each other, so every task replays the merges over its own part of the corpus, in
+chunks of bounded size, and remembers pieces in a bounded dictionary.
 
 The rank file (under 1 MB) is fixed; the driver reads and broadcasts it.
 
@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces remembered by a worker, and pieces of a long text taken together.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 STEP_PIECES = 500_000
+#: Characters of texts whose pieces are replayed together.
+CHUNK_CHARS = 10_000_000
 
 
 class MergeReplay:
@@ -45,7 +47,7 @@ class MergeReplay:
         self.ranks = {base64.b64decode(a): int(b) for a, b in
                       (line.split() for line in rank_file.splitlines() if line)}
         self.token = {i: t for t, i in self.ranks.items()}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces = regex.compile(pattern)
         # every way to make a token of two others, sorted by pair
         made = {}
@@ -55,7 +57,7 @@ class MergeReplay:
                 if a is not None and b is not None:
                     made[a << 32 | b] = i
         self.pair = np.array(sorted(made), np.int64)
-        self.product_of = np.array([made[k] for k in self.pair.tolist()], np.int64)
+        self.product_of = np.array([made[k] for k in self.pair.tolist()], np.int32)
         self.forget()
 
     def forget(self) -> None:
@@ -64,20 +66,21 @@ class MergeReplay:
 
     def product(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token each pair makes, or -1 (a negative symbol is in no pair)."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.product_of[at], -1)
+        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.product_of[at], np.int32(-1))
 
     def replay(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each word has."""
-        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int32)
         sizes = np.array([len(w) if t < 0 else 1 for w, t in zip(words, whole.tolist())], np.int64)
         data = np.frombuffer(b"".join(w if t < 0 else b"\0" for w, t in zip(words, whole.tolist())), np.uint8)
-        word = np.repeat(np.arange(len(words)), sizes)
-        at = np.arange(len(data)) + word
-        symbol = np.full(len(data) + len(words), -1, np.int64)  # -1 ends each word
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        at = np.arange(len(data), dtype=np.int32) + word
+        symbol = np.full(len(data) + len(words), -1, np.int32)  # -1 ends each word
         symbol[at] = np.where(whole[word] >= 0, whole[word], self.byte_ids[data])
-        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        after = np.arange(1, len(symbol) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbol) - 1, dtype=np.int32)
 
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
@@ -97,7 +100,7 @@ class MergeReplay:
                     heapq.heappush(queue, token)
 
         if len(symbol):
-            enter(self.product(symbol[:-1], symbol[1:]), np.arange(len(symbol) - 1))
+            enter(self.product(symbol[:-1], symbol[1:]), np.arange(len(symbol) - 1, dtype=np.int32))
         while queue:
             token = heapq.heappop(queue)
             found = index.pop(token)
@@ -140,19 +143,28 @@ class MergeReplay:
         place = np.repeat(self.start[numbers] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         return self.flat[place].tobytes()
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Packed ids of each text; the merges are replayed over all texts' pieces at once."""
-        if len(self.number) > CACHE_PIECES:
-            self.forget()
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text; the merges are replayed over chunks of texts."""
         parts: list[np.ndarray | bytes] = []
+        size = 0
         for t in texts:
             t = t or ""
+            if size + len(t) > CHUNK_CHARS:
+                yield from self._finish(parts)
+                parts, size = [], 0
+            size += len(t)
             if len(t) <= STEP_PIECES:
                 parts.append(self.numbers(self.pieces.findall(t)))
             else:
                 parts.append(self._encode_long(t, parts))
+        yield from self._finish(parts)
+
+    def _finish(self, parts: list[np.ndarray | bytes]) -> Iterator[bytes]:
         self.learn()
-        return [x if isinstance(x, bytes) else self.ids(x) for x in parts]
+        for x in parts:
+            yield x if isinstance(x, bytes) else self.ids(x)
+        if len(self.number) > CACHE_PIECES:
+            self.forget()
 
     def _encode_long(self, text: str, parts: list[np.ndarray | bytes]) -> bytes:
         """A long text by steps, after what was numbered so far has its ids."""
@@ -196,8 +208,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     @F.pandas_udf("binary")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = coder()
         for batch in texts:
-            yield pd.Series(coder().encode(batch), dtype=object)
+            yield pd.Series(list(codec.encode(batch)), dtype=object)
+        codec.forget()
 
     return docs.withColumn(out, ids(F.col(text_col)))
 
@@ -215,19 +229,21 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
     return docs.withColumn(out, data(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256``: encoded and decoded in
-    one pass, so ids and bytes stay in the task."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
+               keep_ids: bool = False) -> DataFrame:
+    """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, the packed
+    ``ids``: encoded and decoded in one pass, by one Python worker per task."""
     coder = _coder(docs, ranks_path, pattern)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = coder()
         for batch in texts:
-            codec = coder()
             rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(),
-                     hashlib.sha256(codec.decode(x)).hexdigest()) for x in codec.encode(batch)]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                     hashlib.sha256(codec.decode(x)).hexdigest(), *[x] * keep_ids) for x in codec.encode(batch)]
+            yield pd.DataFrame(rows, columns=names)
+        codec.forget()
 
     out = docs.withColumn("__coded", digests(F.col(text_col)))
-    return out.withColumns({c: F.col(f"__coded.{c}") for c in (
-        "n_tokens", "ids_sha256", "decoded_sha256")}).drop("__coded")
+    return out.withColumns({c: F.col(f"__coded.{c}") for c in names}).drop("__coded")

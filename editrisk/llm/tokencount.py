@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces remembered by a worker, and the longest that is.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 CACHE_CHARS = 64
 
 
