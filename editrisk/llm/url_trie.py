@@ -121,4 +121,4 @@ def filter_urls_joined(df: DataFrame, rules: DataFrame, url: str = "url",
     return (parts.join(best, ["host", "path"], "left")
             .withColumns({"rule": F.col("__best.rule"),
                           "verdict": F.coalesce(F.col("__best.action"), F.lit(default))})
-            .drop("__best"))
+            .select(*parts.drop("rule", "verdict").columns, "rule", "verdict"))
