@@ -11,6 +11,8 @@ it did not take) and takes leaves until they hold ``search_share`` of the table,
 per tree.  Neighbouring leaves form cells of bounded size; a cell's vectors and its queries
 meet in blocks, where the products with the vectors of the query's leaves are taken
 exactly (double precision, original components); a query's best of all blocks are kept.
+Products below what the query reaches with sampled vectors of its own leaves, which it will
+find anyway, are not returned by a block.
 
 Equal vectors are indexed once, with the few least ids that can be in any answer, so a
 vector that a third of all rows share is one entry.  The trees and leaf sizes that
@@ -182,6 +184,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rng = np.random.default_rng(s.seed)
     points = lifted(sample)
     forest = spark.sparkContext.broadcast([Tree(points, s.leaf, rng) for _ in range(s.trees)])
+    drawn = spark.sparkContext.broadcast((sample.astype(np.float64), [t.leaf_of(points) for t in forest.value]))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = [np.zeros(t.leaves, np.int64) for t in forest.value]
@@ -219,26 +222,43 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     indexed = entries.select("ids", "v").mapInPandas(
         place, f"tree int, cell int, block int, turn int, leaf int, ids array<long>, v {kind}")
 
+    def floor(products: np.ndarray, at: np.ndarray) -> float:
+        """What the k + 1 best sampled vectors in the leaves ``at`` reach.  These will be found,
+        so nothing below them is in the answer."""
+        inside = np.zeros(len(products), bool)
+        for i, in_leaf in enumerate(drawn.value[1]):
+            chosen = np.zeros(forest.value[i].leaves, bool)
+            chosen[at[at[:, 0] == i, 1]] = True
+            inside |= chosen[in_leaf]
+        mine = products[inside]
+        if len(mine) <= k:
+            return float("-inf")
+        least = float(np.partition(mine, -(k + 1))[-(k + 1)])
+        return least - 1e-9 * abs(least)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
-            for q, v in zip(batch["id"], batch["v"]):
+            seen = (line for at in range(0, len(batch), 64)
+                    for line in matrix(batch["v"].iloc[at:at + 64]) @ drawn.value[0].T)
+            for q, v, products in zip(batch["id"], batch["v"], seen):
                 at = np.array(leaves_to_search(forest.value, [d[0] for d in dealt.value],
                                                np.append(v, 0.0).astype(np.float32), search))
+                least = floor(products, at)
                 for i in np.unique(at[:, 0]):
                     leaves = np.sort(at[at[:, 0] == i, 1])
                     _, cell, blocks = dealt.value[i]
                     for c in np.unique(cell[leaves]):
                         here = leaves[cell[leaves] == c]
-                        out += [(q, v, int(i), int(c), b, (q * 0x9E3779B1 & 0x7FFFFFFF) % turns, here)
+                        out += [(q, v, least, int(i), int(c), b, (q * 0x9E3779B1 & 0x7FFFFFFF) % turns, here)
                                 for b in range(int(blocks[here].max()))]
                 if len(out) > 2000:
-                    yield pd.DataFrame(out, columns=["query_id", "q", "tree", "cell", "block", "turn", "leaves"])
+                    yield pd.DataFrame(out, columns=["query_id", "q", "least", "tree", "cell", "block", "turn", "leaves"])
                     out = []
-            yield pd.DataFrame(out, columns=["query_id", "q", "tree", "cell", "block", "turn", "leaves"])
+            yield pd.DataFrame(out, columns=["query_id", "q", "least", "tree", "cell", "block", "turn", "leaves"])
 
     paths = asked.mapInPandas(
-        walk, f"query_id long, q {kind}, tree int, cell int, block int, turn int, leaves array<int>")
+        walk, f"query_id long, q {kind}, least double, tree int, cell int, block int, turn int, leaves array<int>")
 
     def best_of_block(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -248,9 +268,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             for at in range(0, len(queries), 512):
                 part = queries.iloc[at:at + 512]
                 products = matrix(part["q"]) @ v
-                for q, leaves, line in zip(part["query_id"], part["leaves"], products):
+                for q, floor_, leaves, line in zip(part["query_id"], part["least"], part["leaves"], products):
                     line[~np.isin(leaf, leaves)] = -np.inf
-                    least = max(np.partition(line, -keep)[-keep], np.finfo(float).min)
+                    least = max(np.partition(line, -keep)[-keep], floor_, np.finfo(float).min)
                     out += [(q, line[j], ids[j]) for j in np.flatnonzero(line >= least)]
         return pd.DataFrame(out, columns=["query_id", "score", "ids"])
 
