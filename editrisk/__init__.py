@@ -7,7 +7,6 @@ Sub-packages:
 * ``operators`` - fit/transform steps, running operators, statistics,
   ROC/PR curves, session (multiple-instance) scoring, models
 * ``plans``     - feature catalog, the batched feature pipeline, system runs
-* ``streaming`` - applying fitted steps to a stream
 """
 
 __version__ = "0.1.0"

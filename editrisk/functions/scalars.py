@@ -26,6 +26,13 @@ def clamp_infinity(c: Column, dtype: DataType = DoubleType()) -> Column:
              .otherwise(c))
 
 
+def finite_float32(c: Column) -> Column:
+    """Cast to float32; what lies beyond its range becomes its largest or smallest value."""
+    return (F.when(c > F.lit(FLOAT32_MAX), F.lit(FLOAT32_MAX).cast("float"))
+             .when(c < F.lit(-FLOAT32_MAX), F.lit(-FLOAT32_MAX).cast("float"))
+             .otherwise(c.cast("float")))
+
+
 def impute_string(c: Column) -> Column:
     return F.coalesce(c, F.lit("missing"))
 
@@ -85,7 +92,7 @@ TIME_UNITS = {"hourOfDay": hour_of_day, "dayOfWeek": day_of_week, "dayOfMonth":
 
 def time_unit(ts: Column, unit: str) -> Column:
     if unit not in TIME_UNITS:
-        raise ValueError(f"undefined unit: {unit}")
+        raise ValueError(f"no such time unit: {unit}")
     return TIME_UNITS[unit](ts)
 
 

@@ -193,15 +193,35 @@ def ordered_split(df: DataFrame, fraction: float, order: str = ORDER):
         return df, df.where(F.lit(False))
     # k-th smallest order value without a global sort
     kth = _kth_smallest(df, order, k)
-    return df.where(F.col(order) <= F.lit(kth)), df.where(F.col(order) > F.lit(kth))
+    kth = kth if isinstance(kth, Column) else F.lit(kth)
+    return df.where(F.col(order) <= kth), df.where(F.col(order) > kth)
 
 
 def _kth_smallest(df: DataFrame, col: str, k: int):
-    """The k-th smallest value (1-based) by the bounded refinement search of
-    ``quantiles.kth_smallest`` (no task ranks more than FINAL_ROWS rows)."""
-    from .quantiles import kth_smallest
-    values = df.select(F.col(col).cast("double").alias(col))
-    return kth_smallest(values, col, k - 1)
+    """The k-th smallest value (1-based), found without ranking rows.
+
+    Whole numbers and timestamps are searched on 64 bits: each round counts 4096 equal ranges
+    of the present interval in one grouped pass, until a range is a single value.
+    Other columns use the refinement search of ``quantiles.kth_smallest``.
+    """
+    kind = df.schema[col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "timestamp"):
+        from .quantiles import kth_smallest
+        return kth_smallest(df.select(F.col(col).cast("double").alias(col)), col, k - 1)
+    value = F.unix_micros(col) if kind == "timestamp" else F.col(col).cast("long")
+    values = df.select(value.alias("v")).where("v IS NOT NULL")
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    while lo < hi:
+        width = (hi - lo) // 4096 + 1
+        # decimals: the distance of two longs may need more than 63 bits
+        place = F.expr(f"(cast(v AS decimal(20,0)) - cast('{lo}' AS decimal(20,0))) div cast('{width}' AS decimal(20,0))")
+        counts = sorted(values.where(F.col("v").between(lo, hi)).groupBy(place.alias("p")).count().collect())
+        for p, n in counts:  # at most 4096 rows
+            if k <= n:
+                lo, hi = lo + p * width, min(hi, lo + (p + 1) * width - 1)
+                break
+            k -= n
+    return F.timestamp_micros(F.lit(lo)) if kind == "timestamp" else F.lit(lo).cast("long")
 
 
 def undersample(df: DataFrame, n_times: float, label: str = "label", key: str = ORDER,

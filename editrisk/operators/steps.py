@@ -90,7 +90,7 @@ def sqrt_scale() -> ExprStep:
 
 def time_unit(unit: str) -> ExprStep:
     if unit not in S.TIME_UNITS:
-        raise ValueError(f"undefined unit: {unit}")
+        raise ValueError(f"no such time unit: {unit}")
     return ExprStep(lambda c: S.time_unit(c, unit), f"time_{unit}")
 
 

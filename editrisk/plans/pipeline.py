@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite_float32
 from ..session import join_lookup, persist
 from ..operators.cumulative import run_batch
 from ..operators.quantiles import exact_medians
@@ -146,7 +147,7 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
         src = current[f.output]
         if len(src) != 1:
             raise ValueError(f"feature {f.output} ends with {len(src)} columns")
-        outs.append(F.col(src[0]).cast("float").alias(f.output))
+        outs.append(finite_float32(F.col(src[0]).cast("double")).alias(f.output))
     return cur.select(*[F.col(m) for m in meta], *outs, F.col(label).cast("double").alias("label"))
 
 

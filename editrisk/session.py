@@ -97,8 +97,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    folder is created and registered, so that ``DataFrame.checkpoint`` works.
+    Read from ``spark.checkpoint.dir``.  Where it is unset, a local master (tests) gets a
+    folder of its own, and any other master an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -107,6 +107,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="editrisk-ckpt-")
     sc.setCheckpointDir(conf)
     return conf

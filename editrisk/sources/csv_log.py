@@ -49,10 +49,17 @@ def schema_check(columns: Iterable[str]) -> list[str]:
     """Columns without a declared type (logged as a warning, kept as text)."""
     unknown = [c for c in columns if c not in S.DECLARED]
     for c in unknown:
-        _log.warning("No data type specified for column %s", c)
+        _log.warning("column %s is not declared; it is kept as text", c)
     return unknown
 
 
+def number(name: str, raw: Column, dtype: str) -> Column:
+    """Missing stays missing; text that is no number of the type raises."""
+    value = raw.try_cast(dtype)
+    message = F.concat(F.lit(f"{name}: not a {dtype}: "), raw)
+    return F.when(raw.isNotNull() & value.isNull(), F.raise_error(message).cast(dtype)).otherwise(value)
+
+
 def typed(c: str) -> Column:
     kind = S.DECLARED.get(c, S.STR)
     raw = null_tokens(F.col(c))
@@ -60,10 +67,8 @@ def typed(c: str) -> Column:
         out = decode_bool(raw)
     elif kind == S.TS:
         out = parse_timestamp(raw)
-    elif kind == S.INT:
-        out = raw.try_cast("int") if hasattr(raw, "try_cast") else F.expr(f"try_cast(`{c}` as int)")
-    elif kind == S.FLOAT:
-        out = raw.try_cast("float") if hasattr(raw, "try_cast") else F.expr(f"try_cast(`{c}` as float)")
+    elif kind in (S.INT, S.LONG, S.FLOAT):
+        out = number(c, raw, {S.INT: "int", S.LONG: "bigint", S.FLOAT: "float"}[kind])
     else:
         out = raw
     return out.alias(c)

@@ -8,18 +8,18 @@ are computed in double.
 
 from __future__ import annotations
 
-from pyspark.sql.types import (BooleanType, FloatType, IntegerType, StringType,
+from pyspark.sql.types import (BooleanType, FloatType, IntegerType, LongType, StringType,
                                StructField, StructType, TimestampType)
 
-INT, FLOAT, BOOL, STR, CAT, TS = "int", "float", "bool", "str", "category", "datetime"
+INT, LONG, FLOAT, BOOL, STR, CAT, TS = "int", "long", "float", "bool", "str", "category", "datetime"
 
 # The 124 declared input columns and their types, in the order
 # of the declaration (meta, character, word, sentence, statement, user, item,
 # revision, diff, labels).
 DECLARED_COLUMNS: list[tuple[str, str]] = [
     # meta
-    ("revisionId", INT), ("commentTail", STR), ("contentType", CAT), ("groupId", INT),
-    ("itemId", INT), ("timestamp", TS), ("userId", INT), ("englishItemLabel", STR),
+    ("revisionId", LONG), ("commentTail", STR), ("contentType", CAT), ("groupId", LONG),
+    ("itemId", LONG), ("timestamp", TS), ("userId", LONG), ("englishItemLabel", STR),
     ("superItemId", FLOAT), ("minorRevision", BOOL),
     # character
     ("alphanumericRatio", FLOAT), ("asciiRatio", FLOAT), ("bracketRatio", FLOAT),
@@ -94,7 +94,7 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ssX"
 META_COLUMNS = ["revisionId", "groupId", "contentType", "timestamp"]
 LABEL_COLUMN = "rollbackReverted"
 
-_SPARK_TYPES = {INT: IntegerType(), FLOAT: FloatType(), BOOL: BooleanType(),
+_SPARK_TYPES = {INT: IntegerType(), LONG: LongType(), FLOAT: FloatType(), BOOL: BooleanType(),
                 STR: StringType(), CAT: StringType(), TS: TimestampType()}
 
 

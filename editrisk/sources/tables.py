@@ -104,6 +104,13 @@ def with_revlog(sql: str) -> str:
     return "WITH " + REVLOG_SQL + "\n" + body
 
 
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All comment texts; the label is null where ``labels`` has none."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
+    return docs.join(labels, "doc_id", "left")
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment text with a label: ``documents`` joined to ``labels``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

@@ -112,3 +112,28 @@ def test_describe_top_values_in_one_pass(spark):
     assert (d["c1"]["top"], d["c1"]["freq"], d["c1"]["unique"], d["c1"]["count"]) == ("b", 2, 2, 3)
     assert (d["c2"]["top"], d["c2"]["freq"]) == ("x", 2)  # tie broken by value
     assert (d["b"]["top"], d["b"]["freq"]) == ("True", 2)
+
+
+def test_malformed_numbers_raise_and_large_ids_load(spark, tmp_path):
+    from editrisk.sources.csv_log import load_revisions
+    good = tmp_path / "good.csv"
+    good.write_text('revisionId,itemId,revisionSize\n"3000000000","NA","5"\n')
+    assert [tuple(r) for r in load_revisions(spark, str(good)).collect()] == [(3000000000, None, 5)]
+    bad = tmp_path / "bad.csv"
+    bad.write_text('revisionId,itemId,revisionSize\n"1","abc","5"\n')
+    with pytest.raises(Exception, match="itemId: not a bigint"):
+        load_revisions(spark, str(bad)).collect()
+
+
+def test_ordered_split_of_large_ids(spark):
+    from editrisk.operators.splits import ordered_split
+    ids = [(1 << 60) + i for i in range(8)] + [-(1 << 62), (1 << 63) - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "revisionId long")
+    first, rest = ordered_split(df, 0.5, "revisionId")
+    assert sorted(r[0] for r in first.collect()) == sorted(ids)[:5] and rest.count() == 5
+
+
+def test_float32_clamp(spark):
+    from editrisk.functions.scalars import FLOAT32_MAX, finite_float32
+    df = spark.createDataFrame([(float("inf"),), (-1e300,), (1.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(finite_float32(df.x)).collect()] == [FLOAT32_MAX, -FLOAT32_MAX, 1.5, None]
