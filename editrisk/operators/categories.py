@@ -80,7 +80,7 @@ def long_tail(df: DataFrame, col: str, out: str, count: int) -> DataFrame:
     top = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(out))
              .orderBy(F.desc(out), F.asc(col)).limit(count))
     # ``count`` rows: the broadcast is bounded by the parameter
-    j = df.join(F.broadcast(top), [col], "left")
+    j = df.join(top, [col], "left")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("double"))
 
 

@@ -90,7 +90,7 @@ def score_points(df: DataFrame, score: str = "prob", label: str = "label",
     totals = pts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                                     F.count(F.lit(1)).alias("npoints"))
     # one row per (group, slice): bounded by the number of evaluated models x 3
-    return run.join(F.broadcast(totals), keys).drop("__ord", "__chunk")
+    return run.join(totals, keys).drop("__ord", "__chunk")
 
 
 def _prec(tp: Column, fp: Column) -> Column:
@@ -174,7 +174,7 @@ def roc_curve_100(points: DataFrame, group_cols: Sequence[str] = ()) -> DataFram
     first_thr = p.where(F.col("idx") == 1).select(*keys, (F.col(score).cast("double") + 1).alias("thr0"))
     seg = C.running(kept, keys, {"fpr0": ("last_before", "fpr"), "tpr0": ("last_before", "tpr"),
                                  "thrp": ("last_before", "thr")}, order="idx", chunk_width=1 << 16)
-    seg = (seg.join(F.broadcast(first_thr), keys, "left")
+    seg = (seg.join(first_thr, keys, "left")
               .withColumn("thrp", F.coalesce(F.col("thrp"), F.col("thr0")))
               .withColumn("fpr0", F.coalesce(F.col("fpr0"), F.lit(0.0)))
               .withColumn("tpr0", F.coalesce(F.col("tpr0"), F.lit(0.0)))

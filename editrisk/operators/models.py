@@ -126,7 +126,7 @@ def fit_forest(train: DataFrame, spec: ForestSpec, features_col: str = "features
     if n_features is None:
         n_features = train.select(F.size(vector_to_array(F.col(features_col)))).first()[0]
     if spec.bags <= 1:
-        return FittedForest([_forest(spec, n_features, features_col, spec.seed, spec.trees, 1.0).fit(train)],
+        return FittedForest([_forest(spec, n_features, features_col, spec.seed, spec.trees, spec.sample).fit(train)],
                             features_col)
     if not spec.nested:
         rf = _forest(spec, n_features, features_col, spec.seed, spec.trees * spec.bags, spec.sample)

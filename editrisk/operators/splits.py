@@ -255,7 +255,7 @@ def balanced_sample(df: DataFrame, slice_col: str = "contentType", label: str =
     # Class sizes: one row per (slice, label), so broadcasting is bounded by
     # the number of slices times two.
     sizes = df.groupBy(slice_col, label).agg(F.count(F.lit(1)).alias("__cls_n"))
-    keyed = (df.join(F.broadcast(sizes), [slice_col, label], "left")
+    keyed = (df.join(sizes, [slice_col, label], "left")
                .withColumn("__es", -F.log(u) * F.col("__cls_n") / F.lit(0.5))
                .drop("__cls_n"))
     rn = F.row_number().over(Window.partitionBy(slice_col).orderBy("__es", key))

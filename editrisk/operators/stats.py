@@ -94,7 +94,6 @@ def percent_table(t: DataFrame) -> DataFrame:
                     (F.col("vandalismProbability") * 100).alias("vandalismProbability"))
 
 
-ENTITIES = [("Revisions", "revisionId"), ("Sessions", "groupId"), ("Items", "itemId"), ("Users", "userName")]
 
 
 def distinct_counts(df: DataFrame, tags: dict[tuple[str, str], Column],

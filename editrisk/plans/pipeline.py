@@ -149,7 +149,3 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
             raise ValueError(f"feature {f.output} ends with {len(src)} columns")
         outs.append(finite_float32(F.col(src[0]).cast("double")).alias(f.output))
     return cur.select(*[F.col(m) for m in meta], *outs, F.col(label).cast("double").alias("label"))
-
-
-def feature_columns(features: Sequence[Feature]) -> list[str]:
-    return feature_names(features)

@@ -9,7 +9,7 @@ few knobs that decide how plans are executed:
   session has none (tests, local runs).
 * ``join_lookup`` - joins a fitted lookup table (one row per key) to the wide
   row table.  A broadcast happens only behind a size check: either a
-  measured row count (``is_small``) or AQE's run-time size of the lookup's
+  count measured by the caller or AQE's run-time size of the lookup's
   shuffle output; beyond the bound it is a shuffle join, where AQE splits
   partitions of hot keys on the row side.
 """
@@ -124,36 +124,11 @@ def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _row_width(df: DataFrame) -> int:
-    """Bytes per row, with 32 bytes for each string and 64 for nested values."""
-    width = 0
-    for f in df.schema.fields:
-        name = f.dataType.typeName()
-        if name in ("string", "binary"):
-            width += 32
-        elif name in ("array", "map", "struct"):
-            width += 64
-        else:
-            width += 8
-    return width
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-             max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
-    """Measure (not estimate) whether ``df`` may be broadcast.
-
-    ``df`` should be persisted by the caller: the count materialises it and
-    the following join reads the cached blocks.
-    """
-    n = df.count()
-    return n <= max_rows and n * _row_width(df) <= max_bytes
-
-
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str] | Column,
                 how: str = "left", small: bool | None = None) -> DataFrame:
     """Join a per-key lookup table (one row per key) to the row table.
 
-    * ``small=True``  - the caller measured the lookup (``is_small``): broadcast;
+    * ``small=True``  - the caller measured the lookup and it is small: broadcast;
     * ``small=False`` - a shuffle join;
     * ``small=None``  - no hint: AQE measures the lookup's materialised
       shuffle output at run time and switches to a broadcast join only when
@@ -170,12 +145,3 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str] | Column
     if isinstance(keys, Column):
         return rows.join(right, keys, how)
     return rows.join(right, list(keys), how)
-
-
-def null_safe_join_condition(left: DataFrame, right: DataFrame,
-                             keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
