@@ -166,12 +166,18 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _hash_limit(share: float) -> int:
+    """The signed 64-bit value that this share of all hashes does not exceed."""
+    return (1 << 63) - 1 if share >= 1 else int(share * 2.0 ** 64) - (1 << 63)
+
+
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "lang") -> Model:
     """Fit on the labelled rows of ``docs`` (the caller leaves held-out rows away)."""
     spark, dim = docs.sparkSession, settings.dim
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    labels = [r[0] for r in labelled.groupBy(label_col).count().orderBy(label_col).select(label_col).collect()]
+    per_label = {r[0]: r[1] for r in labelled.groupBy(label_col).count().orderBy(label_col).collect()}
+    labels = list(per_label)
     if not labels:
         return Model([], np.zeros(dim), np.zeros((dim, 0)), np.zeros(0), dim=dim)
 
@@ -197,8 +203,12 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     quota = max(1, settings.max_train_docs // len(labels))
     order = Window.partitionBy("label").orderBy("at", "id")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    # the hash below which a label has about 2 * quota + 200 rows: only those are ranked
+    below = F.create_map(*[F.lit(x) for lab, n in per_label.items()
+                           for x in (lab, _hash_limit((2 * quota + 200) / n))])
     chosen = (labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"),
                               F.xxhash64(F.lit(settings.seed), key).alias("at"))
+              .where(F.col("at") <= below[F.col("label")])
               .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota)
               .select("id", "label", (F.pmod("at", F.lit(10)) == 0).alias("check")).dropDuplicates())
     # at most max_train_docs rows by construction

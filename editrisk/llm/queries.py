@@ -141,7 +141,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, source, unnest(list_distinct(lines)) AS line FROM d),
         b AS (SELECT source, line FROM l
-              JOIN (SELECT source, count(*) AS total FROM documents GROUP BY source) USING (source)
+              JOIN (SELECT source AS host, count(*) AS total FROM documents GROUP BY source) t
+                ON source IS NOT DISTINCT FROM t.host
               WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
               GROUP BY source, line, total HAVING count(*) >= 5 AND count(*) > 0.1::DOUBLE * total),
         s AS (SELECT source, list(line) AS bad FROM b GROUP BY source),

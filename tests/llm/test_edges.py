@@ -84,12 +84,14 @@ def test_mixing(docs, none):
 
 
 def test_line_dedup(spark, none):
-    rows = [(i, f"menu\n\nown {i}\nmenu" if i else None, "a") for i in range(12)] + [(50, "menu\nx", "b"), (51, "", None)]
+    rows = [(i, f"menu\n\nown {i}\nmenu" if i else None, "a") for i in range(12)]
+    rows += [(i, f"foot\nown {i}", None) for i in range(60, 72)] + [(50, "menu\nx", "b"), (51, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__lines_", F.lit(1))
     got = {r.doc_id: r for r in linededup.drop_boilerplate(df, counts=True).collect()}
     assert got[3].text == "\nown 3" and (got[3].n_lines, got[3].n_dropped) == (4, 2)
     assert got[0].text is None and got[0].n_lines == 0
-    assert got[50].text == "menu\nx" and got[51].text == ""  # a small site, a null site
+    assert got[50].text == "menu\nx" and got[51].text == ""  # a small site
+    assert got[60].text == "own 60"  # a null site is a site
     assert linededup.drop_boilerplate(none).count() == 0
 
 
@@ -103,6 +105,22 @@ def test_language(docs, none):
     assert empty.labels == [] and {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_sample_does_not_depend_on_the_hash_limit(spark, monkeypatch):
+    """Only hashes below a limit are ranked; the least ones, those of the sample, are all below it."""
+    rows = [(i, f"{'le mot' if i % 3 else 'the word'} {i * 7919 % 997} x{i % 13}", "fr" if i % 3 else "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    settings = langid.Settings(max_train_docs=40, dim=1 << 10)
+    limited = langid.train(df, settings)
+    monkeypatch.setattr(langid, "_hash_limit", lambda share: (1 << 63) - 1)
+    whole = langid.train(df, settings)
+    assert (limited.weights == whole.weights).all() and limited.temperature == whole.temperature
+
+
+def test_hash_limit():
+    assert langid._hash_limit(1.0) == langid._hash_limit(7.0) == (1 << 63) - 1
+    assert langid._hash_limit(0.5) == 0 and -(1 << 63) <= langid._hash_limit(1e-12) < -(1 << 62)
+
+
 def test_tokens_and_codec(docs, none):
     got = by_id(tokencount.count_tokens(docs, queries.COUNT_VOCABULARY))
     assert got[3][0].n_tokens == got[4][0].n_tokens == 0 and got[3][0].n_bytes == 0
