@@ -214,9 +214,9 @@ def thin_curve(points: DataFrame, max_points: int = MAX_CURVE_POINTS) -> DataFra
     return points.where((F.col("idx") % step == 0) | (F.col("idx") == F.col("npoints")))
 
 
-def pr_curve(points: DataFrame) -> DataFrame:
-    """(recall, precision) per point, thinned to at most 10 000 per slice."""
-    t = thin_curve(points)
+def pr_curve(points: DataFrame, max_points: int = MAX_CURVE_POINTS) -> DataFrame:
+    """(recall, precision) per point, thinned to at most ``max_points`` per slice."""
+    t = thin_curve(points, max_points)
     return t.select(*[c for c in t.columns if c not in ("pos", "neg")],
                     (F.col("TP") / F.col("P")).alias("recall"),
                     _prec(F.col("TP"), F.col("FP")).alias("precision"))

@@ -34,8 +34,8 @@ PARALLEL_FITS = 4  # concurrent model fits (driver threads; Spark runs the jobs)
 
 @dataclass(frozen=True)
 class ForestSpec:
-    """A forest; ``bags`` > 1 means bagging of ``bags`` forests, each on
-    ``sample`` of the rows (drawn with replacement)."""
+    """A forest on ``sample`` of the rows (drawn with replacement); ``bags`` > 1 means
+    bagging of ``bags`` such forests, each on a sample of its own."""
     trees: int = 10
     depth: int | None = None
     features: str = "sqrt"  # '1', '2', 'log2', 'sqrt', 'all'
@@ -116,17 +116,16 @@ def fit_forest(train: DataFrame, spec: ForestSpec, features_col: str = "features
                n_features: int | None = None) -> FittedForest:
     """Fit a forest or a bagging ensemble.
 
-    Bagging (``bags`` > 1) is by default ONE forest of ``bags * trees`` trees
-    with ``subsamplingRate = sample``: every tree draws its own bootstrap of
-    ``sample`` of the rows, and the forest's probability is the mean over
-    trees - the mean of the member forests' probabilities.  All trees grow
-    in the same distributed passes.  ``nested=True`` fits the member forests
-    separately on their own samples (concurrently).
+    Bagging (``bags`` > 1) is by default ONE forest of ``bags * trees`` trees with
+    ``subsamplingRate = sample``: every tree draws its own sample, and all trees grow in
+    the same distributed passes.  ``nested=True`` fits the member forests separately, each
+    on one sample that its trees share, a few at a time.
     """
     if n_features is None:
         n_features = train.select(F.size(vector_to_array(F.col(features_col)))).first()[0]
     if spec.bags <= 1:
-        return FittedForest([_forest(spec, n_features, features_col, spec.seed, spec.trees, spec.sample).fit(train)],
+        rows = train if spec.sample >= 1.0 else train.sample(True, spec.sample, spec.seed)
+        return FittedForest([_forest(spec, n_features, features_col, spec.seed, spec.trees, 1.0).fit(rows)],
                             features_col)
     if not spec.nested:
         rf = _forest(spec, n_features, features_col, spec.seed, spec.trees * spec.bags, spec.sample)

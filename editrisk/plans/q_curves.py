@@ -113,9 +113,9 @@ def q_roc_curve_100(spark, sf):
 @query("thin_curve", with_revlog(f"""
 WITH {_POINTS_SQL}
 SELECT slice, CAST(idx AS BIGINT) AS idx, round(TP * 1.0 / P, 6) AS recall, round(TP * 1.0 / (TP + FP), 6) AS precision
-FROM r WHERE idx % CAST(ceil(npoints / 10000.0) AS BIGINT) = 0 OR idx = npoints"""))
+FROM r WHERE idx % CAST(ceil(npoints / 300.0) AS BIGINT) = 0 OR idx = npoints"""))
 def q_thin_curve(spark, sf):
-    c = CV.pr_curve(_points(spark, sf))
+    c = CV.pr_curve(_points(spark, sf), 300)  # a bound that these curves exceed
     return c.select("slice", F.col("idx").cast("bigint"), r6(F.col("recall")).alias("recall"),
                     r6(F.col("precision")).alias("precision"))
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -80,10 +79,11 @@ def simple_multi_instance(train: DataFrame, valid: DataFrame, spec: M.ForestSpec
 
 
 def session_family(train: DataFrame, valid: DataFrame, spec: M.ForestSpec,
-                   names: Sequence[str]) -> DataFrame:
+                   names: Sequence[str], features_col: str = "features") -> DataFrame:
     """Bagging, its session mean (SIL MI), the session model (Simple MI) and
-    their mean (Combined MI), as one scored table with a ``model`` column."""
-    bag, _, _, _ = M.fit_predict(train, valid, spec)
+    their mean (Combined MI), as one scored table with a ``model`` column.
+    ``names`` are the features in the vector ``features_col``."""
+    bag, _, _, _ = M.fit_predict(train, valid, spec, features_col, len(names))
     sil = SE.single_instance(bag, "prob", "mean", out="sil")
     smi = simple_multi_instance(train, valid, spec, names).select("revisionId", "smi")
     both = persist(sil.join(smi, "revisionId"))
@@ -116,7 +116,8 @@ def run_system(log: DataFrame, system: str, time_label: str, train_start: str, v
 # ------------------------------------------------------------------ groups and ranking
 def group_classifiers(train: DataFrame, valid: DataFrame, features: Sequence[CAT.Feature],
                       system: str) -> DataFrame:
-    """Default forest, tuned forest, bagging on all features and on each group."""
+    """Default forest, tuned forest and the four models of the session family, each on all
+    features and on each group."""
     names = CAT.feature_names(features)
     variants = [("ALL", names)] + [(g, CAT.feature_names(CAT.select_group(features, g)))
                                    for g in CAT.groups(features)]
@@ -127,7 +128,10 @@ def group_classifiers(train: DataFrame, valid: DataFrame, features: Sequence[CAT
         (group, cols), (clf, spec) = job
         tr = M.slice_features(train, names, cols)
         va = M.slice_features(valid, names, cols)
-        scored, _, _, _ = M.fit_predict(tr, va, spec, "features_sub")
+        if clf == "BAGGING":
+            family = session_family(tr, va, spec, cols, "features_sub")
+            return family.withColumn("model", F.concat(F.upper("model"), F.lit(f"|{group}")))
+        scored, _, _, _ = M.fit_predict(tr, va, spec, "features_sub", len(cols))
         return _scored(scored, f"{clf}|{group}")
     jobs = [(v, s) for s in specs for v in variants]
     with ThreadPoolExecutor(M.PARALLEL_FITS) as ex:
@@ -160,7 +164,7 @@ def feature_ranking(train: DataFrame, valid: DataFrame, features: Sequence[CAT.F
            .where(F.col("slice") == "ALL")
            .select("model", F.col("ROC").alias("TRAINING_ROC"), F.col("PR").alias("TRAINING_PR")))
     wide = (val.groupBy("model").pivot("slice", ["ALL", "ITEM_HEAD", "ITEM_BODY"])
-               .agg(F.first("ROC").alias("ROC"), F.first("PR").alias("PR")))
+               .agg(*[F.first(c).alias(c) for c in ("positives", "negatives", "ROC", "PR")]))
     out = wide.join(trn, "model")
     parts = F.split("model", r"\|")
     return out.select(parts[0].alias("group"), parts[1].alias("subgroup"), parts[2].alias("feature"),
@@ -215,26 +219,27 @@ def sampling_grid() -> list[M.ForestSpec]:
 
 def grid_search(train: DataFrame, valid: DataFrame, specs: Sequence[M.ForestSpec],
                 n_features: int) -> DataFrame:
-    """Every grid point (after depth capping; '2' features dropped when there
-    is one feature): validation metrics on all rows, per point."""
-    pts = [s for s in M.capped(specs) if not (n_features < 2 and s.features == "2")]
+    """Every grid point ('2' features dropped when there is one feature): validation metrics
+    on all rows.  Points that coincide under MLlib's depth limit are fitted once and
+    keep a row each; ``model`` is the point's number, ``depth`` null where unlimited."""
+    points = [s for s in specs if not (n_features < 2 and s.features == "2")]
+    fits = M.capped(points)
+    fit_of = {s.key(): i for i, s in enumerate(fits)}
 
     def one(i_spec):
         i, spec = i_spec
-        tr = train
-        if spec.bags == 1 and spec.sample < 1.0:
-            tr = train.sample(withReplacement=True, fraction=spec.sample, seed=spec.seed)
-            spec = replace(spec, sample=1.0)
-        scored, _, fit_s, prob_s = M.fit_predict(tr, valid, spec)
+        scored, _, _, _ = M.fit_predict(train, valid, spec, n_features=n_features)
         return _scored(scored, str(i))
     with ThreadPoolExecutor(M.PARALLEL_FITS) as ex:
-        frames = list(ex.map(one, enumerate(pts)))
-    m = M.evaluate(_union(frames), ["model"], curves=False).where(F.col("slice") == "ALL")
-    spark = train.sparkSession
-    params = spark.createDataFrame(
-        [(str(i), s.trees, s.depth, s.features, s.bags, float(s.sample), s.seed) for i, s in enumerate(pts)],
-        "model string, trees int, depth int, features string, bags int, sample double, seed int")
-    return m.join(F.broadcast(params), "model")
+        frames = list(ex.map(one, enumerate(fits)))
+    m = (M.evaluate(_union(frames), ["model"], curves=False).where(F.col("slice") == "ALL")
+         .withColumnRenamed("model", "__fit"))
+    params = train.sparkSession.createDataFrame(
+        [(str(fit_of[s.key()]), str(i), s.trees, s.depth, s.features, s.bags, float(s.sample), s.seed)
+         for i, s in enumerate(points)],
+        "__fit string, model string, trees int, depth int, features string, bags int, sample double, seed int")
+    # one row per grid point
+    return m.join(F.broadcast(params), "__fit").drop("__fit")
 
 
 def best_params(grid: DataFrame, pr: str = "PR") -> DataFrame:
