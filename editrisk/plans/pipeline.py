@@ -127,12 +127,17 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
             ops = [s.running_op(narrow, current[f.output], tmp[f.output]) for f, s, _ in items]
             w = run_batch(narrow, ops, chunk_width=width)
             cur = cur.join(w.select(ORDER, *[tmp[f.output] for f, _, _ in items]), ORDER, "left")
+        many: dict[str, list[str]] = {}
         # custom steps (text models, tags ...): their own plan, joined back
         for f, s in active:
             if s.kind == "custom":
                 narrow = start.select(*dict.fromkeys([ORDER, *current[f.output], *_time_cols(start)]))
                 w = s.fit_transform(narrow, current[f.output], tmp[f.output], fit)
-                cur = cur.join(w.select(ORDER, tmp[f.output]), ORDER, "left")
+                made = [tmp[f.output]]
+                if s.many:
+                    made = many[f.output] = [c for c in w.columns if c.startswith(f"{tmp[f.output]}_")]
+                if made:
+                    cur = cur.join(w.select(ORDER, *made), ORDER, "left")
 
         # expression steps: one select
         exprs = [(f, s) for f, s in active if s.kind == "expr"]
@@ -140,12 +145,15 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
             cur = cur.select("*", *[s.expr(current[f.output]).alias(tmp[f.output]) for f, s in exprs])
 
         for f, _ in active:
-            current[f.output] = [tmp[f.output]]
+            current[f.output] = many.get(f.output, [tmp[f.output]])
 
     outs = []
     for f in features:
         src = current[f.output]
-        if len(src) != 1:
+        names = [f.output]
+        if f.steps and getattr(f.steps[-1], "many", False):
+            names = [f.output + c[len(f"__{f.output}__{len(f.steps) - 1}"):] for c in src]
+        elif len(src) != 1:
             raise ValueError(f"feature {f.output} ends with {len(src)} columns")
-        outs.append(finite_float32(F.col(src[0]).cast("double")).alias(f.output))
+        outs += [finite_float32(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(src, names)]
     return cur.select(*[F.col(m) for m in meta], *outs, F.col(label).cast("double").alias("label"))

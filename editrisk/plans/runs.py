@@ -10,19 +10,25 @@ the loop's plans stay short.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cumulative as C
 from ..operators import models as M
 from ..operators import sessions as SE
-from ..session import cut_lineage, persist
+from ..operators.stats import corpus_statistics
+from ..session import cut_lineage, persist, releasing
+from ..sources import constants as K
+from ..sources.csv_log import load_revisions, to_parquet
+from ..sources.schema import LABEL_COLUMN
+from ..sources.sinks import metrics_sink
 from ..sources.tables import ts_lit
 from . import catalog as CAT
+from . import feature_sets as SETS
 from .pipeline import feature_pipeline
 
 KEEP = ["revisionId", "groupId", "contentType", "label"]
@@ -32,21 +38,27 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def build_table(log: DataFrame, features: Sequence[CAT.Feature], validation_start: str,
-                end: str | None = None, cache_input: bool = True) -> DataFrame:
+def _bound(value: str | int) -> Column:
+    return ts_lit(value) if isinstance(value, str) else F.lit(value)
+
+
+def build_table(log: DataFrame, features: Sequence[CAT.Feature], validation_start: str | int,
+                end: str | int | None = None, cache_input: bool = True, on: str = "timestamp",
+                label: str = "label") -> DataFrame:
     """Feature table of all rows before ``end``, fitted on rows before the
-    validation start, assembled and checkpointed."""
-    rows = log if end is None else log.where(F.col("timestamp") < ts_lit(end))
-    table = feature_pipeline(rows, features, F.col("timestamp") < ts_lit(validation_start),
-                             cache_input=cache_input)
-    names = CAT.feature_names(features)
-    return cut_lineage(M.assemble(table, names))
-
-
-def split(table: DataFrame, train_start: str, validation_start: str, test_start: str):
-    ts = F.col("timestamp")
-    train = table.where((ts >= ts_lit(train_start)) & (ts < ts_lit(validation_start)))
-    valid = table.where((ts >= ts_lit(validation_start)) & (ts < ts_lit(test_start)))
+    validation start, assembled and checkpointed.  The bounds are those of the
+    column ``on``: times, or revision ids."""
+    rows = log if end is None else log.where(F.col(on) < _bound(end))
+    table = feature_pipeline(rows, features, F.col(on) < _bound(validation_start),
+                             label=label, cache_input=cache_input)
+    return cut_lineage(M.assemble(table, CAT.output_columns(features, table.columns)))
+
+
+def split(table: DataFrame, train_start: str | int, validation_start: str | int, test_start: str | int,
+          on: str = "timestamp"):
+    at = F.col(on)
+    train = table.where((at >= _bound(train_start)) & (at < _bound(validation_start)))
+    valid = table.where((at >= _bound(validation_start)) & (at < _bound(test_start)))
     return train, valid
 
 
@@ -92,9 +104,11 @@ def session_family(train: DataFrame, valid: DataFrame, spec: M.ForestSpec,
                    _scored(comb, "Simple MI", "smi"), _scored(comb, "Combined MI", "comb")])
 
 
-def classify(train: DataFrame, valid: DataFrame, system: str, names: Sequence[str]) -> DataFrame:
-    """Default forest, tuned forest and the session family of one system."""
-    tuned = M.TUNED[system]
+def classify(train: DataFrame, valid: DataFrame, system: str, names: Sequence[str],
+             tuned: dict[str, M.ForestSpec] | None = None) -> DataFrame:
+    """Default forest, tuned forest and the session family of one system, with the
+    ``tuned`` parameters (default: the stored ones)."""
+    tuned = tuned or M.TUNED[system]
     d, _, _ = forest_run(train, valid, M.DEFAULT_FOREST, "Default random forest")
     o, _, _ = forest_run(train, valid, tuned["FOREST"], "Optimized random forest")
     fam = session_family(train, valid, tuned["BAGGING"], names)
@@ -104,25 +118,85 @@ def classify(train: DataFrame, valid: DataFrame, system: str, names: Sequence[st
 def run_system(log: DataFrame, system: str, time_label: str, train_start: str, validation_start: str,
                test_start: str, curves: bool = False) -> DataFrame:
     """One (time label, system) run: metrics per classifier and slice."""
-    features = CAT.SYSTEMS[system]()
-    names = CAT.feature_names(features)
-    table = build_table(log, features, validation_start, test_start)
-    train, valid = split(table, train_start, validation_start, test_start)
-    scored = classify(train, valid, system, names)
-    m = M.evaluate(scored, ["model"], curves=curves)
-    return m.select(F.lit(time_label).alias("time_label"), F.lit(system).alias("system"), "*")
+    return execute(log, CAT.SYSTEMS[system](), system, time_label,
+                   (train_start, validation_start, test_start), curves=curves, cache_input=True)["metrics"]
+
+
+def execute(log: DataFrame, features: Sequence[CAT.Feature], system: str, time_label: str,
+            bounds: tuple, on: str = "timestamp", label: str = "label", rank: bool = False,
+            tune: bool = False, by_group: bool = False, curves: bool = True,
+            cache_input: bool = False) -> dict[str, DataFrame]:
+    """One run as result tables: ``metrics`` (classifiers by slice) and, where asked for,
+    ``ranking``, ``grid`` (whose best points are then the tuned models' parameters) and
+    ``groups``.  ``bounds`` are the starts of training, validation and test in ``on``."""
+    train_start, validation_start, test_start = bounds
+    table = build_table(log, features, validation_start, test_start, cache_input, on, label)
+    train, valid = split(table, train_start, validation_start, test_start, on)
+    names = CAT.output_columns(features, table.columns)
+    tables, tuned = {}, M.TUNED[system]
+    if rank:
+        tables["ranking"] = feature_ranking(train, valid, features)
+    if tune:
+        tables["grid"], tuned = optimize(train, valid, len(names))
+    tables["metrics"] = M.evaluate(classify(train, valid, system, names, tuned), ["model"], curves=curves)
+    if by_group:
+        tables["groups"] = group_classifiers(train, valid, features, system, tuned)
+    return {name: t.select(F.lit(time_label).alias("time_label"), F.lit(system).alias("system"), "*")
+            for name, t in tables.items()}
+
+
+def run_all(spark: SparkSession, path: str, out: str, systems: dict | None = None, test: bool = False,
+            rank: bool = False, tune: bool = False, by_group: bool = False, statistics: bool = False,
+            backtest: bool = False, bounds: Callable[[bool], tuple] = K.revision_bounds,
+            months: Sequence[tuple[str, str]] | None = None) -> list[str]:
+    """From a CSV log to result tables: the log is written to ``out/log`` as typed Parquet
+    once, then every system runs on the validation set and, with ``test``, on the test
+    set.  Tables go to ``out/<table>/time_label=.../system=...``; their names are returned.
+
+    Rankings and the group report are made for the first system only, the group
+    report on the test set; parameters are tuned on the validation set and used in
+    its run.  ``out`` is a folder that all executors share."""
+    systems = systems or SETS.SYSTEMS
+    stored = f"{out.rstrip('/')}/log"
+    to_parquet(load_revisions(spark, path), stored)
+    log = spark.read.parquet(stored)
+    written = []
+
+    def write(name: str, table: DataFrame) -> None:
+        metrics_sink(table, f"{out.rstrip('/')}/{name}")
+        written.append(name)
+
+    if statistics:
+        write("statistics", corpus_statistics(log, label=LABEL_COLUMN))
+    first = next(iter(systems))
+    for use_test in (False, True) if test else (False,):
+        when = "TEST" if use_test else "VALIDATION"
+        for system, make in systems.items():
+            with releasing():
+                tables = execute(log, make(), system, when, bounds(use_test), on="revisionId",
+                                 label=LABEL_COLUMN, rank=rank and system == first,
+                                 tune=tune and not use_test,
+                                 by_group=by_group and use_test and system == first)
+                for name, table in tables.items():
+                    write(f"{name}/time_label={when}/system={system}", table.drop("time_label", "system"))
+    if backtest:
+        with releasing():
+            write("backtest", expanding_backtest(
+                log, K.BACKTEST_TRAINING_START, "", "", systems=systems, label=LABEL_COLUMN,
+                at=months or month_windows()))
+    return written
 
 
 # ------------------------------------------------------------------ groups and ranking
 def group_classifiers(train: DataFrame, valid: DataFrame, features: Sequence[CAT.Feature],
-                      system: str) -> DataFrame:
+                      system: str, tuned: dict[str, M.ForestSpec] | None = None) -> DataFrame:
     """Default forest, tuned forest and the four models of the session family, each on all
     features and on each group."""
-    names = CAT.feature_names(features)
-    variants = [("ALL", names)] + [(g, CAT.feature_names(CAT.select_group(features, g)))
+    tuned = tuned or M.TUNED[system]
+    names = CAT.output_columns(features, train.columns)
+    variants = [("ALL", names)] + [(g, CAT.output_columns(CAT.select_group(features, g), names))
                                    for g in CAT.groups(features)]
-    specs = [("DFOREST", M.DEFAULT_FOREST), ("OFOREST", M.TUNED[system]["FOREST"]),
-             ("BAGGING", M.TUNED[system]["BAGGING"])]
+    specs = [("DFOREST", M.DEFAULT_FOREST), ("OFOREST", tuned["FOREST"]), ("BAGGING", tuned["BAGGING"])]
 
     def one(job):
         (group, cols), (clf, spec) = job
@@ -144,11 +218,12 @@ def group_classifiers(train: DataFrame, valid: DataFrame, features: Sequence[CAT
 def feature_ranking(train: DataFrame, valid: DataFrame, features: Sequence[CAT.Feature]) -> DataFrame:
     """Default forest per feature, per subgroup and per group; validation
     metrics per slice plus training metrics on all rows."""
-    names = CAT.feature_names(features)
-    units = [((f.group, f.subgroup, f.output), [f.output]) for f in features]
-    units += [((g, sg, "ALL"), CAT.feature_names([f for f in features if (f.group, f.subgroup) == (g, sg)]))
+    names = CAT.output_columns(features, train.columns)
+    units = [((f.group, f.subgroup, f.output), [f]) for f in features]
+    units += [((g, sg, "ALL"), [f for f in features if (f.group, f.subgroup) == (g, sg)])
               for g, sg in CAT.subgroups(features)]
-    units += [((g, "ALL", "ALL"), CAT.feature_names(CAT.select_group(features, g))) for g in CAT.groups(features)]
+    units += [((g, "ALL", "ALL"), CAT.select_group(features, g)) for g in CAT.groups(features)]
+    units = [(key, CAT.output_columns(some, names)) for key, some in units]
 
     def one(unit):
         label, cols = unit
@@ -317,7 +392,6 @@ def windows(train_start: str, first_validation: str, end: str, step_days: int =
 
 def month_windows() -> list[tuple[str, str]]:
     """The real corpus' backtest: from 2013-05-01, two-month windows and steps."""
-    from ..sources import constants as K
     fmt = "%Y-%m-%d %H:%M:%S"
     first = _add_months(dt.datetime.strptime(K.BACKTEST_TRAINING_START, fmt), K.BACKTEST_VALIDATION_MONTHS)
     return windows(K.BACKTEST_TRAINING_START, first.strftime(fmt), K.BACKTEST_END,
@@ -325,18 +399,19 @@ def month_windows() -> list[tuple[str, str]]:
 
 
 def expanding_backtest(log: DataFrame, train_start: str, first_validation: str, end: str,
-                       step_days: int = 7, systems: Sequence[str] = ("MAIN", "FILTER", "BASELINE"),
-                       step_months: int | None = None) -> DataFrame:
+                       step_days: int = 7, systems: dict[str, Callable] | None = None,
+                       step_months: int | None = None, label: str = "label",
+                       at: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Train from the start to t, validate [t, t + step): the main system runs
     the session family, the baselines the default forest; adds the positive
-    fraction of each validation window."""
+    fraction of each validation window.  ``at`` gives the windows themselves."""
     frames = []
-    for v_start, t_start in windows(train_start, first_validation, end, step_days, step_months):
-        label = f"{v_start[:10]} to {t_start[:10]}"
-        for system in systems:
-            features = CAT.SYSTEMS[system]()
-            names = CAT.feature_names(features)
-            table = build_table(log, features, v_start, t_start)
+    for v_start, t_start in at or windows(train_start, first_validation, end, step_days, step_months):
+        span = f"{v_start[:10]} to {t_start[:10]}"
+        for system, make in (systems or CAT.SYSTEMS).items():
+            features = make()
+            table = build_table(log, features, v_start, t_start, label=label)
+            names = CAT.output_columns(features, table.columns)
             train, valid = split(table, train_start, v_start, t_start)
             if system == "MAIN":
                 scored = session_family(train, valid, M.TUNED[system]["BAGGING"], names)
@@ -344,7 +419,7 @@ def expanding_backtest(log: DataFrame, train_start: str, first_validation: str,
                 scored, _, _ = forest_run(train, valid, M.DEFAULT_FOREST, "Default random forest")
             m = M.evaluate(scored, ["model"], curves=False)
             frac = valid.agg(F.avg("label")).first()[0]  # one scalar
-            frames.append(m.select(F.lit(label).alias("time_label"), F.lit(system).alias("system"), "*",
+            frames.append(m.select(F.lit(span).alias("time_label"), F.lit(system).alias("system"), "*",
                                    F.lit(frac).cast("double").alias("VANDALISM_FRACTION")))
     return _union(frames)
 

@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,8 +121,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: list[list[DataFrame]] = []
+
+
 def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _HELD:
+        _HELD[-1].append(held)
+    return held
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """What the library caches inside is freed at the end (results must be written by then)."""
+    _HELD.append([])
+    try:
+        yield
+    finally:
+        for df in _HELD.pop():
+            df.unpersist()
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str] | Column,
