@@ -44,7 +44,8 @@ SLICES = [("ALL", None), ("ITEM_HEAD", ["TEXT"]), ("ITEM_BODY", ["STATEMENT", "S
 GRID = [float(x) for x in np.arange(0.01, 1.005, 0.01)]  # FPR grid of the ROC curve
 MAX_CURVE_POINTS = 10000  # thin_curve bound
 T_CHUNK = 4096  # interpolation steps per task row
-SCORE_BUCKETS = 1000
+SCORE_BUCKETS = 1000  # at least so many score buckets, and one per BUCKET_POINTS points
+BUCKET_POINTS = 1 << 20
 
 
 def tag_slices(df: DataFrame, slice_col: str | None = "contentType",
@@ -76,9 +77,9 @@ def score_points(df: DataFrame, score: str = "prob", label: str = "label",
     # the grouped points feed three passes (bounds, local scan, chunk totals)
     pts = persist(pts)
     # score buckets for the segmented scan (descending score = ascending chunk)
-    bounds = pts.agg(F.percentile_approx(F.col("score"),
-                                         [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)],
-                                         10 * SCORE_BUCKETS).alias("b")).first()["b"] or []
+    buckets = max(SCORE_BUCKETS, -(-pts.count() // BUCKET_POINTS))
+    bounds = pts.agg(F.percentile_approx(F.col("score"), [i / buckets for i in range(1, buckets)],
+                                         10 * buckets).alias("b")).first()["b"] or []
     splits = [-float("inf")] + sorted(set(float(b) for b in bounds)) + [float("inf")]
     pts = pts.withColumn("__s", F.col("score"))
     pts = Bucketizer(splits=splits, inputCol="__s", outputCol="__bk").transform(pts)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import ts_lit
 
 ORDER = "revisionId"
-HASH_BITS = 20  # histogram buckets for the exact-size threshold (2^20 rows at most)
+HASH_BITS = 12     # bits of the hash that one histogram of the exact-size threshold looks at
+RANKED_ROWS = 4096  # a bucket of more rows gets a histogram of its own
 
 
 # ------------------------------------------------------------------ ranges
@@ -134,27 +135,31 @@ def _hash_rank_key(key: str, seed: int) -> Column:
 def hash_threshold(df: DataFrame, k: int, key: str = ORDER, seed: int = 1):
     """Return (h, key) such that exactly ``k`` rows have (hash, key) < (h, key).
 
-    Two small passes: a histogram over the top ``HASH_BITS`` of the hash,
-    then a ranking of the one bucket that holds the k-th row.  Returns None
-    when k is 0 (take nothing) or k >= n (take all).
+    A histogram over the top ``HASH_BITS`` of the hash finds the bucket of the k-th row;
+    the next bits are looked at in that bucket alone, until it has ``RANKED_ROWS`` rows at
+    most, which are ranked.  Says so when k is 0 (take nothing) or k > n (take all).
     """
     if k <= 0:
         return ("none", None)
     h = _hash_rank_key(key, seed)
-    shift = 63 - HASH_BITS
-    hist = (df.select(F.shiftright(h, shift).alias("b")).groupBy("b").count()
-              .withColumn("cum", F.sum("count").over(Window.orderBy("b")))
-              .where(F.col("cum") >= k).orderBy("b").limit(1).collect())
-    if not hist:
-        return ("all", None)
-    bucket, count, cum = hist[0]["b"], hist[0]["count"], hist[0]["cum"]
-    before = cum - count
-    need = k - before  # 1-based rank inside the bucket
-    inside = (df.select(h.alias("h"), F.col(key).alias("key"))
-                .where(F.shiftright(F.col("h"), shift) == bucket)
-                .withColumn("r", F.row_number().over(Window.orderBy("h", "key")))
-                .where(F.col("r") == need).collect())
-    row = inside[0]
+    rows = df.select(h.alias("h"), F.col(key).alias("key"))
+    left, need = 63, k  # bits not looked at yet; 1-based rank among ``rows``
+    while left > 0:
+        left = max(left - HASH_BITS, 0)
+        bucket = F.shiftright("h", left)
+        hit = (rows.groupBy(bucket.alias("b")).count()
+                   .withColumn("cum", F.sum("count").over(Window.orderBy("b")))
+                   .where(F.col("cum") >= need).orderBy("b").first())
+        if hit is None:
+            return ("all", None)
+        need -= hit["cum"] - hit["count"]
+        rows = rows.where(bucket == hit["b"])
+        if hit["count"] <= RANKED_ROWS:
+            break
+    # repeated keys are one row here
+    row = (rows.groupBy("h", "key").count()
+               .withColumn("r", F.sum("count").over(Window.orderBy("h", "key")))
+               .where(F.col("r") >= need).orderBy("h", "key").first())
     return ("cut", (row["h"], row["key"]))
 
 

@@ -102,3 +102,13 @@ def test_feature_pipeline_keeps_rows(spark):
     t = feature_table(spark, SF_SMALL)
     assert t.count() == revision_log(spark, SF_SMALL).count()
     assert t.select("revisionId").distinct().count() == t.count()
+
+
+@pytest.mark.parametrize("bits, ranked", [(1, 1), (2, 3), (12, 4096)])
+def test_exact_sample_does_not_depend_on_refinement(spark, monkeypatch, bits, ranked):
+    from editrisk.operators import splits as SP
+    df = spark.range(40).withColumnRenamed("id", "revisionId")
+    whole = sorted(r[0] for r in SP.sample_n(df, 0.35).collect())
+    monkeypatch.setattr(SP, "HASH_BITS", bits)
+    monkeypatch.setattr(SP, "RANKED_ROWS", ranked)
+    assert sorted(r[0] for r in SP.sample_n(df, 0.35).collect()) == whole and len(whole) == 14
