@@ -43,11 +43,26 @@ def drop_site_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cut.select(*docs.columns)
 
 
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__file, __at``: a key of its own for every row, the same at each read.
+
+    It is the row's place in its Parquet file; what is no plain table of Parquet files is
+    written first."""
+    relation = docs._jdf.queryExecution().analyzed()
+    if relation.nodeName() != "LogicalRelation" or "parquet" not in relation.simpleString(100):
+        docs = store(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumns({"__file": F.xxhash64(place["file_path"]), "__at": place["row_index"]})
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8) stays."""
-    groups = store(minhash.near_duplicates(docs, words=5, percent=80), "groups")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of each near-duplicate group (five words, similarity 0.8) stays: the one with
+    the least id, null ids last.  Ids may be null or repeat: rows are told apart by their place."""
+    keyed = with_row_keys(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "__file", "__at")
+    groups = minhash.near_duplicates(keyed.select(key.alias("__key"), "text"), words=5, percent=80, id_col="__key")
+    gone = store(groups.where(~F.col("kept")).select("__key.__file", "__key.__at"), "gone")
+    return keyed.join(gone, ["__file", "__at"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

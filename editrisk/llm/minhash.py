@@ -159,7 +159,8 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_c
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``key, items`` (the full set) of each wanted class, read from the document ``id``."""
     narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    mine = narrow.join(broadcast_if_small(wanted, 64), narrow["doc"].eqNullSafe(wanted["id"])).select("key", "text")
+    row_bytes = 128 if isinstance(narrow.schema["doc"].dataType, T.StructType) else 64
+    mine = narrow.join(broadcast_if_small(wanted, row_bytes), narrow["doc"].eqNullSafe(wanted["id"])).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

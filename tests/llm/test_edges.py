@@ -197,3 +197,23 @@ def test_pipeline_stages(spark, docs, none):
         if stage is not corpus_pipeline.STAGES[-1][1]:
             assert out.columns == docs.columns, name
         assert stage(spark, none, "").count() == 0
+
+
+def test_near_duplicate_stage_tells_rows_apart(spark, tmp_path):
+    x, y, z = ("one two three four five six seven eight", "nothing of the first text is said in here at all",
+               "a third text that stands for itself and has no copy")
+    rows = [(None, x), (1, x), (None, y), (None, z), (None, z), (2, z + " "), (3, None), (3, None), (4, ""),
+            (5, "repeated row of one id with six words"), (5, "repeated row of one id with six words"),
+            (5, "another text that has the same id as they have"), (None, None)]
+    want = [(None, y), (1, x), (2, z + " "), (3, None), (3, None), (4, ""), (None, None),
+            (5, "repeated row of one id with six words"), (5, "another text that has the same id as they have")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert got.columns == ["doc_id", "text"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    # a table with null ids only: copies go, texts of their own stay
+    nulls = spark.createDataFrame([(None, x), (None, x), (None, y)], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, nulls, "").collect()
+    assert sorted(r.text for r in got) == sorted([x, y])
