@@ -34,9 +34,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_site_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; all rows stay, and
-    ``n_chars`` follows the new text (as it came where the text did not change)."""
-    cut = linededup.drop_boilerplate(docs, counts=True)
+    """Lines on more than a tenth of a source's distinct texts go; all rows stay, and
+    ``n_chars`` follows the new text (as it came where the text did not change).  Copies
+    are one page here: they are left to the next stage."""
+    cut = linededup.drop_boilerplate(docs, counts=True, copies=False)
     if "n_chars" in docs.columns:
         n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, n_chars).otherwise(F.col("n_chars")))

@@ -10,10 +10,17 @@ lines, so they are one array per host; documents are joined to it by a
 broadcast when its measured size allows, else by a shuffle join on the host, and
 their lines are filtered in place: texts are not taken apart and regrouped.
 
+With ``copies`` every document is a page.  Then a text that makes up more than the
+ratio of its host (on ``min_pages`` rows at least) has all its lines above it, and every
+copy becomes empty.  With ``copies=False`` the pages are the host's distinct texts (all
+null texts are one): a copied document is no boilerplate.  Their line digests move once
+more, one array per distinct (host, text).  Copies that differ in any character are
+pages of their own in both.
+
 Defined results: null text stays null; an empty text and blank lines are never
 counted nor dropped; a text whose lines all go becomes empty and its row stays; null
-host is a host of its own; repeated rows are pages of their own.  Lines end at
-``\\n`` only.  Internal columns start with ``__``; other columns may have any name.
+host is a host of its own; repeated rows are pages of their own (but see ``copies``).
+Lines end at ``\\n`` only.  Internal columns start with ``__``; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editrisk.llm.common import broadcast_if_small, store
+from editrisk.llm.common import broadcast_if_small, discard, store
 
 #: Digests of all hosts together that may be broadcast.
 MAX_BROADCAST_LINES = 500_000
@@ -38,22 +45,43 @@ def _blank(line: Column) -> Column:
 def boilerplate_lines(docs: DataFrame, ratio: float, min_pages: int, text_col: str,
                       host_col: str) -> DataFrame:
     """One row per host that has boilerplate: ``__host, __lines`` (digests)."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    seen = F.array_distinct(F.transform(F.filter(lines, lambda x: ~_blank(x)), _digest))
-    pages = (docs.select(F.col(host_col).alias("__host"), F.explode(seen).alias("__line"))
+    seen = _line_digests(F.col(text_col))
+    return _above(docs.select(F.col(host_col).alias("__host"), seen.alias("__seen")), ratio, min_pages)
+
+
+def distinct_pages(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """``__host, __seen`` (line digests) of every distinct text of a host; stored."""
+    pages = docs.select(F.col(host_col).alias("__host"), _digest(F.col(text_col)).alias("__text"),
+                        _line_digests(F.col(text_col)).alias("__seen"))
+    return store(pages.dropDuplicates(["__host", "__text"]).drop("__text"), "pages")
+
+
+def _line_digests(text: Column) -> Column:
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: ~_blank(x)), _digest))
+
+
+def _above(docs: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    pages = (docs.select("__host", F.explode("__seen").alias("__line"))
              .groupBy("__host", "__line").agg(F.count("*").alias("__pages"))
              .where(F.col("__pages") >= min_pages))
-    totals = docs.groupBy(F.col(host_col).alias("__h")).agg(F.count("*").alias("__total"))
+    totals = docs.groupBy(F.col("__host").alias("__h")).agg(F.count("*").alias("__total"))
     bad = (pages.join(totals, F.col("__host").eqNullSafe(F.col("__h")))
            .where(F.col("__pages") > F.lit(float(ratio)) * F.col("__total")))
     return bad.groupBy("__host").agg(F.collect_set("__line").alias("__lines"))
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, text_col: str = "text",
-                     host_col: str = "source", counts: bool = False) -> DataFrame:
+                     host_col: str = "source", counts: bool = False, copies: bool = True) -> DataFrame:
     """``docs`` with the boilerplate lines cut out of the text; with ``counts`` also
-    ``n_lines`` and ``n_dropped`` (both 0 for null text)."""
-    sites = store(boilerplate_lines(docs, ratio, min_pages, text_col, host_col), "boilerplate")
+    ``n_lines`` and ``n_dropped`` (both 0 for null text); without ``copies`` a host's
+    equal texts are one page."""
+    if copies:
+        sites = store(boilerplate_lines(docs, ratio, min_pages, text_col, host_col), "boilerplate")
+    else:
+        pages = distinct_pages(docs, text_col, host_col)
+        sites = store(_above(pages, ratio, min_pages), "boilerplate")
+        discard(pages)
     n = sites.agg(F.coalesce(F.sum(F.size("__lines")), F.lit(0))).first()[0]
     if n <= MAX_BROADCAST_LINES:
         sites = broadcast_if_small(sites, 64)

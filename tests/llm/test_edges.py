@@ -217,3 +217,20 @@ def test_near_duplicate_stage_tells_rows_apart(spark, tmp_path):
     nulls = spark.createDataFrame([(None, x), (None, x), (None, y)], "doc_id long, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, nulls, "").collect()
     assert sorted(r.text for r in got) == sorted([x, y])
+
+
+def test_copied_documents_are_no_boilerplate(spark):
+    copied = "\n".join(f"line {i} of a text that was copied often" for i in range(6))
+    rows = [(i, f"menu of the site\nown words of page {i} and {i * 7} more\nthat say {i * i} things", "a")
+            for i in range(40)]
+    rows += [(i, copied, "a" if i % 2 else None) for i in range(100, 120)]
+    rows += [(i, None, None) for i in range(200, 230)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    cut = corpus_pipeline.drop_site_boilerplate(spark, df, "")
+    got = {r.doc_id: r for r in cut.collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].text == copied and got[i].n_chars == len(copied) for i in range(100, 120))
+    assert got[3].text == "own words of page 3 and 21 more\nthat say 9 things" and got[200].text is None
+    left = corpus_pipeline.drop_near_duplicates(spark, cut, "").collect()
+    assert [(r.doc_id, r.text) for r in left if r.text == copied] == [(100, copied)]
+    assert not [r for r in left if r.text == ""]
