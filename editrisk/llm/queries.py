@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editrisk.llm import (ann, blocknames, bpe, langid, linededup, minhash, mixing, tokencount,
-                          url_trie, warc)
+from editrisk.llm import (ann, blocknames, bpe, langid, linededup, minhash, mixing, periodicity, tokencount,
+                          url_trie, variants, warc, wordbpe)
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BPE_PATTERN = public_tokenizers.PATTERN
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +79,29 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the word vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordbpe.round_trip(docs, WORD_VOCABULARY).drop("text")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their near words' counts, form and root."""
+    runs = variants.word_runs(table(spark, sf_dir, "documents"))
+    return variants.group_variants(variants.count_words(variants.delete_letters(runs, one_in=97)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, of which every tenth is made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodicity.run_report(docs, repeat_one_in=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_minhash_near_dedup, op3_source_mixing, op4_warc_archive, op5_language_id,
-        op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_bpe_codec, op10_nearest_neighbours)}
+        op6_exact_dedup, op7_token_counts, op8_line_dedup, op9_bpe_codec, op10_nearest_neighbours,
+        op11_word_bpe, op12_spelling_variants, op13_periodic_runs)}
 
 WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
@@ -152,4 +172,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
                coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped
         FROM k""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE
+        d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id,
+                     unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+        r AS (SELECT id, run, count(*) AS c FROM d WHERE length(run) >= 5 GROUP BY id, run),
+        b AS (SELECT run, c, encode(id || ':' || run)::BIT AS bits FROM r),
+        h AS (SELECT run, c, xor(4294967295::BIGINT, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(range(bit_length(bits)),
+                  lambda i: get_bit(bits, ((i // 8) * 8 + 7 - i % 8)::INT)::BIGINT)),
+                lambda s, x: xor(s >> 1, 3988292384::BIGINT * (xor(s, x) & 1)))) AS h FROM b),
+        w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                          ELSE run END AS word, c FROM h),
+        v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        o AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        k AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS z FROM o),
+        pairs AS (SELECT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y ON x.a = y.a AND x.z = y.z AND x.i = y.i AND x.word <> y.word
+                  UNION SELECT x.word, y.word, y.n FROM k x JOIN v y ON x.a || x.z = y.word
+                  UNION SELECT y.word, x.word, x.n FROM k x JOIN v y ON x.a || x.z = y.word),
+        best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN
+                     (SELECT min(near) FROM pairs p WHERE p.word = v.word AND p.near_n = top) END AS form,
+                     CASE WHEN top >= 2 * v.n THEN top END AS form_n
+              FROM v LEFT JOIN best ON v.word = best.word),
+        walk AS (SELECT word, word AS at, form AS next FROM f
+                 UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON walk.next = f.word)
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.at AS root FROM f JOIN walk ON f.word = walk.word AND walk.next IS NULL""",
 }
