@@ -89,6 +89,9 @@ def configure(spark: SparkSession) -> SparkSession:
     except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session): keep its settings
         pass
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # rows go to Python workers in small batches, so that wide texts never fill a worker
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(BROADCAST_MAX_BYTES))
