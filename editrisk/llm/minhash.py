@@ -6,12 +6,13 @@ step j lies in [j, j + 1); a place keeps its least rank.  Steps stop as soon as
 places hold ranks below the step, so long documents need one or two.  Bands of the
 signature propose candidates, the full sets confirm them.
 
-Documents with equal sets are one class; only classes are compared.  In each bucket
-the classes are compared with one pivot; confirmed links merge components.  In buckets that
-still hold several components, classes of different components are compared block by
-block, and only pairs that come near the threshold are returned and confirmed, so no
-candidate is dropped and no list of all pairs of a group is made.  With 32 bands of 5
-places a pair at similarity 0.8 is proposed with probability 1 - 3e-6.
+Documents with equal sets are one class; only classes are compared.  Every bucket has a
+pivot.  In a few rounds each class is compared with one pivot, that of most common buckets,
+unless both are in one component by then; confirmed links merge components.  In buckets that
+still hold several components, classes of different components are compared on their full
+sets block by block, and a block returns a spanning forest of its links, so no candidate
+is dropped and no list of all pairs of a group is made.  With 32 bands of 5 places a pair
+at similarity 0.8 is proposed with probability 1 - 3e-6.
 
 Components: union-find within partitions keeps a spanning forest, then least labels
 spread along its links with pointer jumping until nothing changes.  Links, sets and
@@ -39,8 +40,10 @@ from pyspark.sql import types as T
 from editrisk.llm.common import SPACE_BYTES, broadcast_if_small, discard, store
 
 BANDS, ROWS = 32, 5
-#: Classes on either side of a block that compares components within a bucket.
-BLOCK = 512
+#: Rounds of comparisons with pivots.
+ROUNDS = 3
+#: Shingles on either side of a block that compares components within a bucket.
+BLOCK = 1 << 19
 #: Shingles signed together, and bytes of one text tokenised together.
 CHUNK_SHINGLES = 150_000
 CHUNK_BYTES = 4 << 20
@@ -266,51 +269,72 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
     """``key, label`` of the classes that have a link."""
     # a band key holds its band's number, and classes differ, so buckets need only be counted
     buckets = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    shared = store(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1), "shared")
-    members = store(buckets.join(broadcast_if_small(shared, 32), "bucket"), "members")
+    shared = store(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("pivot"))
+                   .where(F.col("size") > 1), "shared")
+    members = store(buckets.join(broadcast_if_small(shared, 64), "bucket"), "members")
     wanted = store(members.select("key").distinct().join(classes.select("key", "id"), "key"), "wanted")
     sets = store(shingle_sets(docs, wanted, words, id_col, text_col), "sets")
 
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("p"))
-    paired = members.join(pivots, "bucket").where(F.col("key") != F.col("p.key"))
-    near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
-    pairs = store(paired.where(near).select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = store(confirm(pairs, sets, percent), "links")
-    labels = components(links)
-
-    # buckets of two are settled by their one pair; of the others those that hold several components are open
-    marked = members.where(F.col("size") > 2).join(labels, "key", "left").select(
-        "bucket", "key", "n", "size", F.coalesce("label", "key").alias("label"))
-    open_ = (marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .where(F.col("x") != F.col("y")).select("bucket"))
-    rest = store(marked.join(open_, "bucket"), "open")
+    near = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    open_ = store(members.where((F.col("key") != F.col("pivot.key")) & near)
+                  .groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
+                  .agg(F.count("*").alias("common")), "proposed")
+    links: DataFrame | None = None
+    for turn in range(ROUNDS):
+        best = store(open_.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best"))
+                     .select(F.col("best.a").alias("a"), "b"), "pairs")
+        found = store(confirm(best, sets, percent), "links")
+        links = found if links is None else store(links.unionByName(found), "links")
+        labels = components(links)
+        narrow = broadcast_if_small(labels, 48)
+        label = lambda c: narrow.select(F.col("key").alias(c), F.col("label").alias(f"of_{c}"))
+        left = (open_.join(best.hint("merge"), ["a", "b"], "left_anti").join(label("a"), "a", "left")
+                .join(label("b"), "b", "left"))
+        left = store(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "common"), "proposed")
+        discard(open_, best)
+        open_ = left
+        if open_.isEmpty():
+            break
+        if turn + 1 < ROUNDS:
+            discard(labels)
+
+    # a bucket of two is settled by its one pair, if that was compared; of the others those that hold
+    # several components are open
+    pair_of_two = members.where((F.col("size") == 2) & (F.col("key") != F.col("pivot.key"))).select(
+        "bucket", F.col("pivot.key").alias("a"), F.col("key").alias("b")).join(open_, ["a", "b"], "left_semi")
+    unsettled = members.where(F.col("size") > 2).unionByName(
+        members.where(F.col("size") == 2).join(pair_of_two.select("bucket"), "bucket", "left_semi"))
+    marked = unsettled.join(broadcast_if_small(labels, 48), "key", "left").select(
+        "bucket", "key", "n", F.coalesce("label", "key").alias("label"))
+    several = store(marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+                    .where(F.col("x") != F.col("y")).select("bucket"), "several")
+    rest = store(marked.join(broadcast_if_small(several, 16), "bucket"), "open")
     if not rest.isEmpty():
-        more = store(across_components(rest, classes, sets, percent), "pairs")
-        good = store(confirm(more, sets, percent), "links")
-        if not good.isEmpty():
+        more = store(across_components(rest, classes, sets, percent), "links")
+        if not more.isEmpty():
             discard(labels)
-            labels = components(links.unionByName(good))
-        discard(more, good)
-    discard(shared, members, wanted, sets, pairs, links, rest)
+            labels = components(links.unionByName(more))
+        discard(more)
+    discard(shared, members, wanted, sets, open_, several, rest)
     return labels.select("key", "label")
 
 
 def across_components(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs ``a, b`` of one open bucket and different components that may be similar
-    enough (their sets' intersection, counted on 32 bits of each shingle, within 4 of the need).
+    """Links ``a, b`` (similar on their full sets) that join all components of one open bucket that
+    similar classes join: a spanning forest of every pair of blocks.
 
     In a bucket, the classes outside its largest component are compared with all others.
-    Both sides are dealt into blocks of about ``BLOCK`` classes; only a block's finds are
-    returned, and a pair is compared in the first of its common buckets only.
+    Both sides are dealt into blocks of about ``BLOCK`` shingles.  A pair is compared in the
+    first of its common buckets only, unless a link of the block has joined it already.
     """
-    per = rest.groupBy("bucket", "label", "size").agg(F.count("*").alias("c"))
-    largest = per.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"))
-    sized = rest.join(largest, "bucket").select(
+    per = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("c", "label", "items")).alias("m"), F.sum("items").alias("items"))
+    largest = store(largest, "largest")
+    sized = rest.join(broadcast_if_small(largest, 96), "bucket").select(
         "bucket", "key", "n", "label", (F.col("label") != F.col("m.label")).alias("minor"),
-        F.ceil((F.col("size") - F.col("m.c")) / BLOCK).alias("of_minor"),
-        F.ceil(F.col("size") / BLOCK).alias("of_all"))
-    about = sets.select("key", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("items"))
-    full = sized.join(about.hint("merge"), "key").join(classes.select("key", "bands").hint("merge"), "key")
+        F.ceil((F.col("items") - F.col("m.items")) / BLOCK).alias("of_minor"),
+        F.ceil(F.col("items") / BLOCK).alias("of_all"))
+    full = sized.join(sets.hint("merge"), "key").join(classes.select("key", "bands").hint("merge"), "key")
     own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "key"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     kept = ["bucket", "key", "n", "label", "bands", "items"]
@@ -322,36 +346,51 @@ def across_components(rest: DataFrame, classes: DataFrame, sets: DataFrame, perc
     def compare(rows: pa.Table) -> pa.Table:
         first = rows.column("first").combine_chunks()
         left, right = rows.filter(first), rows.filter(pa.compute.invert(first))
-        found: list[tuple[bytes, bytes]] = []
-        if left.num_rows and right.num_rows:
-            bucket = rows.column("bucket")[0].as_py()
-            column = lambda t, c: t.column(c).combine_chunks()
-            keys, labels = ([t.column(c).to_pylist() for t in (left, right)] for c in ("key", "label"))
-            names = {x: i for i, x in enumerate({*labels[0], *labels[1]})}
-            order = {x: i for i, x in enumerate(sorted({*keys[0], *keys[1]}))}
-            label = [np.array([names[x] for x in c]) for c in labels]
-            place = [np.array([order[x] for x in c]) for c in keys]
-            outside = np.isin(place[1], place[0])  # a pair of two minor classes is met from both sides
-            n = [column(t, "n").to_numpy() for t in (left, right)]
-            bands = [column(t, "bands").flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right)]
-            items = column(right, "items")
-            flat, ends = items.flatten().to_numpy(), np.diff(items.offsets.to_numpy())
-            row = np.repeat(np.arange(right.num_rows), ends)
-            for a in range(left.num_rows):
-                need = -(-percent * (n[0][a] + n[1]) // (100 + percent))
-                ok = (label[1] != label[0][a]) & (np.minimum(n[1], n[0][a]) >= need)
-                ok &= ~outside | (place[1] > place[0][a])
-                same = bands[1][ok] == bands[0][a]
-                ok[ok] = bands[1][ok][np.arange(same.shape[0]), same.argmax(axis=1)] == bucket
-                if not ok.any():
-                    continue
-                mine = np.sort(left.column("items")[a].values.to_numpy())
-                use = ok[row]
-                at = np.minimum(np.searchsorted(mine, flat[use]), len(mine) - 1)
-                shared = np.bincount(row[use][mine[at] == flat[use]], minlength=len(ok))
-                found += [(keys[0][a], keys[1][b]) for b in np.flatnonzero(ok & (shared >= need - 4))]
+        found = block_links(left, right, percent) if left.num_rows and right.num_rows else []
         return pa.table({"a": pa.array([min(x) for x in found], pa.binary()),
                          "b": pa.array([max(x) for x in found], pa.binary())})
 
     return (minor.unionByName(both).groupBy("bucket", "i", "j")
             .applyInArrow(compare, "a binary, b binary").distinct())
+
+
+def block_links(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[bytes, bytes]]:
+    """The links by which similar classes of ``left`` and ``right`` join their components."""
+    bucket = left.column("bucket")[0].as_py()
+    keys, labels = ([t.column(c).to_pylist() for t in (left, right)] for c in ("key", "label"))
+    names = {x: i for i, x in enumerate({*labels[0], *labels[1]})}
+    label = [np.array([names[x] for x in c]) for c in labels]
+    n = [t.column("n").to_numpy() for t in (left, right)]
+    bands = [t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (left, right)]
+    items = right.column("items").combine_chunks()
+    sizes = np.diff(items.offsets.to_numpy())
+    row = np.repeat(np.arange(right.num_rows), sizes)
+    # of each set in one order: similar sets share one of their first n - need + 1 shingles
+    flat = items.flatten().to_numpy()
+    flat = flat[np.lexsort((flat, row))]
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    head = place <= sizes[row] - (percent * sizes[row] + 99) // 100
+    flat_head, row_head = flat[head], row[head]
+    found = []
+    for a in range(left.num_rows):
+        need = -(-percent * (n[0][a] + n[1]) // (100 + percent))
+        ok = (label[1] != label[0][a]) & (np.minimum(n[1], n[0][a]) >= need)
+        same = bands[1][ok] == bands[0][a]
+        ok[ok] = bands[1][ok][np.arange(same.shape[0]), same.argmax(axis=1)] == bucket
+        if not ok.any():
+            continue
+        mine = np.sort(left.column("items")[a].values.to_numpy())
+        mine_head = mine[:len(mine) - (percent * len(mine) + 99) // 100 + 1]
+        use = ok[row_head]
+        at = np.minimum(np.searchsorted(mine_head, flat_head[use]), len(mine_head) - 1)
+        ok &= np.bincount(row_head[use][mine_head[at] == flat_head[use]], minlength=len(ok)) > 0
+        use = ok[row]
+        at = np.minimum(np.searchsorted(mine, flat[use]), len(mine) - 1)
+        shared = np.bincount(row[use][mine[at] == flat[use]], minlength=len(ok))
+        for b in np.flatnonzero(ok & (shared >= need)).tolist():
+            x, y = label[0][a], label[1][b]
+            if x != y:
+                found.append((keys[0][a], keys[1][b]))
+                for side in label:
+                    side[side == y] = x
+    return found

@@ -66,7 +66,8 @@ def test_components_within_one_bucket(spark, monkeypatch):
         for at in rng.choice(60, rng.integers(1, 6), replace=False):
             words[at] = f"x{rng.integers(0, 40)}"
         texts.append(" ".join(words))
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 900)
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, words=2).collect()}
     sets = [{*zip(t.split(), t.split()[1:])} for t in texts]
@@ -157,3 +158,24 @@ def test_offset_is_fixed_by_seed(spark):
     df = spark.createDataFrame([("a",), (None,)], "__source string")
     u = [r[0] for r in df.select(mixing.random_offset(7)).collect()]
     assert u == [r[0] for r in df.select(mixing.random_offset(7)).collect()] and all(0 <= x < 1 for x in u)
+
+
+def test_block_links_are_a_spanning_forest():
+    """A block returns no more links than components it joins, all on full sets."""
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    base = rng.integers(-1 << 62, 1 << 62, 100)
+    sets = [np.where(rng.random(100) < 0.08, rng.integers(-1 << 62, 1 << 62, 100), base) for _ in range(60)]
+    sets += [rng.integers(-1 << 62, 1 << 62, 100) for _ in range(30)]
+    keys = [b"%03d" % i for i in range(len(sets))]
+    rows = pa.table({"bucket": [5] * 90, "key": pa.array(keys, pa.binary()), "label": pa.array(keys, pa.binary()),
+                     "n": [100] * 90, "bands": [[5]] * 90, "items": pa.array(sets, pa.list_(pa.int64()))})
+    got = minhash.block_links(rows, rows, 80)
+    place = {k: i for i, k in enumerate(keys)}
+    assert all(len({*sets[place[a]]} & {*sets[place[b]]}) >= 89 for a, b in got)
+    up = list(range(90))
+    for a, b in combinations(range(90), 2):
+        both = len({*sets[a]} & {*sets[b]})
+        if 100 * both >= 80 * (200 - both) and up[a] != up[b]:
+            up = [up[a] if u == up[b] else u for u in up]
+    assert len(got) == 90 - len(set(up)) and len(set(up)) < 60
