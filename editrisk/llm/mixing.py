@@ -12,9 +12,9 @@ with a third of all rows lies in many partitions.  Ranks come from windows over
 single partitions plus the partitions' offsets; no window spans a source.
 
 Defined results: null text has size 0; null source is a source of its own, last
-in order; rows equal in id, source and size are one unit of sampling, so each of
-them gets the same copies; an empty table gives an empty mix; a source of size 0
-has target 0.  Reruns with one seed agree.  Internal column names start
+in order; rows equal in id, source, size and text are one unit of sampling, which takes as
+many steps of the sum as it has rows (so null and repeated ids keep a source near its
+target); an empty table gives an empty mix; a source of size 0 has target 0.  Reruns with one seed agree.  Internal column names start
 with ``__``, other columns may have any name.
 """
 
@@ -64,36 +64,51 @@ def random_offset(seed: int) -> Column:
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 7,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Copies to take: ``__id, __source, __size, __n`` (equal rows), ``__source_size,
-    __target, __copies``; one row per distinct (id, source, size)."""
+    """Where the sum stands: ``__id, __source, __size, __text`` (a digest), ``__n`` (equal rows),
+    ``__before`` (steps before them), ``__source_size, __target, __rate, __offset``; one row per
+    distinct (id, source, size, text)."""
     spark = docs.sparkSession
     units = store(
         docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"),
-                    word_count(F.col(text_col)).alias("__size"))
-        .groupBy("__id", "__source", "__size").agg(F.count("*").alias("__n")), "mix-units")
+                    word_count(F.col(text_col)).alias("__size"), F.xxhash64(text_col).alias("__text"))
+        .groupBy("__id", "__source", "__size", "__text").agg(F.count("*").alias("__n")), "mix-units")
     targets = store(source_targets(units, weights, cap), "mix-targets")
     ranged = store(
-        units.repartitionByRange(shuffle_width(spark), "__source", "__size", "__id")
+        units.repartitionByRange(shuffle_width(spark), "__source", "__size", "__id", "__text")
         .withColumn("__part", F.spark_partition_id()), "mix-order")
     discard(units)
 
-    here = Window.partitionBy("__part", "__source").orderBy("__size", "__id")
-    counts = ranged.groupBy("__part", "__source").agg(F.count("*").alias("__rows"))
-    earlier = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("__part").alias("__p"), F.col("__source").alias("__s"),
-        F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-    ranked = ranged.withColumn("__local", F.row_number().over(here))
-    ranked = ranked.join(offsets, (F.col("__part") == F.col("__p"))
-                         & F.col("__source").eqNullSafe(F.col("__s"))).drop("__p", "__s")
+    ranked = running_total(ranged, "__part", ["__source"], ["__size", "__id", "__text"], F.col("__n")).withColumn(
+        "__before", F.col("__total") - F.col("__n")).drop("__total")
     t = broadcast_if_small(targets.withColumnRenamed("__source", "__s"), 256)
     ranked = ranked.join(t, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
 
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    rank = F.col("__before") + F.col("__local")
-    edge = lambda r: F.floor(r * rate + random_offset(seed))
-    return ranked.select("__id", "__source", "__size", "__n", "__source_size", "__target",
-                         (edge(rank) - edge(rank - 1)).alias("__copies"))
+    return ranked.select("__id", "__source", "__size", "__text", "__n", "__before", "__source_size", "__target",
+                         rate.alias("__rate"), random_offset(seed).alias("__offset"))
+
+
+def running_total(table: DataFrame, part: str, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """``table`` with ``__total``: the sum of ``value`` along parts, then ``order``, for equal ``keys``.
+
+    Windows run inside a part, plus the sums of the parts before it."""
+    here = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    names = [f"__key{i}" for i in range(len(keys))]
+    sums = table.groupBy(F.col(part).alias("__p"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+        F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__p", *names, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__earlier"))
+    same = F.col(part) == F.col("__p")
+    for k, n in zip(keys, names):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    out = table.withColumn("__total", F.sum(value).over(here)).join(offsets, same).drop("__p", *names)
+    return out.withColumn("__total", F.col("__total") + F.col("__earlier")).drop("__earlier")
+
+
+def copies(step: Column) -> Column:
+    """How often the row that takes the ``step``-th step of its source's sum is taken."""
+    edge = lambda r: F.floor(r * F.col("__rate") + F.col("__offset"))
+    return edge(step) - edge(step - 1)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -102,16 +117,32 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     p = p.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"))
     return p.select(F.col("__id").alias(options.get("id_col", "doc_id")), F.col("__size").alias("size"),
                     F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-                    (F.col("__copies") * F.col("__size")).alias("taken"))
+                    (copies(F.col("__before") + F.col("__i")) * F.col("__size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         **options) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as the plan takes it."""
-    p = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    p = p.where(F.col("__copies") > 0).select("__id", "__source", "__size", "__copies")
-    sized = docs.withColumn("__n_words", word_count(F.col(text_col)))
-    joined = sized.join(p, sized[id_col].eqNullSafe(p["__id"]) & sized[source_col].eqNullSafe(p["__source"])
-                        & (sized["__n_words"] == p["__size"]))
-    return (joined.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-            .select(*[sized[c] for c in docs.columns]))
+    p = store(mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options), "mix-plan")
+    rows = docs.withColumns({"__words": word_count(F.col(text_col)), "__digest": F.xxhash64(text_col)})
+
+    def planned(units: DataFrame) -> DataFrame:
+        return rows.join(units, rows[id_col].eqNullSafe(units["__id"]) & rows[source_col].eqNullSafe(units["__source"])
+                         & (rows["__words"] == units["__size"]) & (rows["__digest"] == units["__text"]))
+
+    def taken(steps: DataFrame, step: Column) -> DataFrame:
+        steps = steps.withColumn("__copies", copies(step)).where(F.col("__copies") > 0)
+        return steps.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(
+            *[F.col(f"`{c}`") for c in docs.columns])
+
+    # of units of one row only those that are taken are looked up
+    alone = p.where((F.col("__n") == 1) & (copies(F.col("__before") + 1) > 0))
+    out = taken(planned(alone), F.col("__before") + 1)
+    repeated = p.where(F.col("__n") > 1)
+    if repeated.isEmpty():
+        return out
+    # equal rows are numbered by their place in a stored table, each of its parts by itself
+    placed = store(planned(repeated).withColumn("__row", F.monotonically_increasing_id())
+                   .withColumn("__part", F.shiftright("__row", 33)), "mix-repeated")
+    numbered = running_total(placed, "__part", ["__id", "__source", "__size", "__text"], ["__row"], F.lit(1))
+    return out.unionByName(taken(numbered, F.col("__before") + F.col("__total")))

@@ -234,3 +234,25 @@ def test_copied_documents_are_no_boilerplate(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, cut, "").collect()
     assert [(r.doc_id, r.text) for r in left if r.text == copied] == [(100, copied)]
     assert not [r for r in left if r.text == ""]
+
+
+def test_null_and_repeated_ids_come_near_their_target(spark):
+    """Equal rows take their steps of the sum one by one, in the report and in the mix."""
+    words = lambda n, x: " ".join([x] * n)
+    rows = [(None if i % 3 == 0 else i % 50, words(1 + i % 11, f"w{i % 4}"), "abc"[i % 2], i) for i in range(600)]
+    rows += [(None, "same text", "c", 1)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(5)
+    size = {s: sum(len(t.split()) for _, t, x, _ in rows if x == s) for s in "abc"}
+    report = mixing.mix_report(df).collect()
+    assert len(report) == len(rows)
+    target = {r.source_size: r.target for r in report}
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    got = [tuple(r) for r in mixed.collect()]
+    for s in "abc":
+        taken = sum(len(t.split()) for _, t, x, _ in got if x == s)
+        assert abs(taken - target[size[s]]) <= 11
+        assert taken == sum(r.taken for r in report if r.source_size == size[s])
+    from collections import Counter
+    have, out = Counter(rows), Counter(got)
+    assert set(out) <= set(have) and all(n <= 3 * have[r] for r, n in out.items())
