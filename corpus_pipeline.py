@@ -10,12 +10,15 @@ empty tables and extra columns, as its operator's docstring says.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editrisk.llm import bpe, langid, linededup, minhash, mixing
 from editrisk.llm.common import store
 from editrisk.llm.queries import BPE_PATTERN, BPE_RANKS
+from editrisk.session import configure
 
 #: A document is rejected without a letter, or when no language reaches this probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -76,13 +79,22 @@ def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return bpe.round_trip(docs.select("doc_id", "text"), BPE_RANKS, BPE_PATTERN, keep_ids=True).drop("text")
 
 
-STAGES = [
+def _configured(stage):
+    """The stage under the library's session settings (small Arrow batches)."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _configured(stage)) for name, stage in (
     ("language ID", identify_language),
     ("line dedup", drop_site_boilerplate),
     ("MinHash near-dedup", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("byte-level BPE encoding and decoding", encode_documents),
-]
+)]
 
 #: The language model cannot be expressed in SQL.
 ORACLE_SQL = None

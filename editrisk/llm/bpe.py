@@ -29,11 +29,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from editrisk.llm.common import tidy
+
 #: Distinct pieces remembered by a worker, and pieces of a long text taken together.
-CACHE_PIECES = 300_000
-STEP_PIECES = 500_000
-#: Characters of texts whose pieces are replayed together.
-CHUNK_CHARS = 10_000_000
+CACHE_PIECES = 150_000
+STEP_PIECES = 200_000
+#: Characters of texts whose pieces are replayed together, and rows returned together.
+CHUNK_CHARS = 6_000_000
+OUT_ROWS = 256
 
 
 class MergeReplay:
@@ -207,10 +210,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     coder = _coder(docs, ranks_path, pattern)
 
     @F.pandas_udf("binary")
+    @tidy
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = coder()
-        for batch in texts:
-            yield pd.Series(list(codec.encode(batch)), dtype=object)
+        coded = codec.encode(t for batch in texts for t in batch)
+        while rows := list(islice(coded, OUT_ROWS)):
+            yield pd.Series(rows, dtype=object)
         codec.forget()
 
     return docs.withColumn(out, ids(F.col(text_col)))
@@ -237,11 +242,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    @tidy
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = coder()
-        for batch in texts:
-            rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(),
-                     hashlib.sha256(codec.decode(x)).hexdigest(), *[x] * keep_ids) for x in codec.encode(batch)]
+        coded = codec.encode(t for batch in texts for t in batch)  # chunks span batches, rows leave in few
+        while rows := [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(codec.decode(x)).hexdigest(),
+                        *[x] * keep_ids) for x in islice(coded, OUT_ROWS)]:
             yield pd.DataFrame(rows, columns=names)
         codec.forget()
 

@@ -8,8 +8,12 @@ when no longer needed (``discard``) or when the application ends.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +71,18 @@ def broadcast_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Words of the text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run``, a task over batches, whose worker gives its free memory back at the end.
+
+    Workers live on for other tasks and stages, and would keep the largest one's memory."""
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+    return tidied

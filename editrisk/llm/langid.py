@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from editrisk.llm.common import tidy
+
 UNDETERMINED = "und"
 
 
@@ -181,6 +183,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     if not labels:
         return Model([], np.zeros(dim), np.zeros((dim, 0)), np.zeros(0), dim=dim)
 
+    @tidy
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(dim, np.int64), 0
         for batch in batches:
@@ -215,6 +218,7 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     mine = labelled.join(F.broadcast(chosen), labelled[id_col].eqNullSafe(chosen["id"])
                          & (labelled[label_col] == chosen["label"]))
 
+    @tidy
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(features(t, dim), lab, c, k) for t, lab, c, k in zip(
@@ -242,6 +246,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = handle.value.predict
         for batch in texts:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from editrisk.llm.common import SPACE_BYTES, broadcast_if_small, discard, store
+from editrisk.llm.common import SPACE_BYTES, broadcast_if_small, discard, store, tidy
 
 BANDS, ROWS = 32, 5
 #: Rounds of comparisons with pivots.
@@ -132,6 +132,7 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_c
         T.StructField("id", narrow.schema["id"].dataType), T.StructField("n", T.LongType()),
         T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
@@ -165,6 +166,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, te
     row_bytes = 128 if isinstance(narrow.schema["doc"].dataType, T.StructType) else 64
     mine = narrow.join(broadcast_if_small(wanted, row_bytes), narrow["doc"].eqNullSafe(wanted["id"])).select("key", "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sets, size = [], [], 0
@@ -200,6 +202,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def spanning_forest(links: DataFrame) -> DataFrame:
     """Union-find within each partition: every node linked to its root."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[bytes, bytes] = {}
 
