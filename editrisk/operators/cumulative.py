@@ -24,7 +24,7 @@ gives ``'NA'``.
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +40,22 @@ DEFAULT_CHUNK_WIDTH = 1 << 20
 _KINDS = ("count", "sum", "min", "max", "last_before")
 
 
+@dataclass(frozen=True)
+class Scan:
+    """A running function given by the user, as column expressions over any state.
+
+    ``add`` aggregates values to a state (an aggregate function, usable over a window),
+    ``merge`` aggregates states of consecutive stretches, ``combine`` joins the state before a
+    stretch with the state inside it, and ``finish`` turns a state into the result.  States
+    may be numbers, structs or sketches; null means that no value has been seen.
+    """
+
+    add: Callable[[Column], Column]
+    merge: Callable[[Column], Column]
+    combine: Callable[[Column, Column], Column]
+    finish: Callable[[Column], Column] = lambda state: state
+
+
 def _any_null(keys: Sequence[str]) -> Column:
     cond = F.lit(False)
     for k in keys:
@@ -58,6 +74,7 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str
     * ``sum``         - sum of the values so far, missing values add 0
     * ``min``/``max`` - running min / max of the non-missing values
     * ``last_before`` - last non-missing value strictly before this row
+    * a ``Scan``      - the user's running function of the value column
 
     Rows with a missing key get NULL; callers apply the operator's rule.
     ``chunk_col`` replaces the id-range chunks by any expression that does
@@ -75,13 +92,17 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str
     local_cols, total_aggs, offset_cols = [], [], []
     w_tot = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     for out, (kind, value) in specs.items():
-        if kind not in _KINDS:
+        if kind not in _KINDS and not isinstance(kind, Scan):
             raise ValueError(f"unknown running kind {kind}")
         loc, tot, off = f"__{out}_loc", f"__{out}_tot", f"__{out}_off"
         v = F.col(value) if value else None
         lc = F.col(loc)
         # chunk totals are read off the local scan (its last row per chunk)
-        if kind == "count":
+        if isinstance(kind, Scan):
+            local_cols.append(kind.add(v).over(w_loc).alias(loc))
+            total_aggs.append(F.max_by(lc, F.col(order)).alias(tot))
+            offset_cols.append(kind.merge(F.col(tot)).over(w_tot).alias(off))
+        elif kind == "count":
             local_cols.append(F.count(F.lit(1)).over(w_loc).alias(loc))
             total_aggs.append(F.max(lc).alias(tot))
             offset_cols.append(F.coalesce(F.sum(tot).over(w_tot), F.lit(0)).alias(off))
@@ -118,7 +139,9 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, str
     outs = []
     for out, (kind, _value) in specs.items():
         loc, off = F.col(f"__{out}_loc"), F.col(f"__{out}_off")
-        if kind == "count":
+        if isinstance(kind, Scan):
+            val = kind.finish(F.when(off.isNull(), loc).when(loc.isNull(), off).otherwise(kind.combine(off, loc)))
+        elif kind == "count":
             val = loc + F.coalesce(off, F.lit(0))
         elif kind == "sum":
             val = F.when(off.isNull(), loc).otherwise(loc + off)
@@ -213,6 +236,13 @@ def op_cum_mean(keys, value, out, df=None) -> RunningOp:
                      F.coalesce(mean, F.lit(0.0)), helpers=[s_, n_])
 
 
+def op_cum_agg(keys, value, out, scan: Scan, default=0.0) -> RunningOp:
+    """The user's running function; missing (and missing keys) -> ``default`` (None: kept)."""
+    c = f"__{out}_a"
+    post = F.col(c) if default is None else F.coalesce(F.col(c), F.lit(default))
+    return RunningOp(list(keys), out, {c: (scan, value)}, post, helpers=[c])
+
+
 def op_cum_unique(keys, value, out, df=None) -> RunningOp:
     """Running number of distinct ``value`` per key, inclusive; missing key -> missing."""
     flag, c = f"__{out}_first", f"__{out}_u"
@@ -287,6 +317,10 @@ def cum_mean(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) ->
     return _one(df, op_cum_mean(keys, value, out), **kw)
 
 
+def cum_agg(df: DataFrame, keys: Sequence[str], value: str, out: str, scan: Scan, default=0.0, **kw) -> DataFrame:
+    return _one(df, op_cum_agg(keys, value, out, scan, default), **kw)
+
+
 def cum_unique(df: DataFrame, keys: Sequence[str], value: str, out: str, **kw) -> DataFrame:
     return _one(df, op_cum_unique(keys, value, out), **kw)
 

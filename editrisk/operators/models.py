@@ -13,6 +13,7 @@ become 30; grid points that coincide after capping are evaluated once.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from ..session import persist
 from . import curves as CV
+from .splits import hash_share
 
 MAX_DEPTH = 30
 MAX_BINS = 256
-PARALLEL_FITS = 4  # concurrent model fits (driver threads; Spark runs the jobs)
+PARALLEL_FITS = 8
 
 
 @dataclass(frozen=True)
@@ -91,12 +93,18 @@ class FittedForest:
         self.features_col = features_col
 
     def score(self, df: DataFrame, out: str = "prob") -> DataFrame:
-        """Mean positive-class probability over the member forests."""
+        """Mean positive-class probability over the member forests.
+
+        A forest that has seen regular rows only knows one class and gives 0; without any
+        member (an empty sample) every row gets 0."""
         cols = df.columns
+        if not self.models:
+            return df.withColumn(out, F.lit(0.0))
         probs = []
         cur = df
         for i, m in enumerate(self.models):
-            cur = m.transform(cur).withColumn(f"__p{i}", vector_to_array(F.col("probability"))[1]) \
+            cur = m.transform(cur).withColumn(f"__p{i}", F.coalesce(
+                F.get(vector_to_array(F.col("probability")), F.lit(1)), F.lit(0.0))) \
                    .drop("probability", "rawPrediction", "prediction")
             probs.append(F.col(f"__p{i}"))
         total = probs[0]
@@ -109,13 +117,16 @@ class FittedForest:
         for m in self.models:
             v = m.featureImportances.toArray()
             imp = v if imp is None else imp + v
-        return list(imp / len(self.models))
+        return [] if imp is None else list(imp / len(self.models))
 
 
 def fit_forest(train: DataFrame, spec: ForestSpec, features_col: str = "features",
-               n_features: int | None = None) -> FittedForest:
+               n_features: int | None = None, key: str = "revisionId") -> FittedForest:
     """Fit a forest or a bagging ensemble.
 
+    A single forest with ``sample`` < 1 sees that share of the rows by the hash of ``key``
+    (nested samples of one seed); a sample may hold one class or no row.
+
     Bagging (``bags`` > 1) is by default ONE forest of ``bags * trees`` trees with
     ``subsamplingRate = sample``: every tree draws its own sample, and all trees grow in
     the same distributed passes.  ``nested=True`` fits the member forests separately, each
@@ -124,7 +135,12 @@ def fit_forest(train: DataFrame, spec: ForestSpec, features_col: str = "features
     if n_features is None:
         n_features = train.select(F.size(vector_to_array(F.col(features_col)))).first()[0]
     if spec.bags <= 1:
-        rows = train if spec.sample >= 1.0 else train.sample(True, spec.sample, spec.seed)
+        rows = hash_share(train, spec.sample, key, spec.seed)
+        if spec.sample < 1.0:
+            # a share of the rows in the same share of the partitions: levels of small trees are short jobs
+            rows = rows.coalesce(max(1, math.ceil(train.rdd.getNumPartitions() * spec.sample)))
+            if rows.isEmpty():
+                return FittedForest([], features_col)
         return FittedForest([_forest(spec, n_features, features_col, spec.seed, spec.trees, 1.0).fit(rows)],
                             features_col)
     if not spec.nested:
@@ -133,9 +149,11 @@ def fit_forest(train: DataFrame, spec: ForestSpec, features_col: str = "features
 
     def one(i):
         part = train.sample(withReplacement=True, fraction=spec.sample, seed=spec.seed + i)
+        if part.isEmpty():
+            return None
         return _forest(spec, n_features, features_col, spec.seed + 1000 + i, spec.trees, 1.0).fit(part)
     with ThreadPoolExecutor(PARALLEL_FITS) as ex:
-        models = list(ex.map(one, range(spec.bags)))
+        models = [m for m in ex.map(one, range(spec.bags)) if m is not None]
     return FittedForest(models, features_col)
 
 

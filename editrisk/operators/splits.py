@@ -174,6 +174,22 @@ def _below(cut, key: str, seed: int) -> Column:
     return (h < F.lit(hv)) | ((h == F.lit(hv)) & (F.col(key) <= F.lit(kv)))
 
 
+def hash_share(df: DataFrame, fraction: float, key: str = ORDER, seed: int = 1) -> DataFrame:
+    """The rows whose seeded 32-bit hash lies below ``fraction`` of its range.
+
+    Samples of one seed are nested (a smaller fraction takes a prefix of the hash order),
+    need no count and no shuffle, and are the same on every run and in SQL (md5)."""
+    return df if fraction >= 1.0 else df.where(in_share(fraction, key, seed))
+
+
+def in_share(fraction: float, key: str = ORDER, seed: int = 1) -> Column:
+    """Whether a row is in its seed's sample of this share."""
+    if fraction >= 1.0:
+        return F.lit(True)
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10)
+    return h.cast("long") < F.lit(int(fraction * 2 ** 32))
+
+
 def sample_n(df: DataFrame, fraction: float, key: str = ORDER, seed: int = 1) -> DataFrame:
     """Exactly floor(fraction * n) rows, without replacement, seeded."""
     n = df.count()

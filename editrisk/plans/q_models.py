@@ -312,14 +312,35 @@ grid AS (SELECT CAST(f.i * 8 + d.i AS INTEGER) AS point, f.x AS features, d.x AS
   CROSS JOIN (VALUES (0, 1), (1, 2), (2, 4), (3, 8), (4, 16), (5, 32), (6, 64), (7, NULL)) d(i, x))"""
 
 
+# All 174 points; a single forest's sample is a prefix of the md5 order of its seed.
+_POINTS_SQL = f"""{_GRID_SQL},
+train AS (SELECT * FROM revlog WHERE "timestamp" >= TIMESTAMP '{TRAIN_START}' AND "timestamp" < TIMESTAMP '{VALIDATION_START}'),
+points AS (
+  SELECT 'FOREST' AS grid, point, 10 AS trees, depth, features, 1 AS bags, 1.0::DOUBLE AS sample, 1 AS seed FROM grid
+  UNION ALL SELECT 'BAGGING', point, 8, depth, features, 16, 0.0625::DOUBLE, 1 FROM grid
+  UNION ALL SELECT 'SAMPLING', CAST(i * 10 + k AS INTEGER), 10, NULL, 'sqrt', 1, pow(0.5::DOUBLE, i), CAST(1000 + k AS INTEGER)
+    FROM range(11) x(i) CROSS JOIN range(10) y(k)),
+drawn AS (SELECT s.seed, s.sample, count(*) AS n, count(*) FILTER (WHERE label) AS p
+  FROM train JOIN (SELECT DISTINCT seed, sample FROM points WHERE grid = 'SAMPLING' AND sample < 1) s
+    ON CAST('0x' || substr(md5(s.seed || '|' || revisionId), 1, 8) AS BIGINT) < s.sample * 4294967296
+  GROUP BY ALL),
+whole AS (SELECT count(*) AS n, count(*) FILTER (WHERE label) AS p FROM train),
+seen AS (SELECT points.*,
+    CASE WHEN bags > 1 OR points.sample = 1 THEN whole.n ELSE coalesce(drawn.n, 0) END AS train_rows,
+    CASE WHEN bags > 1 OR points.sample = 1 THEN whole.p ELSE coalesce(drawn.p, 0) END AS train_positives
+  FROM points CROSS JOIN whole LEFT JOIN drawn ON points.seed = drawn.seed AND points.sample = drawn.sample)"""
+
+
 @query("grid_search", with_revlog(f"""
-WITH {_validation_sql()}, {_slices_sql()}, {_GRID_SQL}
-SELECT CAST(point AS VARCHAR) AS model, 10 AS trees, depth, features, cnt.*, TRUE AS in_range
-FROM grid JOIN cnt ON slice = 'ALL'"""))
+WITH {_validation_sql()}, {_slices_sql()}, {_POINTS_SQL}
+SELECT grid, CAST(point AS VARCHAR) AS model, trees, depth, features, bags, sample, seed, train_rows, train_positives,
+       cnt.*, TRUE AS in_range
+FROM seen JOIN cnt ON slice = 'ALL'"""))
 def q_grid_search(spark, sf):
     features, train, valid = _main_split(spark, sf)
-    grid = RU.grid_search(train, valid, RU.forest_grid(), len(features))
-    return _counted(grid, "model", "trees", "depth", "features")
+    table, _ = RU.optimize(train, valid, len(features))
+    return _counted(table, "grid", "model", "trees", "depth", "features", "bags", "sample", "seed",
+                    "train_rows", "train_positives")
 
 
 @query("best_params", with_revlog(f"""

@@ -47,15 +47,36 @@ def q_cum_sum(spark, sf):
     return d.select("revisionId", r6(F.col("cumUserSum")).alias("cumUserSum"))
 
 
-@query("cum_agg", with_revlog("""
-SELECT revisionId, round(CASE WHEN userName IS NULL OR contentType IS NULL THEN 0
-   ELSE sum(coalesce(value, 0)) OVER (PARTITION BY userName, contentType ORDER BY revisionId
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, 6) AS cumUserSliceSum FROM revlog"""))
+_W_USER_SLICE = "(PARTITION BY userName, contentType ORDER BY revisionId ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query("cum_agg", with_revlog(f"""
+SELECT revisionId,
+  round(CASE WHEN userName IS NULL OR contentType IS NULL THEN 0 ELSE coalesce(sum(value) OVER {_W_USER_SLICE}, 0) END, 6)
+    AS cumUserSliceSum,
+  CASE WHEN userName IS NULL OR contentType IS NULL THEN -1
+    ELSE coalesce(arg_max(revisionId, struct_pack(v := value, r := -revisionId)) FILTER (WHERE value IS NOT NULL)
+                  OVER {_W_USER_SLICE}, -1) END AS topRevision,
+  CASE WHEN userName IS NULL OR contentType IS NULL THEN 0
+    ELSE coalesce(bit_count(bit_or(1::BIGINT << (itemId % 61)::INT) OVER {_W_USER_SLICE}), 0) END AS itemBits
+FROM revlog"""))
 def q_cum_agg(spark, sf):
-    # the generic running aggregate over a two-column key
-    d = C.cum_sum(_log(spark, sf), ["userName", "contentType"], "value", "cumUserSliceSum",
-                  chunk_width=CHUNK)
-    return d.select("revisionId", r6(F.col("cumUserSliceSum")).alias("cumUserSliceSum"))
+    # running functions given as expressions, over a two-column key: a sum, the revision of the
+    # largest value so far (the first of several), and a bitmap sketch of the items
+    keys = ["userName", "contentType"]
+    total = C.Scan(F.sum, F.sum, lambda a, b: a + b)
+    top = C.Scan(F.max, F.max, F.greatest, lambda s: -s["r"])
+    bits = C.Scan(lambda v: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), v)), F.bit_or,
+                  lambda a, b: a.bitwiseOR(b), F.bit_count)
+    d = _log(spark, sf).withColumns({
+        "__top": F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("v"), (-F.col("revisionId")).alias("r"))),
+        "__bit": (F.col("itemId") % 61).cast("int")})
+    d = C.run_batch(d, [C.op_cum_agg(keys, "value", "cumUserSliceSum", total),
+                        C.op_cum_agg(keys, "__top", "topRevision", top, default=-1),
+                        C.op_cum_agg(keys, "__bit", "itemBits", bits, default=0)], chunk_width=CHUNK)
+    return d.select("revisionId", r6(F.col("cumUserSliceSum")).alias("cumUserSliceSum"),
+                    F.col("topRevision").cast("long").alias("topRevision"),
+                    F.col("itemBits").cast("int").alias("itemBits"))
 
 
 def _minmax_sql(fn, name):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import cumulative as C
 from ..operators import models as M
 from ..operators import sessions as SE
+from ..operators.splits import in_share
 from ..operators.stats import corpus_statistics
 from ..session import cut_lineage, persist, releasing
 from ..sources import constants as K
@@ -296,39 +297,58 @@ def grid_search(train: DataFrame, valid: DataFrame, specs: Sequence[M.ForestSpec
                 n_features: int) -> DataFrame:
     """Every grid point ('2' features dropped when there is one feature): validation metrics
     on all rows.  Points that coincide under MLlib's depth limit are fitted once and
-    keep a row each; ``model`` is the point's number, ``depth`` null where unlimited."""
+    keep a row each; ``model`` is the point's number, ``depth`` null where unlimited.
+    ``train_rows`` and ``train_positives`` are the rows the point draws from: its own sample for a
+    single forest, all of ``train`` for bagging (whose members draw theirs)."""
     points = [s for s in specs if not (n_features < 2 and s.features == "2")]
     fits = M.capped(points)
     fit_of = {s.key(): i for i, s in enumerate(fits)}
 
     def one(i_spec):
         i, spec = i_spec
-        scored, _, _, _ = M.fit_predict(train, valid, spec, n_features=n_features)
-        return _scored(scored, str(i))
+        return _scored(M.fit_forest(train, spec, n_features=n_features).score(valid), str(i))
     with ThreadPoolExecutor(M.PARALLEL_FITS) as ex:
         frames = list(ex.map(one, enumerate(fits)))
-    m = (M.evaluate(_union(frames), ["model"], curves=False).where(F.col("slice") == "ALL")
+    # all points are scored in one pass, of which only the narrow scores are kept
+    m = (M.evaluate(persist(_union(frames)), ["model"], curves=False).where(F.col("slice") == "ALL")
          .withColumnRenamed("model", "__fit"))
+    seen = sample_sizes(train, points)
     params = train.sparkSession.createDataFrame(
-        [(str(fit_of[s.key()]), str(i), s.trees, s.depth, s.features, s.bags, float(s.sample), s.seed)
+        [(str(fit_of[s.key()]), str(i), s.trees, s.depth, s.features, s.bags, float(s.sample), s.seed, *seen[s.key()])
          for i, s in enumerate(points)],
-        "__fit string, model string, trees int, depth int, features string, bags int, sample double, seed int")
+        "__fit string, model string, trees int, depth int, features string, bags int, sample double, seed int, "
+        "train_rows long, train_positives long")
     # one row per grid point
     return m.join(F.broadcast(params), "__fit").drop("__fit")
 
 
+def sample_sizes(train: DataFrame, points: Sequence[M.ForestSpec]) -> dict[tuple, tuple[int, int]]:
+    """Rows and positives that each point draws from, all counted in one pass."""
+    draws = {s.key(): (s.sample if s.bags <= 1 else 1.0, s.seed if s.bags <= 1 and s.sample < 1.0 else 0) for s in points}
+    each = sorted(set(draws.values()))
+    counted = [F.struct(F.count_if(c).alias("n"), F.count_if(c & (F.col("label") > 0)).alias("p")).alias(f"s{i}")
+               for i, c in enumerate(in_share(share, seed=seed) for share, seed in each)]
+    row = train.agg(*counted).first()
+    return {k: tuple(row[f"s{each.index(d)}"]) for k, d in draws.items()}
+
+
 def best_params(grid: DataFrame, pr: str = "PR") -> DataFrame:
     """The grid point with the largest PR area (ties: first point)."""
     return grid.agg(F.max_by(F.struct("trees", "depth", "features", "bags", "sample", "seed", pr),
                              F.struct(F.col(pr), -F.col("model").cast("int"))).alias("best")).select("best.*")
 
 
+def grids() -> dict[str, list[M.ForestSpec]]:
+    """The 174 points of the three grids, in order."""
+    return {"FOREST": forest_grid(), "BAGGING": bagging_grid(), "SAMPLING": sampling_grid()}
+
+
 def optimize(train: DataFrame, valid: DataFrame, n_features: int):
     """All three grids of one system (forest, bagging, sampling): the metric
     table of every grid point (column ``grid``) and the best point per grid
     as ``ForestSpec`` values, ready for the tuned runs."""
     tables, best = [], {}
-    for name, specs in (("FOREST", forest_grid()), ("BAGGING", bagging_grid()), ("SAMPLING", sampling_grid())):
+    for name, specs in grids().items():
         g = persist(grid_search(train, valid, specs, n_features).withColumn("grid", F.lit(name)))
         b = best_params(g).first()
         best[name] = M.ForestSpec(b["trees"], b["depth"], b["features"], b["bags"], b["sample"], b["seed"])
