@@ -43,6 +43,7 @@ from . import cumulative as C
 SLICES = [("ALL", None), ("ITEM_HEAD", ["TEXT"]), ("ITEM_BODY", ["STATEMENT", "SITELINK"])]
 GRID = [float(x) for x in np.arange(0.01, 1.005, 0.01)]  # FPR grid of the ROC curve
 MAX_CURVE_POINTS = 10000  # thin_curve bound
+CURVES = ["fprValues", "tprValues", "rocThresholds", "recallValues", "precisionValues"]
 T_CHUNK = 4096  # interpolation steps per task row
 SCORE_BUCKETS = 1000  # at least so many score buckets, and one per BUCKET_POINTS points
 BUCKET_POINTS = 1 << 20
@@ -223,10 +224,27 @@ def pr_curve(points: DataFrame, max_points: int = MAX_CURVE_POINTS) -> DataFrame
                     _prec(F.col("TP"), F.col("FP")).alias("precision"))
 
 
+def pr_strings(points: DataFrame, group_cols: Sequence[str] = (),
+               max_points: int = MAX_CURVE_POINTS) -> DataFrame:
+    """The PR curve as text columns (six places, comma-joined, by falling score).  The places come
+    from whole numbers, so that every engine rounds alike.
+
+    Every ``ceil(npoints / max_points)``-th point and the last one, so ``collect_list`` gathers
+    at most ``max_points`` and one per group and slice."""
+    keys = list(group_cols) + ["slice"]
+    micro = lambda part, whole: F.expr(f"(2000000 * {part} + {whole}) div (2 * {whole})")
+    curve = thin_curve(points.where(F.col("P") > 0), max_points)
+    g = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "idx", micro("TP", "(TP + FP)").alias("precision"), micro("TP", "P").alias("recall")))).alias("c"))
+    text = lambda name: F.array_join(F.transform("c", lambda s: F.format_string(
+        "%d.%06d", F.floor(s[name] / 1000000), s[name] % 1000000)), ",")
+    return g.select(*keys, text("precision").alias("precisionValues"), text("recall").alias("recallValues"))
+
+
 def metrics_by_slice(df: DataFrame, score: str = "prob", label: str = "label",
                      slice_col: str | None = "contentType", group_cols: Sequence[str] = (),
                      curves: bool = True) -> DataFrame:
-    """ROC, PR and the ROC curve text per group and slice (ALL, HEAD, BODY).
+    """ROC, PR and both curves as text per group and slice (ALL, HEAD, BODY).
 
     Slices with no row at all still appear, with zero areas.
     """
@@ -235,6 +253,7 @@ def metrics_by_slice(df: DataFrame, score: str = "prob", label: str = "label",
     a = areas(pts, group_cols)
     if curves:
         a = a.join(curve_strings(roc_curve_100(pts, group_cols), group_cols), keys, "left")
+        a = a.join(pr_strings(pts, group_cols), keys, "left")
     # every group gets all slices (one generated row per slice, no join)
     slice_names = F.explode(F.array(*[F.lit(n) for n, _ in SLICES])).alias("slice")
     if group_cols:
@@ -248,10 +267,10 @@ def metrics_by_slice(df: DataFrame, score: str = "prob", label: str = "label",
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("bigint"))
     if curves:
         zeros = F.lit("0.0,0.0")  # two zero points, as the reference stores for empty slices
-        for c in ("fprValues", "tprValues", "rocThresholds"):
+        for c in CURVES:
             out = out.withColumn(c, F.coalesce(F.col(c), zeros))
     return out
 
 
 def drop_curves(metrics: DataFrame) -> DataFrame:
-    return metrics.drop("fprValues", "tprValues", "rocThresholds", "recallValues", "precisionValues")
+    return metrics.drop(*CURVES)

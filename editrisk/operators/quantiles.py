@@ -1,117 +1,143 @@
-"""Exact quantiles without gathering a column into one task.
+"""Exact order statistics without gathering a column, or a group, into one task.
 
-Spark's exact ``percentile``/``median`` merge one value->count map per
-group in a single task; over a whole float column of a large log that map
-is unbounded.  Here the k-th smallest value is found by refinement:
+Whole columns: doubles are mapped to 64-bit integers in the same order (``ordered_bits``),
+and the k-th smallest is found by radix selection.  Each round is one grouped pass
+over all columns and ranks: it counts the next 12 bits of the values that share the
+bits found so far (at most 4096 counts per column and rank come to the driver).
+A rank is found as soon as its bucket holds a single value, after six rounds at most;
+the way is the same for every size.
 
-1. ``percentile_approx`` (a bounded, mergeable sketch) proposes up to 1000
-   bucket bounds inside the current value range;
-2. a grouped count per bucket (at most 1001 rows) locates the bucket that
-   holds rank k;
-3. repeat inside that bucket until it holds at most ``FINAL_ROWS`` rows,
-   which are then ranked by a window (one small task).
+Groups (``grouped_median``): one row per (group, value) with its count, running counts
+from the segmented scan with value buckets as chunks, and the middle rows; a group with a
+third of all rows is spread over its buckets.
 
 Quantiles use linear interpolation between the neighbouring order
-statistics (the definition of pandas' ``quantile`` and of ``median``).
+statistics (the definition of pandas' ``quantile`` and of ``median``).  NaN counts as the
+largest value, as in Spark's order; missing values are left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import persist
-
-FINAL_ROWS = 200_000
-GRID = 1000
-
-
-def _in_range(c: Column, lo, lo_incl: bool, hi, hi_incl: bool) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & ((c >= F.lit(lo)) if lo_incl else (c > F.lit(lo)))
-    if hi is not None:
-        cond = cond & ((c <= F.lit(hi)) if hi_incl else (c < F.lit(hi)))
-    return cond
+from ..session import join_lookup, persist
+from . import cumulative as C
+
+#: Bits that a round looks at lie above these positions.
+SHIFTS = (52, 40, 28, 16, 4, 0)
+#: Value buckets of the grouped median: so many at least, and one per ``BUCKET_VALUES``.
+BUCKETS = 1000
+BUCKET_VALUES = 1 << 20
+
+_INFINITY = 2047 << 52
+
+
+def ordered_bits(x: Column) -> Column:
+    """A long for each double, in the same order: the bits of the absolute value, with the sign.
+
+    Scaling by powers of two is exact, so the exponent and the 52 bits after the
+    leading one are read off with arithmetic."""
+    a = F.abs(x)
+    near = F.floor(F.log2(a))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(a < two(near), near - 1).when(a >= two(near + 1), near + 1).otherwise(near)
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((a / two(e) - 1.0) * F.lit(2.0 ** 52)).cast("long")
+    tiny = (a * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")
+    bits = (F.when(F.isnan(x), F.lit(_INFINITY + 1)).when(a == float("inf"), F.lit(_INFINITY))
+            .when(a < F.lit(2.0 ** -1022), tiny).otherwise(normal))
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
+def from_ordered_bits(bits: int) -> float:
+    value = struct.unpack("<d", struct.pack("<q", abs(bits)))[0]
+    return -value if bits < 0 else value
+
+
+def order_statistics(df: DataFrame, columns: dict[str, str],
+                     ranks: Callable[[int], Iterable[int]]) -> dict[str, tuple[int, dict[int, float]]]:
+    """Per name the number ``n`` of non-missing values of its column, and the value of each rank
+    (from 0) that ``ranks(n)`` asks for."""
+    names = list(columns)
+    images = persist(df.select(*[ordered_bits(F.col(c).cast("double")).alias(f"__v{i}")
+                                 for i, c in enumerate(columns.values())]))
+    sizes: dict[int, int] = {}
+    found: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], tuple[int | None, int]] = {}  # (column, rank) -> bits so far, rank inside
+    for at, shift in enumerate(SHIFTS):
+        cells = []
+        for i in range(len(names)):
+            v = F.col(f"__v{i}")
+            if at:
+                inside = sorted({p for (j, _), (p, _) in open_.items() if j == i})
+                if not inside:
+                    continue
+                match = F.shiftright(v, SHIFTS[at - 1]).isin(inside)
+            else:
+                match = v.isNotNull()
+            cells.append(F.when(match, F.struct(F.lit(i).alias("i"), v.alias("v"))))
+        if not cells:
+            break
+        rows = images.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
+        counts = defaultdict(list)
+        for r in rows.groupBy("c.i", F.shiftright("c.v", shift).alias("p")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("c.v").alias("lo"), F.max("c.v").alias("hi")).collect():
+            counts[r["i"]].append((r["p"], r["n"], r["lo"], r["hi"]))
+        if not at:
+            for i in range(len(names)):
+                sizes[i] = sum(c[1] for c in counts[i])
+                open_ |= {(i, k): (None, k) for k in (ranks(sizes[i]) if sizes[i] else ())}
+        ordered = {i: sorted(c) for i, c in counts.items()}
+        for (i, k), (prefix, rank) in list(open_.items()):
+            for p, n, lo, hi in ordered[i]:
+                if prefix is not None and p >> (SHIFTS[at - 1] - shift) != prefix:
+                    continue
+                if rank < n:
+                    open_[i, k] = (p, rank)
+                    if lo == hi:
+                        found[i, k] = from_ordered_bits(lo)
+                        del open_[i, k]
+                    break
+                rank -= n
+    images.unpersist()
+    return {name: (sizes.get(i, 0), {k: v for (j, k), v in found.items() if j == i}) for i, name in enumerate(names)}
+
+
+def kth_smallest(values: DataFrame, col: str, k: int):
+    """Value of rank ``k`` (0-based) among the non-missing values of ``col``; none beyond them."""
+    return order_statistics(values, {col: col}, lambda n: [k] if 0 <= k < n else [])[col][1].get(k)
+
+
+def exact_quantiles_of(df: DataFrame, columns: dict[str, str], qs: Sequence[float]) -> dict[str, list]:
+    """Linear-interpolated quantiles of several columns: ``{name: column}`` -> ``{name: values}``."""
+    if not columns:
+        return {}
 
+    def ends(n: int) -> list[int]:
+        return [k for q in qs for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))]
 
-def kth_smallest(values: DataFrame, col: str, k: int, n: int | None = None):
-    """Value of rank ``k`` (0-based) among the non-missing values of ``col``."""
-    c = F.col(col)
-    lo, lo_incl, hi, hi_incl = None, True, None, True
-    rank = k
-    size = n if n is not None else values.where(c.isNotNull()).count()
-    for _ in range(8):
-        if size <= FINAL_ROWS:
-            break
-        sub = values.where(c.isNotNull() & _in_range(c, lo, lo_incl, hi, hi_incl))
-        qs = [i / GRID for i in range(1, GRID)]
-        bounds = sub.agg(F.percentile_approx(c, qs, 10 * GRID).alias("b")).first()["b"] or []
-        bounds = sorted(set(bounds))
-        if not bounds:
-            break
-        # Bucketizer (a JVM binary search per row): bucket j holds
-        # [bounds[j-1], bounds[j]); bucket 0 is below the first bound.
-        splits = [-float("inf")] + bounds + [float("inf")]
-        bz = Bucketizer(splits=splits, inputCol=col, outputCol="bk")
-        hist = bz.transform(sub.select(c)).groupBy("bk").count().orderBy("bk").collect()
-        before = 0
-        chosen = None
-        for row in hist:
-            if before + row["count"] > rank:
-                chosen = row
-                break
-            before += row["count"]
-        if chosen is None:
-            break
-        b = int(chosen["bk"])
-        new_lo = bounds[b - 1] if b > 0 else lo
-        new_lo_incl = True if b > 0 else lo_incl
-        new_hi = bounds[b] if b < len(bounds) else hi
-        new_hi_incl = False if b < len(bounds) else hi_incl
-        if chosen["count"] >= size:  # no progress: the range is one repeated value
-            only = sub.where(_in_range(c, new_lo, new_lo_incl, new_hi, new_hi_incl)).agg(
-                F.min(c).alias("mn"), F.max(c).alias("mx")).first()
-            if only["mn"] == only["mx"]:
-                return only["mn"]
-            break
-        lo, lo_incl, hi, hi_incl = new_lo, new_lo_incl, new_hi, new_hi_incl
-        rank -= before
-        size = chosen["count"]
-    sub = values.where(c.isNotNull() & _in_range(c, lo, lo_incl, hi, hi_incl)).select(c.alias("v"))
-    row = (sub.withColumn("r", F.row_number().over(Window.orderBy("v")) - 1)
-              .where(F.col("r") == rank).first())
-    return None if row is None else row["v"]
+    out = {}
+    for name, (n, at) in order_statistics(df, columns, ends).items():
+        if not n:
+            out[name] = [None for _ in qs]
+            continue
+        out[name] = []
+        for q in qs:
+            pos = q * (n - 1)
+            a, b = at[math.floor(pos)], at[math.ceil(pos)]
+            part = pos - math.floor(pos)
+            out[name].append((a + b) / 2.0 if part == 0.5 else a + (b - a) * part if part else a)
+    return out
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list:
-    """Linear-interpolated quantiles of the non-missing values of ``col``."""
-    values = persist(df.select(F.col(col).cast("double").alias(col)).where(F.col(col).isNotNull()))
-    n = values.count()
-    if n == 0:
-        values.unpersist()
-        return [None for _ in qs]
-    cache: dict[int, float] = {}
-
-    def kth(k):
-        if k not in cache:
-            cache[k] = kth_smallest(values, col, k, n)
-        return cache[k]
-
-    out = []
-    for q in qs:
-        pos = q * (n - 1)
-        lo_i, hi_i = math.floor(pos), math.ceil(pos)
-        a = kth(lo_i)
-        b = kth(hi_i) if hi_i != lo_i else a
-        frac = pos - lo_i
-        out.append((a + b) / 2.0 if frac == 0.5 else a + (b - a) * frac)
-    values.unpersist()
-    return out
+    return exact_quantiles_of(df, {col: col}, qs)[col]
 
 
 def exact_median(df: DataFrame, col: str):
@@ -119,21 +145,25 @@ def exact_median(df: DataFrame, col: str):
 
 
 def exact_medians(df: DataFrame, columns: dict[str, str]) -> dict:
-    """Exact medians of several columns: ``{name: column}`` -> ``{name: median}``.
-
-    One job counts every column; columns with at most ``FINAL_ROWS`` values
-    get Spark's exact ``median`` in one more job (their value maps are
-    bounded); larger ones go through the refinement of ``exact_quantiles``.
-    """
-    if not columns:
-        return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(n) for n, c in columns.items()]).first().asDict()
-    small = {n: c for n, c in columns.items() if counts[n] <= FINAL_ROWS}
-    out = {}
-    if small:
-        row = df.agg(*[F.median(F.col(c).cast("double")).alias(n) for n, c in small.items()]).first()
-        out.update(row.asDict())
-    for n, c in columns.items():
-        if n not in small:
-            out[n] = exact_median(df, c)
-    return out
+    """Exact medians of several columns: ``{name: column}`` -> ``{name: median}``."""
+    return {name: v[0] for name, v in exact_quantiles_of(df, columns, [0.5]).items()}
+
+
+def grouped_median(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
+    """``key, out``: the median of ``col`` for every group (missing without values; a missing
+    key is a group)."""
+    group = F.struct(F.col(key).alias("key"))  # never null itself
+    points = persist(df.select(group.alias("__g"), F.col(col).cast("double").alias("__v"))
+                     .where(F.col("__v").isNotNull()).groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    buckets = max(BUCKETS, -(-points.count() // BUCKET_VALUES))
+    cuts = points.agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts or [] if math.isfinite(c)}), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(points)
+    run = C.running(placed, ["__g"], {"__upto": ("sum", "__n")}, order="__v", chunk_col=F.col("__b").cast("long"))
+    sizes = points.groupBy("__g").agg(F.sum("__n").alias("__size"))
+    low, high = F.floor((F.col("__size") - 1) / 2), F.floor(F.col("__size") / 2)
+    first = F.col("__upto") - F.col("__n")
+    middle = join_lookup(run, sizes, ["__g"], "inner").where((first <= high) & (F.col("__upto") > low))
+    medians = middle.groupBy("__g").agg(((F.min("__v") + F.max("__v")) / 2.0).alias(out))
+    groups = df.select(group.alias("__g")).distinct()
+    return groups.join(medians, "__g", "left").select(F.col("__g.key").alias(key), out)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import FINAL_ROWS, exact_quantiles
+from .quantiles import exact_quantiles_of
 
 # Slice and class names of the corpus tables.
 SLICES = [("ALL", None), ("ITEM_HEAD", ["TEXT"]), ("ITEM_BODY", ["STATEMENT", "SITELINK"])]
@@ -168,8 +168,8 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Per column: count, unique, top, freq (text columns) and mean, std,
     min, quartiles, max (numeric columns); one row per column.
 
-    All plain aggregates run in one ``agg``; top/freq come from one grouped
-    count per text column; quartiles are exact (``quantiles.exact_quantiles``).
+    All plain aggregates run in one ``agg``; unique, top and freq come from one grouped
+    count of all text columns; all quartiles from one selection (``quantiles``).
     """
     cols = list(columns) if columns is not None else df.columns
     numeric, text = [], []
@@ -189,37 +189,29 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
                  F.max(x).alias(f"{c}__max")]
     for c in text:
-        aggs += [F.count(c).alias(f"{c}__count"), F.count_distinct(c).alias(f"{c}__unique")]
+        aggs.append(F.count(c).alias(f"{c}__count"))
     row = df.agg(*aggs).first().asDict() if aggs else {}
-    # exact quartiles: Spark's exact percentile for columns with a bounded
-    # number of values (all in one agg), refinement for larger columns
-    small = [c for c in numeric if row[f"{c}__count"] <= FINAL_ROWS]
-    quart = {}
-    if small:
-        qrow = df.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(c)
-                        for c in small]).first().asDict()
-        quart.update({c: (list(qrow[c]) if qrow[c] is not None else [None] * 3) for c in small})
+    quart = exact_quantiles_of(df, {c: c for c in numeric}, [0.25, 0.5, 0.75])
     rows = []
     for c in numeric:
-        q = quart[c] if c in quart else exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        q = quart[c]
         rows.append((c, row[f"{c}__count"], None, None, None, row[f"{c}__mean"], row[f"{c}__std"],
                      row[f"{c}__min"], q[0], q[1], q[2], row[f"{c}__max"]))
-    # top value and its frequency for ALL text columns in one grouped pass:
-    # (column, value) pairs, counted with partial aggregation, then the first
-    # per column (a per-partition limit precedes the shuffle)
+    # distinct values, top value and its frequency of ALL text columns in one grouped pass:
+    # (column, value) pairs, counted with partial aggregation, then reduced per column
     tops = {}
     if text:
         pairs = df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in text])).alias("p"))
         counts = pairs.where(F.col("p.v").isNotNull()).groupBy("p.c", "p.v").count()
-        w = Window.partitionBy("c").orderBy(F.desc("count"), F.asc("v"))
-        for r in counts.withColumn("__r", F.row_number().over(w)).where("__r = 1").collect():
-            tops[r["c"]] = (r["v"], r["count"])
+        for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min(
+                F.struct((-F.col("count")).alias("less"), "v")).alias("top")).collect():
+            tops[r["c"]] = (r["top"]["v"], -r["top"]["less"], r["n"])
     for c in text:
-        t, fq = tops.get(c, (None, None))
+        t, fq, unique = tops.get(c, (None, None, 0))
         if t is not None and dict(df.dtypes)[c] == "boolean":
             t = "True" if t == "true" else "False"
-        rows.append((c, row[f"{c}__count"], row[f"{c}__unique"], t, fq, None, None, None, None,
+        rows.append((c, row[f"{c}__count"], unique, t, fq, None, None, None, None,
                      None, None, None))
     schema = ("column string, count bigint, unique bigint, top string, freq bigint, mean double, "
               "std double, min double, q25 double, q50 double, q75 double, max double")

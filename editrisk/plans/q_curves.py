@@ -161,14 +161,19 @@ _METRICS_SQL = _AREAS_SQL.replace(
     "," + _CURVE_CTES + """,
 txt AS (SELECT slice, string_agg(printf('%.2f', fpr), ',' ORDER BY i) AS fprValues,
                string_agg(printf('%f', tpr), ',' ORDER BY i) AS tprValues,
-               string_agg(printf('%f', threshold), ',' ORDER BY i) AS rocThresholds FROM curve GROUP BY slice)
-SELECT roc.slice, txt.fprValues, txt.tprValues, txt.rocThresholds,""").replace(
+               string_agg(printf('%f', threshold), ',' ORDER BY i) AS rocThresholds FROM curve GROUP BY slice),
+prn AS (SELECT slice, idx, npoints, CAST((2000000 * TP + TP + FP) // (2 * (TP + FP)) AS BIGINT) AS a,
+               CAST((2000000 * TP + P) // (2 * P) AS BIGINT) AS b FROM r WHERE P > 0),
+prtxt AS (SELECT slice, string_agg(printf('%d.%06d', a // 1000000, a % 1000000), ',' ORDER BY idx) AS precisionValues,
+                 string_agg(printf('%d.%06d', b // 1000000, b % 1000000), ',' ORDER BY idx) AS recallValues
+          FROM prn WHERE idx % CAST(ceil(npoints / 10000.0) AS BIGINT) = 0 OR idx = npoints GROUP BY slice)
+SELECT roc.slice, txt.fprValues, txt.tprValues, txt.rocThresholds, prtxt.precisionValues, prtxt.recallValues,""").replace(
     "FROM roc JOIN trap USING (slice) JOIN dg USING (slice)",
-    "FROM roc JOIN trap USING (slice) JOIN dg USING (slice) LEFT JOIN txt USING (slice)")
+    "FROM roc JOIN trap USING (slice) JOIN dg USING (slice) LEFT JOIN txt USING (slice) LEFT JOIN prtxt USING (slice)")
 
 
 @query("metrics_by_slice", with_revlog(_METRICS_SQL))
 def q_metrics_by_slice(spark, sf):
     m = _metrics(spark, sf, True)
     return m.select("slice", "positives", "negatives", *[r6(F.col(c)).alias(c) for c in ("ROC", "PR", "PR_trapezoid")],
-                    "fprValues", "tprValues", "rocThresholds")
+                    *CV.CURVES)

@@ -178,9 +178,9 @@ FROM (SELECT groupId, revisionId, {SCORE_SQL} AS s FROM revlog) GROUP BY groupId
 @query("session_agg", _session_agg_sql())
 def q_session_agg(spark, sf):
     d = revision_log(spark, sf).withColumn("s", score_col())
-    aggs = [r6(SE.session_agg_expr(h, "s")).alias(f"s_{h}")
-            for h in ("mean", "min", "max", "median", "first", "last")]
-    return d.groupBy("groupId").agg(*aggs)
+    hows = ("mean", "min", "max", "median", "first", "last")
+    found = SE.session_aggs(d, "s", {f"s_{h}": h for h in hows})
+    return found.select("groupId", *[r6(F.col(f"s_{h}")).alias(f"s_{h}") for h in hows])
 
 
 @query("session_minmax", with_revlog("""

@@ -69,15 +69,50 @@ def test_sample_is_deterministic_and_exact(spark):
     assert len(s1) == 100 and s1 == s2
 
 
-def test_exact_quantiles_with_refinement(spark, monkeypatch):
-    monkeypatch.setattr(Q, "FINAL_ROWS", 50)
-    monkeypatch.setattr(Q, "GRID", 10)
+def test_exact_quantiles(spark):
     rnd = np.random.default_rng(0)
     vals = np.concatenate([rnd.normal(size=900), np.full(100, 0.25)])
-    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "x double")
     got = Q.exact_quantiles(df, "x", [0.25, 0.5, 0.75])
-    want = np.quantile(vals, [0.25, 0.5, 0.75])
-    assert got == pytest.approx(list(want), abs=1e-12)
+    assert got == list(np.quantile(vals, [0.25, 0.5, 0.75], method="linear")) or \
+        got == pytest.approx(list(np.quantile(vals, [0.25, 0.5, 0.75])), abs=1e-15)
+
+
+def test_ordered_bits_keep_order_and_value(spark):
+    rnd = np.random.default_rng(1)
+    whole = rnd.integers(-2 ** 63, 2 ** 63 - 1, size=3000).view(np.float64)
+    powers = [s * f(2.0 ** e) for e in range(-1074, 1024, 7) for s in (1, -1)
+              for f in (lambda x: x, lambda x: np.nextafter(x, np.inf), lambda x: np.nextafter(x, 0))]
+    vals = sorted({float(v) for v in [*whole[np.isfinite(whole)], *powers, 0.0, 5e-324, 1.7976931348623157e308,
+                                      float("inf"), -float("inf")]})
+    rows = spark.createDataFrame([(v,) for v in vals], "x double").select("x", Q.ordered_bits(F.col("x"))).collect()
+    bits = dict(map(tuple, rows))
+    assert [Q.from_ordered_bits(bits[v]) for v in vals] == vals
+    assert all(bits[a] < bits[b] for a, b in zip(vals, vals[1:]))
+
+
+def test_several_columns_in_one_selection(spark):
+    rnd = np.random.default_rng(2)
+    a, b = rnd.normal(size=501) * 1e300, np.repeat(7.0, 501)
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)], "a double, b double, c double")
+    got = Q.exact_medians(df, {"a": "a", "b": "b", "none": "c"})
+    assert got == {"a": float(np.median(a)), "b": 7.0, "none": None}
+    assert Q.kth_smallest(df, "a", 500) == a.max() and Q.kth_smallest(df, "a", 501) is None
+    assert Q.exact_medians(df.limit(0), {"a": "a"}) == {"a": None}
+
+
+def test_grouped_median_spreads_a_hot_group(spark, monkeypatch):
+    import statistics
+
+    from editrisk.operators import sessions as SE
+    rnd = np.random.default_rng(3)
+    rows = [(None if g == 3 else int(g), None if rnd.random() < 0.1 else float(v)) for g, v in
+            zip(np.where(rnd.random(900) < 0.4, 1, rnd.integers(0, 40, 900)), rnd.integers(0, 50, 900))]
+    rows += [(77, None), (78, 2.0), (78, 3.0)]
+    want = {g: [v for h, v in rows if h == g and v is not None] for g, _ in rows}
+    df = spark.createDataFrame(rows, "groupId int, s double")
+    got = dict(map(tuple, SE.session_agg(df, "s", "median").collect()))
+    assert got == {g: statistics.median(v) if v else None for g, v in want.items()}
 
 
 def test_fit_uses_only_fit_rows(spark):
