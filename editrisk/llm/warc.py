@@ -119,6 +119,17 @@ def record_bytes() -> Column:
     return F.concat(F.col("header").cast("binary"), body)
 
 
+def rebuilt_records(spark: SparkSession, path: str) -> DataFrame:
+    """``read_archive`` with ``record``: header and payload put together again.  A record whose
+    block is not as long as its header says fails the job."""
+    head = F.regexp_extract("header", r"(?s)^(WARC/.*?\r\n\r\n)", 1)
+    stated = F.regexp_extract(head, r"\r\nContent-Length: (\d+)\r\n\r\n$", 1).cast("long")
+    record = record_bytes()
+    fits = F.octet_length(record) - F.octet_length(head) == stated
+    return read_archive(spark, path).withColumn("record", F.when(fits, record).otherwise(
+        F.raise_error(F.concat(F.lit("wrong length of record "), F.col("header")))))
+
+
 def export_warc(records: DataFrame, path: str, records_per_file: int = 10_000) -> str:
     """Write records as plain WARC files of bounded length; a record ends with two line ends."""
     (records.select(record_bytes().cast("string").alias("value")).write
@@ -156,12 +167,18 @@ def import_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` to a new archive in the shared folder and read it back: one row per
-    page with ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    """Write ``pages`` to a new archive in the shared folder, read it back and rebuild every
+    record: one row per page with ``page_id, payload_bytes, payload_digest, record_type,
+    refers_to``, read off the rebuilt record's own bytes (the digest has been checked
+    against the payload)."""
     spark = pages.sparkSession
     path = write_archive(pages, scratch_path(spark, "warc"), **options)
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).cast("long")
-    return read_archive(spark, path).select(
-        F.when(F.col("record_id").isNotNull(), number("record_id")).alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type",
-        F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"))
+    head = F.substring("record", F.lit(1), F.octet_length("header")).cast("string")
+    field = lambda name, value: F.regexp_extract("head", rf"\r\n{name}: {value}\r\n", 1)
+    number = lambda name: F.nullif(field(name, r"<[^>\r\n]*?(-?\d+)>"), F.lit("")).cast("long")
+    length = F.regexp_extract("head", r"\r\nContent-Length: (\d+)\r\n\r\n$", 1).cast("long")  # the last: of the payload
+    return rebuilt_records(spark, path).withColumn("head", head).select(
+        number("WARC-Record-ID").alias("page_id"), length.alias("payload_bytes"),
+        field("WARC-Payload-Digest", "sha1:([0-9a-f]{40})").alias("payload_digest"),
+        field("WARC-Type", "(response|revisit)").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"))
