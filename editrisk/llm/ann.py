@@ -8,7 +8,10 @@ in product.  Every vector of the table is put into one leaf of each tree.
 
 A query walks all trees by one shared priority queue (by the squared margins of the sides
 it did not take) and takes leaves until they hold ``search_share`` of the table, counted
-per tree.  Neighbouring leaves form cells of bounded size; a cell's vectors and its queries
+per tree.  The share is calibrated for every table: a bounded number of its queries are
+answered exactly within the sample, and the share is the least with which their walks
+meet ``recall`` of these answers (a sample's neighbours are farther than the table's, so
+this errs towards more).  Neighbouring leaves form cells of bounded size; a cell's vectors and its queries
 meet in blocks, where the products with the vectors of the query's leaves are taken
 exactly (double precision, original components); a query's best of all blocks are kept.
 Products below what the query reaches with sampled vectors of its own leaves, which it will
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from editrisk.llm.common import store
+from editrisk.llm.common import shuffle_width, store
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,9 @@ class Settings:
     trees: int = 4
     sample: int = 32_768       # bound of the vectors that the trees are grown on
     leaf: int = 48             # sampled vectors in a leaf, at most
-    search_share: float = 0.9  # of the table, counted per tree, in a query's leaves
-    search_least: int = 4000   # and at least so many vectors
+    search_share: float | None = None  # of the table, counted per tree, in a query's leaves; None: calibrated
+    recall: float = 0.95       # what the calibration aims at
+    probes: int = 128          # queries that it looks at, at most
     block_vectors: int = 4096  # bounds of the two sides of a block
     block_queries: int = 8192
     seed: int = 5
@@ -132,6 +136,28 @@ def leaves_to_search(trees: list[Tree], sizes: list[np.ndarray], query: np.ndarr
     return found
 
 
+def share_for(trees: list[Tree], sample: np.ndarray, in_leaf: list[np.ndarray], queries: np.ndarray, k: int,
+              recall: float) -> float:
+    """The least share of the sample, counted per tree, whose leaves hold ``recall`` of the
+    queries' ``k`` largest products with the sample (vectors equal to the query aside)."""
+    sizes = [np.bincount(leaf, minlength=t.leaves) for leaf, t in zip(in_leaf, trees)]
+    needed: list[float] = []
+    for q in queries:
+        products = sample @ q
+        products[(sample == q).all(axis=1)] = -np.inf
+        best = np.argsort(-products, kind="stable")[:k]
+        best = best[np.isfinite(products[best])]
+        held, before = 0, [np.zeros(t.leaves) for t in trees]
+        for i, leaf in leaves_to_search(trees, sizes, np.append(q, 0.0).astype(np.float32), np.inf):
+            before[i][leaf] = held
+            held += int(sizes[i][leaf])
+        needed += np.min([before[i][in_leaf[i][best]] for i in range(len(trees))], axis=0).tolist()
+    if not needed:
+        return 1.0
+    # a leaf is taken while less than the share is held
+    return (float(np.quantile(needed, recall, method="higher")) + 1) / len(sample)
+
+
 def cells_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each leaf of a tree its cell (a run of leaves of at most ``most`` vectors), and the
     number of blocks it is dealt into (over 1 only for a leaf larger than that)."""
@@ -204,7 +230,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     dealt = spark.sparkContext.broadcast([(size, *cells_of(size, s.block_vectors)) for size in sizes])
     asked = rows.where("asks").select("id", "v").distinct()
     turns = max(1, -(-asked.count() // s.block_queries))
-    search = max(s.search_least, s.search_share * n_entries)
+    share = s.search_share
+    if share is None:
+        probes = asked.orderBy(F.xxhash64(F.lit(s.seed), "id"), "id").limit(s.probes).select("v").collect()
+        share = share_for(forest.value, *drawn.value, np.array([r[0] for r in probes]).reshape(-1, width), k, s.recall)
+    search = share * n_entries
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,7 +287,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     out = []
             yield pd.DataFrame(out, columns=["query_id", "q", "least", "tree", "cell", "block", "turn", "leaves"])
 
-    paths = asked.mapInPandas(
+    # few bytes, much work: without this one task would walk for all queries
+    paths = asked.repartition(shuffle_width(spark), "id").mapInPandas(
         walk, f"query_id long, q {kind}, least double, tree int, cell int, block int, turn int, leaves array<int>")
 
     def best_of_block(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:

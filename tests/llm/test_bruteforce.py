@@ -6,6 +6,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import public_tokenizers
 import tiktoken
@@ -179,3 +180,22 @@ def test_block_links_are_a_spanning_forest():
         if 100 * both >= 80 * (200 - both) and up[a] != up[b]:
             up = [up[a] if u == up[b] else u for u in up]
     assert len(got) == 90 - len(set(up)) and len(set(up)) < 60
+
+
+def test_neighbour_search_adapts_to_structure(spark):
+    """20,000 vectors in 400 clusters: the calibrated share is small and the recall high."""
+    from editrisk.llm import ann
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(400, 16)), 50, axis=0) + 0.1 * rng.normal(size=(20_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    trees = [ann.Tree(np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32), 48, rng) for _ in range(4)]
+    in_leaf = [t.leaf_of(np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32)) for t in trees]
+    assert ann.share_for(trees, x, in_leaf, x[::400], 20, 0.95) < 0.2
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x)}))
+    got = ann.nearest(table, F.col("vec_id") % 400 == 0).toPandas()
+    hit = 0
+    for q in range(0, len(x), 400):
+        score = x @ x[q]
+        best = [int(j) for j in np.lexsort((np.arange(len(x)), -score)) if j != q][:20]
+        hit += len(set(best) & set(got.loc[got["query_id"] == q, "vec_id"]))
+    assert hit >= 0.9 * 20 * 50 and len(got) == 20 * 50
