@@ -146,13 +146,13 @@ class MergeReplay:
         place = np.repeat(self.start[numbers] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         return self.flat[place].tobytes()
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], chunk_chars: int = CHUNK_CHARS) -> Iterator[bytes]:
         """Packed ids of each text; the merges are replayed over chunks of texts."""
         parts: list[np.ndarray | bytes] = []
         size = 0
         for t in texts:
             t = t or ""
-            if size + len(t) > CHUNK_CHARS:
+            if size + len(t) > chunk_chars:
                 yield from self._finish(parts)
                 parts, size = [], 0
             size += len(t)
@@ -235,9 +235,10 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
-               keep_ids: bool = False) -> DataFrame:
+               keep_ids: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` with ``n_tokens, ids_sha256, decoded_sha256`` and, with ``keep_ids``, the packed
-    ``ids``: encoded and decoded in one pass, by one Python worker per task."""
+    ``ids``: encoded and decoded in one pass, by one Python worker per task.  Smaller chunks
+    (any size gives the same ids) take less memory and more time."""
     coder = _coder(docs, ranks_path, pattern)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
@@ -245,7 +246,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     @tidy
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = coder()
-        coded = codec.encode(t for batch in texts for t in batch)  # chunks span batches, rows leave in few
+        coded = codec.encode((t for batch in texts for t in batch), chunk_chars)  # chunks span batches
         while rows := [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(codec.decode(x)).hexdigest(),
                         *[x] * keep_ids) for x in islice(coded, OUT_ROWS)]:
             yield pd.DataFrame(rows, columns=names)
