@@ -22,6 +22,8 @@ from editrisk.session import configure
 
 #: A document is rejected without a letter, or when no language reaches this probability.
 MIN_LANGUAGE_SCORE = 0.5
+#: Characters encoded together: workers stand next to heaps that earlier stages have grown.
+ENCODE_CHARS = 3_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +78,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id`` with token count, packed ids, and the digest of ids and decoded bytes."""
-    return bpe.round_trip(docs.select("doc_id", "text"), BPE_RANKS, BPE_PATTERN, keep_ids=True).drop("text")
+    return bpe.round_trip(docs.select("doc_id", "text"), BPE_RANKS, BPE_PATTERN, keep_ids=True,
+                          chunk_chars=ENCODE_CHARS).drop("text")
 
 
 def _configured(stage):
