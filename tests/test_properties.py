@@ -147,3 +147,27 @@ def test_exact_sample_does_not_depend_on_refinement(spark, monkeypatch, bits, ra
     monkeypatch.setattr(SP, "HASH_BITS", bits)
     monkeypatch.setattr(SP, "RANKED_ROWS", ranked)
     assert sorted(r[0] for r in SP.sample_n(df, 0.35).collect()) == whole and len(whole) == 14
+
+
+def test_comment_words_hold_counts_and_coefficients(spark):
+    from editrisk.operators import textmodels as TM
+    rows = [(i, "bad word bad" if i % 3 == 0 else "good word", i % 3 == 0) for i in range(30)] + [(30, "rare", True)]
+    df = spark.createDataFrame(rows, "k int, text string, y boolean")
+    model = TM.comment_model(df, "text", "y", min_df=5)
+    got = {r["words"]: r for r in TM.comment_words(model, df, "k", "text", "y").collect()}
+    assert set(got) == {"bad", "good", "word"}  # "rare" is below min_df
+    assert (got["bad"]["vandalismCount"], got["bad"]["totalCount"], got["bad"]["documents"]) == (20, 20, 10)
+    assert (got["word"]["vandalismCount"], got["word"]["totalCount"]) == (10, 30)
+    assert got["good"]["vandalismScore"] < 0 < got["bad"]["vandalismScore"]
+
+
+def test_metric_row_holds_the_pr_curve(spark):
+    from editrisk.operators import curves as CV
+    df = spark.createDataFrame([(0.9, 1, "TEXT"), (0.8, 0, "TEXT"), (0.7, 1, "TEXT"), (0.1, 0, "TEXT")],
+                               "prob double, label int, contentType string")
+    m = CV.metrics_by_slice(df)
+    got = {r["slice"]: r for r in m.collect()}
+    assert got["ALL"]["precisionValues"] == "1.000000,0.500000,0.666667,0.500000"
+    assert got["ALL"]["recallValues"] == "0.500000,0.500000,1.000000,1.000000"
+    assert got["ITEM_BODY"]["precisionValues"] == "0.0,0.0"
+    assert not set(CV.CURVES) & set(CV.drop_curves(m).columns)
