@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import join_lookup
-
-ONE_HOT_MAX_COLUMNS = 1000  # beyond this the one-hot result is a sparse vector
+from .cumulative import number_in_order
 
 
 def _fit_rows(df: DataFrame, fit: Column | None) -> DataFrame:
@@ -44,33 +44,44 @@ def most_frequent_tag(df: DataFrame, col: str, out: str, fit: Column | None = No
 
 
 # ------------------------------------------------------------------ one-hot
+def class_index(df: DataFrame, col: str, fit: Column | None = None) -> DataFrame:
+    """(``col``, ``index``): the non-missing values of the fit rows, numbered from 0 in their
+    order.  A table of any length; no value reaches the driver."""
+    classes = _fit_rows(df, fit).where(F.col(col).isNotNull()).select(col).distinct()
+    return number_in_order(classes, col, "index").withColumn("index", F.col("index") - 1)
+
+
 def one_hot_classes(df: DataFrame, col: str, fit: Column | None = None) -> list:
-    """Sorted distinct non-missing values of the fit rows (bounded by
-    ``ONE_HOT_MAX_COLUMNS``; larger category sets use ``one_hot_vector``)."""
-    classes = (_fit_rows(df, fit).where(F.col(col).isNotNull()).select(col).distinct()
-               .orderBy(col).limit(ONE_HOT_MAX_COLUMNS + 1).collect())
-    if len(classes) > ONE_HOT_MAX_COLUMNS:
-        raise ValueError(f"{col} has more than {ONE_HOT_MAX_COLUMNS} classes: use one_hot_vector")
-    return [r[0] for r in classes]
+    """Sorted distinct non-missing values of the fit rows."""
+    return [r[0] for r in _fit_rows(df, fit).where(F.col(col).isNotNull()).select(col).distinct()
+            .orderBy(col).collect()]
 
 
 def one_hot(df: DataFrame, col: str, out: str, fit: Column | None = None) -> DataFrame:
     """One 0/1 column ``{out}_{class}`` per class seen in the fit rows
-    (always one column per class); unseen and missing values are all 0."""
+    (always one column per class); unseen and missing values are all 0.
+
+    The classes become the table's schema, which the driver holds: where they are many,
+    ``one_hot_vector`` gives the same as one column."""
     classes = one_hot_classes(df, col, fit)
     return df.select("*", *[F.when(F.col(col) == F.lit(v), 1.0).otherwise(0.0).alias(f"{out}_{v}")
                             for v in classes])
 
 
 def one_hot_vector(df: DataFrame, col: str, out: str, fit: Column | None = None) -> DataFrame:
-    """Sparse-vector form for large category sets (MLlib, alphabetical
-    class order, unseen/missing -> the zero vector)."""
-    idx = StringIndexer(inputCol=col, outputCol=f"__{out}_idx", handleInvalid="keep",
-                        stringOrderType="alphabetAsc").fit(_fit_rows(df, fit))
-    enc = OneHotEncoder(inputCols=[f"__{out}_idx"], outputCols=[out], dropLast=True,
-                        handleInvalid="keep")
-    d = idx.transform(df)
-    return enc.fit(d).transform(d).drop(f"__{out}_idx")
+    """One sparse 0/1 vector with a place per class of the fit rows, in their order
+    (``class_index``); unseen and missing values are the zero vector."""
+    index = class_index(df, col, fit)
+    n = index.count()
+    if n == 0:
+        return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    place = f"__{out}_place"
+    placed = join_lookup(df, index.withColumnRenamed("index", place), [col], "left")
+    placed = placed.withColumn(place, F.coalesce(F.col(place), F.lit(n)).cast("double"))
+    # of n + 1 categories the last one (none of the classes) has no place in the vector
+    encoder = OneHotEncoder(inputCols=[place], outputCols=[out], dropLast=True).fit(
+        df.sparkSession.createDataFrame([(float(n),)], f"`{place}` double"))
+    return encoder.transform(placed).select(*df.columns, out)
 
 
 # ------------------------------------------------------------------ long tail

@@ -3,7 +3,7 @@
 Each is a ``CustomStep``; the operators that learn from the label take it as their last
 input.  Steps that end with text (``most_frequent_tag``) are followed by another step,
 such as ``steps.frequency``; ``one_hot`` gives a column per class, named
-``{feature}_{class}``.
+``{feature}_{class}``, ``one_hot_vector`` one sparse vector with a place per class.
 """
 
 from __future__ import annotations
@@ -34,6 +34,11 @@ def one_hot() -> CustomStep:
     return CustomStep(lambda df, inputs, out, fit: G.one_hot(df, inputs[0], out, fit), "one_hot", many=True)
 
 
+def one_hot_vector() -> CustomStep:
+    return CustomStep(lambda df, inputs, out, fit: G.one_hot_vector(df, inputs[0], out, fit), "one_hot_vector",
+                      vector=True)
+
+
 def long_tail(count: int) -> CustomStep:
     return CustomStep(lambda df, inputs, out, fit: G.long_tail(df, inputs[0], out, count), "long_tail")
 

@@ -18,10 +18,12 @@ import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +74,25 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], out: str = "features")
     return VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="error").transform(df)
 
 
+def width(df: DataFrame, col: str) -> int:
+    """Elements of a feature column: 1, or those of its vectors (all of one size)."""
+    if col not in df.columns or not isinstance(df.schema[col].dataType, VectorUDT):
+        return 1
+    known = df.schema[col].metadata.get("ml_attr", {}).get("num_attrs")
+    if known is not None:
+        return known
+    row = df.select(F.size(vector_to_array(F.col(col)))).first()
+    return row[0] if row else 1
+
+
 def slice_features(df: DataFrame, all_cols: Sequence[str], keep: Sequence[str],
                    src: str = "features", out: str = "features_sub") -> DataFrame:
-    idx = [list(all_cols).index(c) for c in keep]
+    """The places of the features ``keep`` in the vector of ``all_cols``; a vector feature has as
+    many places as elements."""
+    sizes = [width(df, c) for c in all_cols]
+    first = dict(zip(all_cols, accumulate(sizes, initial=0)))
+    size = dict(zip(all_cols, sizes))
+    idx = [i for c in keep for i in range(first[c], first[c] + size[c])]
     return VectorSlicer(inputCol=src, outputCol=out, indices=idx).transform(df)
 
 

@@ -8,7 +8,8 @@ Exact-size random samples rank rows by a seeded hash of the row id.  The
 rank of the k-th row is found without a global sort: a histogram of the
 hash's top bits (a grouped count, tiny) locates the bucket holding the
 k-th row, and only that bucket's rows are ranked.  NumPy's draw order
-cannot be reproduced; the contract is size, disjointness, determinism.
+cannot be reproduced; the contract is size, disjointness, determinism.  The
+hash is the start of an md5 sum, so SQL draws the same rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import ts_lit
 
 ORDER = "revisionId"
+ORDER_BITS = 60    # of the hash that puts rows into a random order: 15 hex digits
 HASH_BITS = 12     # bits of the hash that one histogram of the exact-size threshold looks at
 RANKED_ROWS = 4096  # a bucket of more rows gets a histogram of its own
 
@@ -127,9 +129,10 @@ def drop_duplicates(df: DataFrame, cols=None, order: str | None = None) -> DataF
 
 
 # ----------------------------------------------------------- exact samples
-def _hash_rank_key(key: str, seed: int) -> Column:
-    # Non-negative 63-bit hash; ties broken by the key itself.
-    return F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+def hash_order(key: str, seed: int) -> Column:
+    """The row's place in the seed's random order: the first 60 bits of md5(``seed|key``)."""
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, ORDER_BITS // 4), 16, 10).cast("long")
 
 
 def hash_threshold(df: DataFrame, k: int, key: str = ORDER, seed: int = 1):
@@ -141,9 +144,9 @@ def hash_threshold(df: DataFrame, k: int, key: str = ORDER, seed: int = 1):
     """
     if k <= 0:
         return ("none", None)
-    h = _hash_rank_key(key, seed)
+    h = hash_order(key, seed)
     rows = df.select(h.alias("h"), F.col(key).alias("key"))
-    left, need = 63, k  # bits not looked at yet; 1-based rank among ``rows``
+    left, need = ORDER_BITS, k  # bits not looked at yet; 1-based rank among ``rows``
     while left > 0:
         left = max(left - HASH_BITS, 0)
         bucket = F.shiftright("h", left)
@@ -170,7 +173,7 @@ def _below(cut, key: str, seed: int) -> Column:
     if kind == "all":
         return F.lit(True)
     hv, kv = val
-    h = _hash_rank_key(key, seed)
+    h = hash_order(key, seed)
     return (h < F.lit(hv)) | ((h == F.lit(hv)) & (F.col(key) <= F.lit(kv)))
 
 
@@ -271,7 +274,7 @@ def balanced_sample(df: DataFrame, slice_col: str = "contentType", label: str =
     ranking is a top-n per slice, which Spark evaluates with a per-partition
     limit before the shuffle.
     """
-    u = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))).cast("double") / F.lit(float(2 ** 63))
+    u = hash_order(key, seed).cast("double") / F.lit(float(2 ** ORDER_BITS))
     u = F.greatest(u, F.lit(1e-300))
     # Class sizes: one row per (slice, label), so broadcasting is bounded by
     # the number of slices times two.
@@ -290,7 +293,7 @@ def sample_errors(df: DataFrame, label: str = "label", pred: str = "pred", n: in
     d = df if content_type is None else df.where(F.col(slice_col) == content_type)
     err = d.where(F.col(label) != F.col(pred)).withColumn(
         "error", F.when(F.col(label), F.lit("FN")).otherwise(F.lit("FP")))
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = hash_order(key, seed)
     rn = F.row_number().over(Window.partitionBy("error").orderBy(h, key))
     return err.withColumn("__rn", rn).where(F.col("__rn") <= n).drop("__rn")
 
@@ -308,7 +311,7 @@ def error_positions(df: DataFrame, label: str = "label", pred: str = "pred", key
              .withColumn("error", F.when(F.col(label), F.lit("FN")).otherwise(F.lit("FP"))))
     r = running(err, ["error"], {"position": ("count", None)}, order=key, chunk_width=1 << 16)
     sizes = err.groupBy("error").agg(F.count(F.lit(1)).alias("__n"))
-    h = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    h = hash_order(key, seed)
     # n random ones: the n smallest hashes per list (a per-partition limit before the shuffle)
     rnd = (err.withColumn("__h", h)
               .withColumn("__r", F.row_number().over(Window.partitionBy("error").orderBy("__h", key)))

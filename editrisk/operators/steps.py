@@ -265,13 +265,15 @@ def time_since_previous(chunk_width: int = C.DEFAULT_CHUNK_WIDTH) -> WindowStep:
 
 @dataclass
 class CustomStep(Step):
-    """Any ``(df, inputs, out, fit) -> df`` function (text models, tags...); with ``many``
-    it gives any number of columns, named ``{out}_...``."""
+    """Any ``(df, inputs, out, fit) -> df`` function (text models, tags...) that keeps every row
+    once; with ``many`` it gives any number of columns, named ``{out}_...``, with ``vector`` one
+    vector column."""
     fn: Callable[..., DataFrame]
     name: str = "custom"
     kind: str = "custom"
     params: dict = field(default_factory=dict)
     many: bool = False
+    vector: bool = False
 
     def fit_transform(self, df, inputs, out, fit=None):
         return self.fn(df, list(inputs), out, fit, **self.params)

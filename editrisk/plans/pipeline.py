@@ -6,28 +6,40 @@ Steps are applied in rounds (round r = the r-th step of every feature):
 * scalar steps (mean/median imputers): means of all features in ONE ``agg``;
   medians by the distributed exact quantile (no single-task gather);
 * lookup steps: one ``groupBy`` per distinct key set, with all the round's
-  aggregates on that key set, and one join back (broadcast by AQE only when
-  the lookup's run-time size is below the bound, else a shuffle join with
-  AQE skew splitting);
+  aggregates on that key set.  The tables of a round are made side by side and
+  measured: those within the bounds are broadcast to the rows, the others are
+  joined to a projection of (id, keys), where AQE splits hot keys;
 * window steps: segmented prefix scans (``operators.cumulative``), all
-  running operators of one key set in one scan (one shuffle);
+  running operators of one key set in one scan (one shuffle) of (id, keys, values);
+* custom steps: their own plan on (id, inputs);
 * expression steps: one ``select``.
 
-Only the columns the features need are read (``prune_columns``), so every
-shuffle moves a narrow projection of the log.  The result is one table:
-meta columns, one float column per feature and the label.
+What was made on projections comes back as tables of (id, values), which are joined to
+the rows on the id one after the other: the rows are dealt by id for the first of
+these joins and stay so for the others.  However many key sets there are, a
+round shuffles the wide rows at most once.  Revision ids are unique.
+
+Only the columns the features need are read (``prune_columns``).  The result is one table:
+meta columns, one float column per feature (a vector where its last step gives one) and
+the label.
+
+A custom step must return every row of its input once: otherwise the table fails,
+naming step and feature, when it is made (rows of ids it was not given are left out).
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite_float32
-from ..session import join_lookup, persist
+from ..session import is_small, join_lookup, persist
 from ..operators.cumulative import run_batch
 from ..operators.quantiles import exact_medians
 from ..sources.csv_log import prune_columns
@@ -35,6 +47,7 @@ from .catalog import Feature, feature_names
 
 META = ["revisionId", "groupId", "contentType", "timestamp"]
 ORDER = "revisionId"
+TABLES_AT_ONCE = 8  # lookup tables of a round that are made side by side
 
 
 def _time_cols(df: DataFrame) -> list[str]:
@@ -49,6 +62,16 @@ def _check_unique(features: Sequence[Feature]) -> None:
         raise ValueError(f"duplicate column: {sorted(dup)}")
 
 
+def _look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str],
+             null_safe: bool, how: str, small: bool) -> DataFrame:
+    """``rows`` with the ``values`` of their keys (``null_safe``: a missing part is a key too)."""
+    if not null_safe:
+        return join_lookup(rows, table, keys, how, small=small)
+    right = table.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *values)
+    match = reduce(and_, [rows[k].eqNullSafe(right[f"__k_{k}"]) for k in keys])
+    return join_lookup(rows, right, match, how, small=small).drop(*[f"__k_{k}" for k in keys])
+
+
 def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | None,
                      label: str = "label", meta: Sequence[str] = META,
                      cache_input: bool = False) -> DataFrame:
@@ -86,34 +109,37 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
             cur = cur.select("*", *[s.apply(current[f.output][0], {"v": stats[f.output]}, "v").alias(tmp[f.output])
                                     for f, s in scalars])
 
-        # lookup steps: one groupBy + one join per (key set, null rule)
+        # lookup steps: one groupBy per (key set, null rule), measured
         by_keys: OrderedDict = OrderedDict()
         for f, s in active:
             if s.kind == "lookup":
                 key = (tuple(s.keys(current[f.output])), s.null_safe)
                 by_keys.setdefault(key, []).append((f, s))
-        for (keys, null_safe), items in by_keys.items():
-            keys = list(keys)
-            filt = items[0][1].fit_filter(current[items[0][0].output])
-            table = fit_rows.where(filt).groupBy(*keys).agg(
-                *[s.agg_expr(current[f.output]).alias(tmp[f.output]) for f, s in items])
-            if null_safe:
-                r_ = table.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                                  *[tmp[f.output] for f, _ in items])
-                cond = None
-                for k in keys:
-                    c = cur[k].eqNullSafe(r_[f"__k_{k}"])
-                    cond = c if cond is None else cond & c
-                cur = cur.join(r_, cond, "left").drop(*[f"__k_{k}" for k in keys])
+
+        def lookup_table(job):
+            (keys, _), items = job
+            f, s = items[0]
+            table = persist(fit_rows.where(s.fit_filter(current[f.output])).groupBy(*keys).agg(
+                *[s.agg_expr(current[f.output]).alias(tmp[f.output]) for f, s in items]))
+            return table, is_small(table)
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as ex:
+            tables = list(ex.map(lookup_table, by_keys.items()))
+
+        by_id: list[DataFrame] = []  # (id, values), to be joined to the rows
+        defaults = {}
+        for ((keys, null_safe), items), (table, small) in zip(by_keys.items(), tables):
+            values = [tmp[f.output] for f, _ in items]
+            if small:
+                cur = _look_up(cur, table, keys, values, null_safe, "left", True)
             else:
-                cur = join_lookup(cur, table, keys, "left")
+                pairs = start.select(*dict.fromkeys([ORDER, *keys]))
+                by_id.append(_look_up(pairs, table, keys, values, null_safe, "inner", False).select(ORDER, *values))
             for f, s in items:
-                default = F.lit(s.default).cast("double") if s.default is not None else F.lit(None).cast("double")
-                cur = cur.withColumn(tmp[f.output], F.coalesce(F.col(tmp[f.output]).cast("double"), default))
+                default = F.lit(s.default).cast("double")
+                defaults[tmp[f.output]] = F.coalesce(F.col(tmp[f.output]).cast("double"), default)
 
         # window steps: all running operators of one key set in ONE segmented
-        # scan, on a narrow projection of the round's start (id, keys,
-        # values), joined back on the unique revision id
+        # scan, on a narrow projection of the round's start (id, keys, values)
         by_window: OrderedDict = OrderedDict()
         for f, s in active:
             if s.kind == "window":
@@ -126,18 +152,29 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
             narrow = start.select(*dict.fromkeys(cols))
             ops = [s.running_op(narrow, current[f.output], tmp[f.output]) for f, s, _ in items]
             w = run_batch(narrow, ops, chunk_width=width)
-            cur = cur.join(w.select(ORDER, *[tmp[f.output] for f, _, _ in items]), ORDER, "left")
+            by_id.append(w.select(ORDER, *[tmp[f.output] for f, _, _ in items]))
+
+        # custom steps (text models, tags ...): their own plan, rows counted per id
         many: dict[str, list[str]] = {}
-        # custom steps (text models, tags ...): their own plan, joined back
-        for f, s in active:
+        checks = {}
+        for i, (f, s) in enumerate(active):
             if s.kind == "custom":
                 narrow = start.select(*dict.fromkeys([ORDER, *current[f.output], *_time_cols(start)]))
                 w = s.fit_transform(narrow, current[f.output], tmp[f.output], fit)
                 made = [tmp[f.output]]
                 if s.many:
                     made = many[f.output] = [c for c in w.columns if c.startswith(f"{tmp[f.output]}_")]
-                if made:
-                    cur = cur.join(w.select(ORDER, *made), ORDER, "left")
+                n = f"__rows_{i}"
+                checks[n] = f"step {s.name} of feature {f.output} must return every row once"
+                by_id.append(w.groupBy(ORDER).agg(F.count(F.lit(1)).alias(n),
+                                                  *[F.first(f"`{c}`").alias(c) for c in made]))
+
+        for part in by_id:
+            cur = cur.join(part, ORDER, "left")
+        for n, message in checks.items():
+            once = F.coalesce(F.col(n), F.lit(0)) == 1
+            cur = cur.where(F.assert_true(once, message).isNull()).drop(n)
+        cur = cur.withColumns(defaults)
 
         # expression steps: one select
         exprs = [(f, s) for f, s in active if s.kind == "expr"]
@@ -155,5 +192,8 @@ def feature_pipeline(df: DataFrame, features: Sequence[Feature], fit: Column | N
             names = [f.output + c[len(f"__{f.output}__{len(f.steps) - 1}"):] for c in src]
         elif len(src) != 1:
             raise ValueError(f"feature {f.output} ends with {len(src)} columns")
+        if f.steps and getattr(f.steps[-1], "vector", False):
+            outs.append(F.col(src[0]).alias(f.output))
+            continue
         outs += [finite_float32(F.col(f"`{c}`").cast("double")).alias(n) for c, n in zip(src, names)]
     return cur.select(*[F.col(m) for m in meta], *outs, F.col(label).cast("double").alias("label"))

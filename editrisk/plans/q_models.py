@@ -100,6 +100,7 @@ def q_feature_pipeline(spark, sf):
 from ..operators import models as M  # noqa: E402
 from ..operators.splits import undersample  # noqa: E402
 from ..sources.tables import TEST_START, TRAIN_START  # noqa: E402
+from .registry import HASH_ORDER_SQL  # noqa: E402
 from . import runs as RU  # noqa: E402
 
 FAMILY = ["Bagging", "SIL MI", "Simple MI", "Combined MI"]
@@ -360,17 +361,18 @@ def q_best_params(spark, sf):
 
 @query("cross_validation", with_revlog(f"""
 WITH {_validation_sql(TRAIN_START)},
-n AS (SELECT count(*) FILTER (WHERE label) AS p, count(*) FILTER (WHERE NOT label) AS q FROM val),
-c AS (SELECT 1.0::DOUBLE AS label, p AS n FROM n UNION ALL SELECT 0.0::DOUBLE, least(p, q) FROM n)
-SELECT label, CAST(fold AS INTEGER) AS fold, CAST((n + 4 - fold) // 5 AS BIGINT) AS n_rows, 5::BIGINT AS folds, TRUE AS in_range
-FROM c CROSS JOIN range(5) f(fold)"""))
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_ORDER_SQL}, revisionId) AS rk,
+                  count(*) FILTER (WHERE label) OVER () AS positives FROM val)
+SELECT revisionId, CAST(label AS DOUBLE) AS label, CAST((rk - 1) % 5 AS INTEGER) AS fold, 5::BIGINT AS folds,
+       TRUE AS in_range
+FROM ranked WHERE label OR rk <= positives"""))
 def q_cross_validation(spark, sf):
     _, train, valid = _main_split(spark, sf)
-    cv = RU.cross_validation(train, valid).withColumn("in_range", _within(
-        "roc_mean", "roc_std", "pr_mean", "pr_std")).first()  # one row
+    cv = RU.cross_validation(train, valid, scorers={"brier": RU.brier_score}).withColumn("in_range", _within(
+        "roc_mean", "roc_std", "pr_mean", "pr_std", "brier_mean", "brier_std")).first()  # one row
     folds = RU.stratified_folds(undersample(train.unionByName(valid), 1.0))
-    return folds.groupBy("label", "fold").agg(F.count("*").alias("n_rows")).select(
-        "*", F.lit(cv["folds"]).alias("folds"), F.lit(cv["in_range"]).alias("in_range"))
+    return folds.select("revisionId", "label", "fold", F.lit(cv["folds"]).alias("folds"),
+                        F.lit(cv["in_range"]).alias("in_range"))
 
 
 _WINDOWS = [("2024-01-15", "2024-01-22"), ("2024-01-22", "2024-01-29")]

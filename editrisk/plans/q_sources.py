@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import sessions as SE
 from ..operators import splits as SP
+from ..operators.cumulative import number_in_order
 from ..session import checkpoint_dir
 from ..sources import csv_log as CL
 from ..sources.sinks import metrics_sink
@@ -16,7 +18,7 @@ from ..sources.tables import (TEST_START, TRAIN_START, VALIDATION_START, revisio
 from . import catalog as CAT
 from .pipeline import feature_pipeline
 from .q_windows import SCORE_SQL, score_col
-from .registry import query, r6
+from .registry import HASH_ORDER_SQL, query, r6
 
 FIT_SQL = "\"timestamp\" < TIMESTAMP '2024-01-19 00:00:00'"
 
@@ -103,12 +105,13 @@ def q_parse_timestamp(spark, sf):
                       F.unix_timestamp(CL.parse_timestamp(F.col("timestamp"))).cast("bigint").alias("ts_seconds"))
 
 
-@query("schema_check", "SELECT 'sourceTable' AS undeclared_column FROM (SELECT count(*) FROM events)")
+@query("schema_check", "SELECT 'sourceTable' AS undeclared_column, count(*) AS n_values FROM events")
 def q_schema_check(spark, sf):
     raw = CL.read_text_csv(spark, write_log_csv(spark, sf))
     unknown = CL.schema_check(raw.columns)
-    # the unknown column names, as a table built from the file's header
-    return raw.limit(1).select(F.explode(F.array(*[F.lit(c) for c in unknown])).alias("undeclared_column"))
+    # the unknown columns and how many values of the whole file they hold
+    return raw.agg(F.array(*[F.struct(F.lit(c).alias("undeclared_column"), F.count(c).alias("n_values"))
+                             for c in unknown]).alias("columns")).select(F.inline("columns"))
 
 
 @query("prune_columns", with_revlog("""
@@ -194,10 +197,10 @@ def _mini_catalog():
     })
 
 
-def _mini_table(spark, sf):
+def _mini_table(spark, sf, features=None):
     from ..sources.tables import ts_lit
     log = revision_log(spark, sf)
-    return feature_pipeline(log, _mini_catalog(), F.col("timestamp") < ts_lit(VALIDATION_START))
+    return feature_pipeline(log, features or _mini_catalog(), F.col("timestamp") < ts_lit(VALIDATION_START))
 
 
 _MINI_SQL = {
@@ -227,18 +230,21 @@ _select_query("select_group", ["valueImputed", "valueLog"])
 _select_query("select_subgroup", ["userFreq"])
 
 
-@query("add_feature", with_revlog("SELECT revisionId, userId, round(coalesce(value, 0) * 2, 6) AS doubled FROM revlog"))
+@query("add_feature", with_revlog("SELECT revisionId, " + ", ".join(f"{v} AS {n}" for n, v in _MINI_SQL.items()) + """,
+       round(CAST(CAST(coalesce(value, 0) * 2 AS FLOAT) AS DOUBLE), 6) AS doubled FROM revlog r"""))
 def q_add_feature(spark, sf):
-    d = revision_log(spark, sf).select("revisionId", "userId", "value")
-    return d.withColumn("doubled", r6(F.coalesce(F.col("value"), F.lit(0.0)) * 2)).drop("value")
+    from ..operators import steps as ST
+    doubled = CAT.Feature("value", [ST.impute_zero(), ST.ExprStep(lambda v: v * 2, "double")], "doubled")
+    features = CAT.add_feature(_mini_catalog(), doubled)
+    t = _mini_table(spark, sf, features)
+    return t.select("revisionId", *[r6(F.col(n)).alias(n) for n in CAT.feature_names(features)])
 
 
 @query("set_group_ids", with_revlog("""
 SELECT revisionId, CAST(coalesce(userId, -1) * 100 + weekofyear("timestamp") AS BIGINT) AS groupId FROM revlog"""))
 def q_set_group_ids(spark, sf):
-    d = revision_log(spark, sf)
-    return d.select("revisionId", (F.coalesce(F.col("userId"), F.lit(-1)) * 100
-                                   + F.weekofyear("timestamp")).cast("bigint").alias("groupId"))
+    ids = F.coalesce(F.col("userId"), F.lit(-1)) * 100 + F.weekofyear("timestamp")
+    return SE.set_group_ids(revision_log(spark, sf), ids).select("revisionId", "groupId")
 
 
 # ---------------------------------------------------------------- filters
@@ -277,9 +283,11 @@ def q_drop_duplicates(spark, sf):
     return SP.drop_duplicates(d, ["userName", "itemId"], order="revisionId")
 
 
-@query("sort_by_revision", with_revlog("SELECT revisionId, userName FROM revlog"))
+@query("sort_by_revision", with_revlog("""
+SELECT revisionId, userName, row_number() OVER (ORDER BY revisionId) AS "position" FROM revlog"""))
 def q_sort_by_revision(spark, sf):
-    return revision_log(spark, sf).select("revisionId", "userName").orderBy("revisionId")
+    # the place of each row among the sorted rows
+    return number_in_order(revision_log(spark, sf).select("revisionId", "userName"), "revisionId")
 
 
 @query("append", with_revlog(f"""
@@ -292,28 +300,23 @@ def q_append(spark, sf):
 
 
 # ---------------------------------------------------------------- samples
-# Random row choices cannot be reproduced in SQL; the oracles check the
-# exact sample sizes per class, the deterministic part of each contract.
-@query("sample_n", with_revlog("""
-SELECT CAST(floor(0.3 * count(*)) AS BIGINT) AS sampled, CAST(floor(0.3 * count(*)) AS BIGINT) AS distinct_ids
-FROM revlog"""))
+# Rows are drawn in the order of an md5 hash of seed and id, which SQL follows.
+@query("sample_n", with_revlog(f"""
+SELECT revisionId FROM (SELECT revisionId, row_number() OVER (ORDER BY {HASH_ORDER_SQL}, revisionId) AS rk,
+                               count(*) OVER () AS n FROM revlog)
+WHERE rk <= floor(0.3 * n)"""))
 def q_sample_n(spark, sf):
-    # exact size, and no row drawn twice (distinct ids = size)
-    s = SP.sample_n(revision_log(spark, sf), 0.3)
-    return s.agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct("revisionId").alias("distinct_ids"))
+    return SP.sample_n(revision_log(spark, sf), 0.3).select("revisionId")
 
 
-@query("random_split", with_revlog("""
-SELECT 'first' AS part, CAST(floor(0.3 * count(*)) AS BIGINT) AS n_rows FROM revlog
-UNION ALL SELECT 'second', CAST(count(*) - floor(0.3 * count(*)) AS BIGINT) FROM revlog
-UNION ALL SELECT 'overlap', CAST(0 AS BIGINT)"""))
+@query("random_split", with_revlog(f"""
+SELECT revisionId, CASE WHEN rk <= floor(0.3 * n) THEN 'first' ELSE 'second' END AS part
+FROM (SELECT revisionId, row_number() OVER (ORDER BY {HASH_ORDER_SQL}, revisionId) AS rk,
+             count(*) OVER () AS n FROM revlog)"""))
 def q_random_split(spark, sf):
-    log = revision_log(spark, sf)
-    a, b = SP.random_split(log, 0.3)
-    overlap = a.select("revisionId").join(b.select("revisionId"), "revisionId")
-    return (a.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("part", F.lit("first"))
-            .unionByName(b.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("part", F.lit("second")))
-            .unionByName(overlap.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("part", F.lit("overlap"))))
+    a, b = SP.random_split(revision_log(spark, sf), 0.3)
+    return a.select("revisionId", F.lit("first").alias("part")).unionByName(
+        b.select("revisionId", F.lit("second").alias("part")))
 
 
 @query("ordered_split", with_revlog("""
@@ -325,12 +328,13 @@ def q_ordered_split(spark, sf):
         b.select("revisionId", F.lit("second").alias("part")))
 
 
-@query("undersample", with_revlog("""
-SELECT label, CASE WHEN label THEN count(*) ELSE (SELECT count(*) FROM revlog WHERE label) END AS n_rows
-FROM revlog GROUP BY label"""))
+@query("undersample", with_revlog(f"""
+SELECT revisionId, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH_ORDER_SQL}, revisionId) AS rk,
+         count(*) FILTER (WHERE label) OVER () AS positives FROM revlog)
+WHERE label OR rk <= positives"""))
 def q_undersample(spark, sf):
-    s = SP.undersample(revision_log(spark, sf), 1.0)
-    return s.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return SP.undersample(revision_log(spark, sf), 1.0).select("revisionId", "label")
 
 
 @query("oversample", with_revlog("""
@@ -340,20 +344,25 @@ def q_oversample(spark, sf):
     return s.select("revisionId", F.col("copy").cast("int"))
 
 
-@query("balanced_sample", with_revlog("""
-SELECT contentType, CAST(least(count(*), 100) AS BIGINT) AS n_rows FROM revlog GROUP BY contentType"""))
+@query("balanced_sample", with_revlog(f"""
+SELECT revisionId, contentType, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY contentType ORDER BY -ln(greatest(u, 1e-300)) * n / 0.5, revisionId) AS rk
+  FROM (SELECT *, CAST('0x' || {HASH_ORDER_SQL} AS BIGINT) / pow(2.0, 60) AS u,
+               count(*) OVER (PARTITION BY contentType, label) AS n FROM revlog))
+WHERE rk <= 100"""))
 def q_balanced_sample(spark, sf):
     s = SP.balanced_sample(revision_log(spark, sf), "contentType", "label", 100)
-    return s.groupBy("contentType").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return s.select("revisionId", "contentType", "label")
 
 
 @query("sample_errors", with_revlog(f"""
-SELECT CASE WHEN label THEN 'FN' ELSE 'FP' END AS error, CAST(least(count(*), 10) AS BIGINT) AS n_rows
-FROM revlog WHERE label <> ({SCORE_SQL} > 0.5) GROUP BY 1"""))
+SELECT revisionId, error FROM (
+  SELECT revisionId, error, row_number() OVER (PARTITION BY error ORDER BY {HASH_ORDER_SQL}, revisionId) AS rk
+  FROM (SELECT *, CASE WHEN label THEN 'FN' ELSE 'FP' END AS error FROM revlog WHERE label <> ({SCORE_SQL} > 0.5)))
+WHERE rk <= 10"""))
 def q_sample_errors(spark, sf):
     d = revision_log(spark, sf).withColumn("prob", score_col()).withColumn("pred", F.col("prob") > 0.5)
-    s = SP.sample_errors(d, "label", "pred", 10)
-    return s.groupBy("error").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return SP.sample_errors(d, "label", "pred", 10).select("revisionId", "error")
 
 
 @query("topk_misclassified", with_revlog(f"""

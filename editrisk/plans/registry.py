@@ -21,6 +21,10 @@ def r6(c: Column) -> Column:
     (scale, round half away from zero, unscale), so ties agree."""
     return F.round(c.cast("double") * 1e6, 0) / 1e6
 
+
+#: The random order of ``splits.hash_order`` with seed 1, as text that sorts like it.
+HASH_ORDER_SQL = "substr(md5('1|' || revisionId), 1, 15)"
+
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators import cumulative as C
 from ..operators import models as M
 from ..operators import sessions as SE
-from ..operators.splits import in_share
+from ..operators.splits import ORDER_BITS, hash_order, in_share
 from ..operators.stats import corpus_statistics
 from ..session import cut_lineage, persist, releasing
 from ..sources import constants as K
@@ -361,16 +361,26 @@ def stratified_folds(df: DataFrame, k: int = 5, key: str = "revisionId", seed: i
     """Fold = (rank inside the class by a seeded hash) mod k: exact
     stratification, ranks from the segmented running count (no per-class
     single-task window)."""
-    h = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
-    d = df.withColumn("__h", h)
+    d = df.withColumn("__h", hash_order(key, seed))
     r = C.running(d, ["label"], {"__rk": ("count", None)}, order="__h",
-                  chunk_col=F.shiftright(F.col("__h"), 47))
+                  chunk_col=F.shiftright(F.col("__h"), ORDER_BITS - 16))
     return r.withColumn("fold", ((F.col("__rk") - 1) % k).cast("int")).drop("__h", "__rk")
 
 
-def cross_validation(train: DataFrame, valid: DataFrame, k: int = 5) -> DataFrame:
+def brier_score(scored: DataFrame) -> DataFrame:
+    """A scorer: the mean squared distance of score and label, per model."""
+    return scored.groupBy("model").agg(F.avg(F.pow(F.col("prob") - F.col("label"), 2)).alias("value"))
+
+
+def cross_validation(train: DataFrame, valid: DataFrame, k: int = 5,
+                     scorers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """Train and validation rows together, 1:1 undersampled, k stratified
-    folds, default forest; mean and std of ROC and PR areas over folds."""
+    folds, default forest; mean and std of ROC and PR areas over folds.
+
+    ``scorers`` are the user's measures by name.  Each is a function of the scored rows of all
+    folds (columns ``KEEP``, ``prob`` and ``model``, the fold's number as text) to one row
+    ``model, value`` per fold, so that a single pass scores all folds; they add
+    ``{name}_mean`` and ``{name}_std``."""
     from ..operators.splits import undersample
     data = persist(stratified_folds(undersample(train.unionByName(valid), 1.0)))
 
@@ -380,10 +390,15 @@ def cross_validation(train: DataFrame, valid: DataFrame, k: int = 5) -> DataFram
         return _scored(scored, str(i))
     with ThreadPoolExecutor(M.PARALLEL_FITS) as ex:
         frames = list(ex.map(one, range(k)))
-    m = M.evaluate(_union(frames), ["model"], curves=False).where(F.col("slice") == "ALL")
+    scored = _union(frames)
+    m = M.evaluate(scored, ["model"], curves=False).where(F.col("slice") == "ALL")
+    own = []
+    for name, scorer in (scorers or {}).items():
+        m = m.join(scorer(scored).select("model", F.col("value").cast("double").alias(f"__{name}")), "model", "left")
+        own += [F.avg(f"__{name}").alias(f"{name}_mean"), F.stddev_pop(f"__{name}").alias(f"{name}_std")]
     return m.agg(F.avg("ROC").alias("roc_mean"), F.stddev_pop("ROC").alias("roc_std"),
                  F.avg("PR_trapezoid").alias("pr_mean"), F.stddev_pop("PR_trapezoid").alias("pr_std"),
-                 F.count(F.lit(1)).alias("folds"))
+                 F.count(F.lit(1)).alias("folds"), *own)
 
 
 # ------------------------------------------------------------------ backtest

@@ -145,6 +145,17 @@ def releasing() -> Iterator[None]:
             df.unpersist()
 
 
+def is_small(table: DataFrame) -> bool:
+    """Whether a table that the caller has cached may be broadcast, by its measured rows and
+    bytes (which fills the cache)."""
+    rows = table.count()
+    read = table.select("*")._jdf.queryExecution()
+    stored = int(read.optimizedPlan().stats().sizeInBytes())
+    # the cache is compressed: a row takes no less than its types do
+    size = max(stored, rows * read.analyzed().schema().defaultSize())
+    return rows <= BROADCAST_MAX_ROWS and size <= BROADCAST_MAX_BYTES
+
+
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str] | Column,
                 how: str = "left", small: bool | None = None) -> DataFrame:
     """Join a per-key lookup table (one row per key) to the row table.
