@@ -146,6 +146,14 @@ def impute_median() -> ScalarStep:
 
 
 # ------------------------------------------------------------ lookup fitted
+@dataclass(frozen=True)
+class Parts:
+    """A lookup's aggregate in two parts, for fits on several stretches of the log: ``state`` of
+    the values of a stretch, and ``merge`` of the states of some stretches to the result."""
+    state: Callable[..., Column]
+    merge: Callable[[Column], Column]
+
+
 @dataclass
 class LookupStep(Step):
     """A per-key statistic of the fit rows joined back to every row.
@@ -162,6 +170,7 @@ class LookupStep(Step):
     name: str = "lookup"
     kind: str = "lookup"
     default_fn: Callable[[DataFrame, Sequence[str]], Column] | None = None
+    parts: Parts | None = None  # None: there are no mergeable states
 
     def keys(self, inputs: Sequence[str]) -> list[str]:
         n = len(inputs) if self.key_count is None else self.key_count
@@ -182,6 +191,9 @@ class LookupStep(Step):
     def agg_expr(self, inputs: Sequence[str]) -> Column:
         return self.agg(*[F.col(c) for c in self.values(inputs)])
 
+    def state_expr(self, inputs: Sequence[str]) -> Column:
+        return self.parts.state(*[F.col(c) for c in self.values(inputs)])
+
     def fit_table(self, df: DataFrame, inputs: Sequence[str], out: str,
                   fit: Column | None = None) -> DataFrame:
         keys = self.keys(inputs)
@@ -206,12 +218,14 @@ class LookupStep(Step):
 
 def frequency() -> LookupStep:
     """How often the key tuple occurs in the fit rows; unseen/missing -> 0."""
-    return LookupStep(lambda *_: F.count(F.lit(1)), 0.0, None, False, "frequency")
+    return LookupStep(lambda *_: F.count(F.lit(1)), 0.0, None, False, "frequency",
+                      parts=Parts(lambda *_: F.count(F.lit(1)), F.sum))
 
 
-def group_agg(fn: Callable[[Column], Column], null_safe: bool = False, name: str = "group_agg") -> LookupStep:
+def group_agg(fn: Callable[[Column], Column], null_safe: bool = False, name: str = "group_agg",
+              parts: Parts | None = None) -> LookupStep:
     """Aggregate of the last input per tuple of the other inputs; unseen -> 0."""
-    return LookupStep(fn, 0.0, -1, null_safe, name)
+    return LookupStep(fn, 0.0, -1, null_safe, name, parts=parts)
 
 
 def group_nunique(null_safe: bool = False, missing_is_value: bool = False) -> LookupStep:
@@ -223,11 +237,14 @@ def group_nunique(null_safe: bool = False, missing_is_value: bool = False) -> Lo
 
 
 def group_sum(null_safe: bool = False) -> LookupStep:
-    return group_agg(lambda v: F.coalesce(F.sum(v), F.lit(0)), null_safe, "group_sum")
+    return group_agg(lambda v: F.coalesce(F.sum(v), F.lit(0)), null_safe, "group_sum",
+                     Parts(lambda v: F.coalesce(F.sum(v), F.lit(0)), F.sum))
 
 
 def group_mean(null_safe: bool = False) -> LookupStep:
-    return group_agg(lambda v: F.avg(v), null_safe, "group_mean")
+    return group_agg(lambda v: F.avg(v), null_safe, "group_mean", Parts(
+        lambda v: F.struct(F.sum(v.cast("double")).alias("sum"), F.count(v).alias("n")),
+        lambda p: F.try_divide(F.sum(p["sum"]), F.sum(p["n"]))))
 
 
 # ------------------------------------------------------------ window steps

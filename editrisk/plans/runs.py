@@ -22,7 +22,7 @@ from ..operators import models as M
 from ..operators import sessions as SE
 from ..operators.splits import ORDER_BITS, hash_order, in_share
 from ..operators.stats import corpus_statistics
-from ..session import cut_lineage, persist, releasing
+from ..session import cut_lineage, persist, releasing, stored
 from ..sources import constants as K
 from ..sources.csv_log import load_revisions, to_parquet
 from ..sources.schema import LABEL_COLUMN
@@ -30,6 +30,7 @@ from ..sources.sinks import metrics_sink
 from ..sources.tables import ts_lit
 from . import catalog as CAT
 from . import feature_sets as SETS
+from .expanding import WINDOW, expandable, expanding_features
 from .pipeline import feature_pipeline
 
 KEEP = ["revisionId", "groupId", "contentType", "label"]
@@ -439,13 +440,22 @@ def expanding_backtest(log: DataFrame, train_start: str, first_validation: str,
                        at: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Train from the start to t, validate [t, t + step): the main system runs
     the session family, the baselines the default forest; adds the positive
-    fraction of each validation window.  ``at`` gives the windows themselves."""
+    fraction of each validation window.  ``at`` gives the windows themselves.
+
+    The features of a system are made for all windows together (``plans.expanding``) and
+    written once, a folder per window; sets with steps that cannot be are rebuilt per window."""
     frames = []
-    for v_start, t_start in at or windows(train_start, first_validation, end, step_days, step_months):
-        span = f"{v_start[:10]} to {t_start[:10]}"
-        for system, make in (systems or CAT.SYSTEMS).items():
-            features = make()
-            table = build_table(log, features, v_start, t_start, label=label)
+    spans = list(at or windows(train_start, first_validation, end, step_days, step_months))
+    for system, make in (systems or CAT.SYSTEMS).items():
+        features = make()
+        together = None
+        if expandable(features):
+            t = expanding_features(log, features, [(_bound(v), _bound(e)) for v, e in spans], label=label)
+            together = stored(M.assemble(t, CAT.output_columns(features, t.columns)), "backtest", [WINDOW])
+        for i, (v_start, t_start) in enumerate(spans):
+            span = f"{v_start[:10]} to {t_start[:10]}"
+            table = together.where(F.col(WINDOW) == i).drop(WINDOW) if together is not None else build_table(
+                log, features, v_start, t_start, label=label)
             names = CAT.output_columns(features, table.columns)
             train, valid = split(table, train_start, v_start, t_start)
             if system == "MAIN":

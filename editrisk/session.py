@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -124,6 +125,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, in a folder per value of ``by``, and read
+    back: later filters and column choices reach the files, and no lost executor makes it
+    anew.  Removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _HELD: list[list[DataFrame]] = []
 
 

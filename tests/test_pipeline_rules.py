@@ -146,3 +146,38 @@ def test_cross_validation_with_own_scorers(spark):
     assert (r.folds, r.hits_mean, r.hits_std) == (3, 1.0, 0.0) and r.brier_mean < 0.05
     folds = RU.stratified_folds(df, 3).groupBy("fold", "label").count().collect()
     assert {x["count"] for x in folds} == {20} and len(folds) == 6
+
+
+def test_expanding_features_equal_rebuilding(spark, log_path, monkeypatch):
+    from editrisk.plans.expanding import WINDOW, expandable, expanding_features
+    features = [*FEATURES[:6],
+                Feature(["userName", "kind"], [ST.group_nunique()], "userKinds"),
+                Feature(["itemId", "userName"], [ST.cum_unique(32), ST.impute_median()], "itemRunning"),
+                Feature("value", [ST.impute_mean(), ST.log_scale()], "logValue"),
+                Feature("itemId", [ST.frequency(), ST.impute_median(), ST.log_scale()], "logItemFreq"),
+                Feature(["kind", "label"], [FS.impact_code(0.5)], "impact")]
+    log = spark.read.parquet(log_path)
+    bounds = [(100, 150), (300, 320)]
+    want = {w: {r.revisionId: r.asDict() for r in feature_pipeline(
+        log.where(F.col("revisionId") < end), features, F.col("revisionId") < begin).collect()}
+        for w, (begin, end) in enumerate(bounds)}
+    at = [(F.lit(a), F.lit(b)) for a, b in bounds]
+    for rows in (2_000_000, 0):
+        monkeypatch.setattr(S, "BROADCAST_MAX_ROWS", rows)
+        got = expanding_features(log, features, at, on="revisionId").collect()
+        assert [sum(r[WINDOW] == w for r in got) for w in want] == [150, 320]
+        for r in got:
+            mine, other = r.asDict(), want[r[WINDOW]][r.revisionId]
+            assert mine.keys() - {WINDOW} == other.keys()
+            assert all(mine[c] == other[c] or abs(mine[c] - other[c]) < 1e-5 for c in other), (mine, other)
+    assert not expandable([Feature("kind", [FS.one_hot()], "k")])
+
+
+def test_backtest_reads_its_windows_from_one_table(spark, log_path):
+    log = spark.read.parquet(log_path).withColumn("timestamp", F.timestamp_seconds(F.col("revisionId") * 3600 + 1_704_067_200))
+    spans = [("2024-01-08 00:00:00", "2024-01-10 00:00:00"), ("2024-01-10 00:00:00", "2024-01-12 00:00:00")]
+    sets = {"FILTER": lambda: FEATURES[:2], "BASELINE": lambda: FEATURES[3:6]}
+    m = RU.expanding_backtest(log, "2024-01-01 00:00:00", "", "", systems=sets, at=spans).where("slice = 'ALL'").collect()
+    assert sorted((r.system, r.time_label) for r in m) == sorted(
+        (s, f"{a[:10]} to {b[:10]}") for s in sets for a, b in spans)
+    assert all(r.positives == 12 and r.negatives == 36 and abs(r.VANDALISM_FRACTION - 0.25) < 1e-9 for r in m)
