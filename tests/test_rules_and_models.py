@@ -137,3 +137,11 @@ def test_float32_clamp(spark):
     from editrisk.functions.scalars import FLOAT32_MAX, finite_float32
     df = spark.createDataFrame([(float("inf"),), (-1e300,), (1.5,), (None,)], "x double")
     assert [r[0] for r in df.select(finite_float32(df.x)).collect()] == [FLOAT32_MAX, -FLOAT32_MAX, 1.5, None]
+
+
+def test_chunks_break_at_every_white_space(spark):
+    import re
+    from editrisk.operators.textmodels import chunk_tokens
+    text = "".join(f"w{i}{chr(c)}" for i, c in enumerate(c for c in range(0x3001) if chr(c).isspace())) + "(end)\u200b"
+    got = spark.createDataFrame([(text,)], "text string").select(chunk_tokens(F.col("text")).alias("t")).first().t
+    assert got == re.findall(r"\b\S+\b", text) and len(got) == 30
